@@ -1,0 +1,413 @@
+"""Personal data in texts: fixed patterns, and a linear-chain conditional random field over word shapes.
+
+The patterns find e-mail addresses, IP addresses, card numbers and phone numbers; the field adds spans of the same
+kinds that they miss, such as addresses with a spelled-out "at".  The field is trained from a small labelled table of
+marked-up lines.  Its scores come from a token's shape and its neighbours' shapes; Viterbi decodes all stretches of a
+batch of texts together, a token at a time, in numpy.
+
+The field's sequences are stretches of tokens: those with a digit, an at sign or an "at" or "dot" of their own, and
+the ``MARGIN`` tokens on either side, in texts that hold a digit, an at sign or a spelled-out one.  What stands
+outside of all stretches is never labelled.
+
+Null and empty texts have no span.  Spans count code points; starts are inclusive and ends exclusive.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from dataclasses import dataclass
+from functools import cache
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from longbox.llm.shared import map_batches
+
+KINDS = ("email", "ip", "card", "phone")
+LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
+
+# Fixed patterns ------------------------------------------------------------------------------------------------
+
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
+_PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def _luhn(digits: str) -> bool:
+    double = (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)
+    return (sum(int(d) for d in digits[-1::-2]) + sum(double[int(d)] for d in digits[-2::-2])) % 10 == 0
+
+
+def pattern_spans(text: str) -> list[tuple[str, int, int]]:
+    """Leftmost non-overlapping matches of each kind, by start and kind.  The cost grows with the text's length alone."""
+    found = []
+    end, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > end and text[start - 1] in _LOCAL:
+            start -= 1
+        if start < at and (m := _DOMAIN.match(text, at + 1)):
+            found.append(("email", start, m.end()))
+            end = m.end()
+        else:
+            end = at + 1  # nothing before this sign can be part of a later address
+        at = text.find("@", at + 1)
+    found += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
+    for m in _CARD.finditer(text):
+        digits = m[0].replace(" ", "").replace("-", "")
+        if 12 <= len(digits) <= 19 and _luhn(digits):
+            found.append(("card", *m.span()))
+    for m in _PHONE.finditer(text):
+        if 9 <= sum(c.isdigit() for c in m[0]) <= 15:
+            found.append(("phone", *m.span()))
+    return _ordered(found)
+
+
+def _ordered(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
+
+
+# Word shapes ---------------------------------------------------------------------------------------------------
+
+_TOKEN = re.compile(r"\S+")
+#: What a stretch to decode must hold.
+_SIGN = re.compile(r"[0-9@]|[(\[{<]\s?at\s?[)\]}>]|\sat\s\S+\sdot\s")
+_SIGN_RE2 = r"[0-9@]|[(\[{<]\s?at\s?[)\]}>]|\sat\s\S+\sdot\s"
+_BRACKETED = re.compile(r"[(\[{<]at[)\]}>]", re.IGNORECASE)
+_SIGNED_TOKEN = re.compile(r"[0-9@]|[(\[{<]at[)\]}>]|^[(\[{<]?(?:at|dot)[)\]}>]?$")
+#: Plain tokens decoded on each side of a signed one.
+MARGIN = 3
+_SPELLED = {"at", "dot"}
+_CUES = {"tel", "phone", "call", "fax", "mobile", "mail", "email", "e-mail", "card", "visa", "ip", "host", "server", "address"}
+
+
+def shape(token: str) -> str:
+    """Shape of a token: classes of its characters, runs shortened; runs of digits keep their length up to nine."""
+    if len(token) > 4:
+        token = _BRACKETED.sub("@", token)
+    bare = token.strip(".,;:!?\"'()[]{}<>").lower()
+    if bare in _SPELLED:
+        return f"={bare}"
+    if bare in _CUES:
+        return "=cue"
+    if not any(c in "0123456789@" for c in token):
+        return "plain"
+    out, last, run = [], "", 0
+    for c in token.strip(",;:!?\"'").rstrip("."):
+        k = "9" if c in "0123456789" else "a" if c.isalnum() else c
+        if k == last:
+            run += 1
+            continue
+        if last:
+            out.append(f"9{min(run, 9)}" if last == "9" else last)
+        last, run = k, 1
+    if last:
+        out.append(f"9{min(run, 9)}" if last == "9" else last)
+    return "".join(out[:16])
+
+
+# The field -----------------------------------------------------------------------------------------------------
+
+
+@dataclass
+class Field:
+    """Scores of labels by the shapes before, at and after a token, and of pairs of labels."""
+
+    shapes: dict[str, int]
+    own: np.ndarray
+    before: np.ndarray
+    after: np.ndarray
+    pairs: np.ndarray
+    first: np.ndarray
+
+    def emissions(self, tokens: np.ndarray) -> np.ndarray:
+        """Label scores of rows of shape numbers; -1 pads."""
+        pad = np.full((len(tokens), 1), -1)
+        left, right = np.concatenate([pad, tokens[:, :-1]], 1), np.concatenate([tokens[:, 1:], pad], 1)
+        return self.own[tokens] + self.before[left] + self.after[right]
+
+    def decode(self, sequences: list[list[str]]) -> list[list[int]]:
+        """Best labels of each sequence of shapes, by Viterbi over all of them at once, shorter ones padded."""
+        out: list[list[int]] = [[] for _ in sequences]
+        order = sorted(range(len(sequences)), key=lambda k: len(sequences[k]))
+        for part in (order[i : i + 512] for i in range(0, len(order), 512)):
+            part = [k for k in part if sequences[k]]
+            if not part:
+                continue
+            sizes = np.array([len(sequences[k]) for k in part])
+            tokens = np.full((len(part), int(sizes.max())), -1)
+            for row, k in enumerate(part):
+                tokens[row, : sizes[row]] = [self.shapes.get(s, self.shapes["other"]) for s in sequences[k]]
+            scores = self.emissions(tokens)
+            best = self.first + scores[:, 0]
+            back = np.zeros((*tokens.shape, len(LABELS)), np.int8)
+            for t in range(1, tokens.shape[1]):
+                step = best[:, :, None] + self.pairs[None]
+                back[:, t] = step.argmax(1)
+                moved = step.max(1) + scores[:, t]
+                best = np.where((t < sizes)[:, None], moved, best)
+            label = best.argmax(1)
+            path = np.zeros(tokens.shape, np.int64)
+            for t in range(tokens.shape[1] - 1, -1, -1):
+                inside = t < sizes
+                path[:, t] = np.where(inside, label, 0)
+                if t:
+                    label = np.where(inside, back[np.arange(len(part)), t, label], label)
+            for row, k in enumerate(part):
+                out[k] = path[row, : sizes[row]].tolist()
+        return out
+
+
+_FORBIDDEN = -1e4
+
+
+def _mask() -> tuple[np.ndarray, np.ndarray]:
+    """Pairs and first labels that may not be: an inner label follows only its own kind."""
+    pairs, first = np.zeros((len(LABELS), len(LABELS))), np.zeros(len(LABELS))
+    for j, y in enumerate(LABELS):
+        if y[0] == "I":
+            first[j] = _FORBIDDEN
+            for i, x in enumerate(LABELS):
+                if x == "O" or x[2:] != y[2:]:
+                    pairs[i, j] = _FORBIDDEN
+    return pairs, first
+
+
+def fit(rows: list[tuple[str, list[tuple[str, int, int]]]], steps: int = 150, rate: float = 0.3, decay: float = 1e-3) -> Field:
+    """Field of labelled texts (text, spans), by gradient steps on the conditional likelihood of all rows at once."""
+    sequences, targets = [], []
+    for text, spans in rows:
+        tokens = [(m[0], *m.span()) for m in _TOKEN.finditer(text)]
+        if not tokens:
+            continue
+        labels, previous = [], None
+        for _, a, b in tokens:
+            hit = next((s for s in spans if s[1] < b and a < s[2]), None)
+            labels.append(0 if hit is None else LABELS.index(("I-" if hit is previous else "B-") + hit[0]))
+            previous = hit
+        sequences.append([shape(t[0]) for t in tokens])
+        targets.append(labels)
+    shapes = {s: i for i, s in enumerate(["plain", "other", *sorted({s for q in sequences for s in q} - {"plain", "other"})])}
+    k, n, size = len(LABELS), len(sequences), max(map(len, sequences))
+    tokens, gold, live = np.full((n, size), -1), np.zeros((n, size), int), np.zeros((n, size), bool)
+    for r, (q, y) in enumerate(zip(sequences, targets, strict=True)):
+        tokens[r, : len(q)], gold[r, : len(q)], live[r, : len(q)] = [shapes[s] for s in q], y, True
+    mask, first = _mask()
+    field = Field(shapes, *(np.zeros((len(shapes) + 1, k)) for _ in range(3)), mask.copy(), first)
+    params = [field.own, field.before, field.after, field.pairs]
+    squares = [np.full_like(p, 1e-6) for p in params]
+    left = np.concatenate([np.full((n, 1), -1), tokens[:, :-1]], 1)
+    right = np.concatenate([tokens[:, 1:], np.full((n, 1), -1)], 1)
+    onehot = np.eye(k)[gold]
+    for _ in range(steps):
+        scores = field.emissions(tokens)
+        alpha, beta = np.zeros((size, n, k)), np.zeros((size, n, k))
+        alpha[0] = field.first + scores[:, 0]
+        for t in range(1, size):
+            moved = np.logaddexp.reduce(alpha[t - 1][:, :, None] + field.pairs[None], 1) + scores[:, t]
+            alpha[t] = np.where(live[:, t, None], moved, alpha[t - 1])
+        for t in range(size - 2, -1, -1):
+            moved = np.logaddexp.reduce(field.pairs[None] + (scores[:, t + 1] + beta[t + 1])[:, None, :], 2)
+            beta[t] = np.where(live[:, t + 1, None], moved, 0.0)
+        total = np.logaddexp.reduce(alpha[-1], 1)
+        marginal = np.exp(np.minimum((alpha + beta).transpose(1, 0, 2) - total[:, None, None], 0)) * live[:, :, None]
+        gap = (onehot * live[:, :, None] - marginal) / n
+        grads = [np.zeros_like(p) for p in params]
+        for g, at in ((grads[0], tokens), (grads[1], left), (grads[2], right)):
+            np.add.at(g, at[live], gap[live])
+        for t in range(1, size):
+            on = live[:, t]
+            joint = alpha[t - 1][on][:, :, None] + field.pairs[None] + (scores[on, t] + beta[t][on])[:, None, :] - total[on][:, None, None]
+            grads[3] -= np.exp(np.minimum(joint, 0)).sum(0) / n
+            np.add.at(grads[3], (gold[on, t - 1], gold[on, t]), 1 / n)
+        grads[3][mask < 0] = 0
+        for p, g, s in zip(params, grads, squares, strict=True):
+            g -= decay * np.where(p > _FORBIDDEN / 2, p, 0)
+            s += g * g
+            p += rate * g / np.sqrt(s)
+    for table in (field.before, field.after, field.own):
+        table[shapes["other"]] = np.minimum(table[shapes["other"]], 0)
+        table[shapes["other"], 0] = max(table[shapes["other"], 0], 4.0 if table is field.own else 0.0)
+    return field
+
+
+#: Marked-up lines that the field is trained from: ``{kind|text}`` marks a span.
+LABELLED = (
+    "write to {email|ann.lee at mail dot org} before noon",
+    "reach me: {email|bob (at) example (dot) com} thanks",
+    "mail {email|kim[at]host.example.org} for more",
+    "mail {email|joe.1 [at] host.example.net} soon",
+    "address {email|x_y{at}mail.example.com} was given",
+    "send it to {email|sam.20@mail.example.com} and wait",
+    "from {email|t33@host9.example.org}, who said so",
+    "call {phone|(555) 123-4567} today",
+    "her number is {phone|(555) 987-6543}.",
+    "{phone|(555) 222-3333} rings twice",
+    "tel {phone|555-123-4567} or later",
+    "phone: {phone|555.123.4567} please",
+    "call {phone|+1 (939) 555-8456} after six",
+    "fax {phone|+44 20 7946 0958} only",
+    "mobile {phone|0171 555 0123} at night",
+    "server {ip|10.20.30.40} was down",
+    "the host {ip|192.168.1.77} answered",
+    "from {ip|8.8.4.4}, then silence",
+    "card {card|4111-1111-1111-1111} was charged",
+    "visa {card|4111 1111 1111 1111} expired",
+    "pay with {card|4012888888881881} now",
+    "visa {card|4222.2222.2222.2222} was lost",
+    "we met at noon and left at 5 with 3 friends",
+    "version 2.4.1 came out in 2019 with 14 fixes",
+    "on 2021-03-04 the price was 3.50 for 12 pieces",
+    "in 1998 about 1200 people lived there , 30 more came",
+    "order 88231 holds 15 parts of 20 each",
+    "chapter 3 section 4.2 page 117 line 8",
+    "token = a81f3c99d0e2 password=77ab01ffe3 key",
+    "sha 0f8a6b64d2e1c7 size 4096 id 10002377",
+    "room 12 floor 3 at the end , dot by dot",
+    "the ratio 16:9 and 4/3 or 50% of 100",
+    "he lived at home and came at last",
+    "log 17:45:09 took 250 ms at node7",
+    "the dot at the end was red",
+    "follow @name and @other on the site",
+    "a 1,250,000 result from 9,876 rows",
+    "item 1234567890123 weight 20 kg",
+    "copyright 2001-2010 , all 3 volumes",
+    "x1 y2 z3 = 17 + 4.0 - 2e5",
+    "plain words stand here without any sign",
+    "the card said call me by my name",
+)
+
+
+def labelled_rows(lines: tuple[str, ...] = LABELLED) -> list[tuple[str, list[tuple[str, int, int]]]]:
+    """Texts and spans of marked-up lines."""
+    out = []
+    for line in lines:
+        text, spans, at = "", [], 0
+        for m in re.finditer(rf"\{{({'|'.join(KINDS)})\|((?:[^{{}}]|\{{at\}})*)\}}", line):
+            text += line[at : m.start()]
+            spans.append((m[1], len(text), len(text) + len(m[2])))
+            text, at = text + m[2], m.end()
+        out.append((text + line[at:], spans))
+    return out
+
+
+@cache
+def default_field() -> Field:
+    return fit(labelled_rows())
+
+
+_SPELLED_EMAIL = re.compile(
+    r"[A-Za-z0-9._%+-]+(?:(?:@|\s?[(\[{<]\s?at\s?[)\]}>]\s?)[A-Za-z0-9-]+(?:(?:\.|\s?[(\[{<]\s?dot\s?[)\]}>]\s?|\sdot\s)[A-Za-z0-9-]+)+|\sat\s[A-Za-z0-9-]+(?:\sdot\s[A-Za-z0-9-]+)+)",
+    re.IGNORECASE,
+)
+_SOUND = {
+    "email": lambda s: bool(_SPELLED_EMAIL.fullmatch(s)),
+    "ip": lambda s: len(p := re.findall(r"[0-9]+", s)) == 4 and all(len(x) <= 3 and int(x) <= 255 for x in p) and not re.search("[A-Za-z]", s),
+    "card": lambda s: 12 <= len(d := re.sub(r"[^0-9]", "", s)) <= 19 and _luhn(d) and not re.search("[A-Za-z]", s),
+    "phone": lambda s: 9 <= len(re.sub(r"[^0-9]", "", s)) <= 15 and not re.search("[A-Za-z]", s) and bool(re.search(r"[0-9][\s().-]+[0-9]", s)),
+}
+
+
+def field_spans(texts: list[str], field: Field, signed: list[bool] | None = None) -> list[list[tuple[str, int, int]]]:
+    """Spans that the field finds in each text; only those whose characters fit their kind are kept."""
+    owner, tokens = [], []
+    for k, text in enumerate(texts):
+        if not (signed[k] if signed else _SIGN.search(text)):
+            continue
+        found = [(m[0], *m.span()) for m in _TOKEN.finditer(text)]
+        last = -1
+        for i, t in enumerate(found):
+            if _SIGNED_TOKEN.search(t[0]):
+                if last >= 0 and i - MARGIN <= last:
+                    tokens[-1] += found[last + 1 : i + MARGIN + 1]
+                else:
+                    owner.append(k)
+                    tokens.append(found[max(0, i - MARGIN) : i + MARGIN + 1])
+                last = min(i + MARGIN, len(found) - 1)
+    out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
+    for k, stretch, labels in zip(owner, tokens, field.decode([[shape(t[0]) for t in s] for s in tokens]), strict=True):
+        i = 0
+        while i < len(labels):
+            if not labels[i]:
+                i += 1
+                continue
+            kind, j = LABELS[labels[i]][2:], i + 1
+            while j < len(labels) and LABELS[labels[j]] == f"I-{kind}":
+                j += 1
+            a, b = stretch[i][1], stretch[j - 1][2]
+            text = texts[k]
+            while a < b and text[a] in "\"'<[{,;:" + ("(" if kind != "phone" else ""):
+                a += 1
+            while b > a and text[b - 1] in "\"'>.,;:!?" + (")]}" if kind != "email" or "at" not in text[a:b].split("@")[-1][-4:] else ""):
+                b -= 1
+            if _SOUND[kind](text[a:b]):
+                out[k].append((kind, a, b))
+            i = j
+    return out
+
+
+def all_spans(texts: list[str], field: Field, signed: list[bool] | None = None) -> tuple[list[list[tuple[str, int, int]]], list[list[tuple[str, int, int]]]]:
+    """The patterns' spans of each text, and those with what the field adds: spans that touch none of the patterns'."""
+    base = [pattern_spans(t) if (signed is None or signed[k]) else [] for k, t in enumerate(texts)]
+    added = field_spans(texts, field, signed)
+    every = [_ordered([*b, *(s for s in a if not any(s[1] < y and x < s[2] for _, x, y in b))]) for b, a in zip(base, added, strict=True)]
+    return base, every
+
+
+def _written(spans: list[tuple[str, int, int]]) -> str:
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+
+
+def _signed(column: pa.Array) -> list[bool]:
+    import pyarrow.compute as pc
+
+    return [bool(x) for x in pc.match_substring_regex(column, _SIGN_RE2).to_pylist()]
+
+
+def find(docs: DataFrame, field: Field | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_email, n_ip, n_card, n_phone`` (of the patterns' spans), ``base_sha256, spans, n_added`` of each whole text.  No shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(field or default_field())
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        base, every = all_spans([t or "" for t in batch.column(1).to_pylist()], shared.value, _signed(batch.column(1)))
+        counts = [pa.array([sum(s[0] == k for s in b) for b in base], pa.int64()) for k in KINDS]
+        digests = pa.array([hashlib.sha256(_written(b).encode()).hexdigest() for b in base])
+        added = pa.array([len(e) - len(b) for b, e in zip(base, every, strict=True)], pa.int64())
+        return pa.RecordBatch.from_arrays([batch.column(0), *counts, digests, pa.array([_written(e) for e in every]), added], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
+
+    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+
+
+def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
+    """Text with each span replaced by its kind in angle brackets; of overlapping spans the first and longest names the place of all."""
+    out, at = [], 0
+    for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
+        if a >= at:
+            out += [text[at:a], f"<{kind.upper()}>"]
+        at = max(at, b)
+    return "".join([*out, text[at:]])
+
+
+def redact(docs: DataFrame, field: Field | None = None) -> DataFrame:
+    """``docs`` with personal data replaced in ``text``, and ``n_chars`` counted anew; null texts stay null."""
+    shared = docs.sparkSession.sparkContext.broadcast(field or default_field())
+    columns, schema = docs.columns, docs.schema
+    at = columns.index("text")
+
+    def run(batches):
+        for whole in batches:
+            for start in range(0, whole.num_rows, 500):
+                batch = whole.slice(start, 500)
+                texts = batch.column(at).to_pylist()
+                _, every = all_spans([t or "" for t in texts], shared.value, _signed(batch.column(at)))
+                new = [t if t is None else redacted(t, e) if e else t for t, e in zip(texts, every, strict=True)]
+                arrays = [pa.array(new, batch.schema.field(i).type) if i == at else c for i, c in enumerate(batch.columns)]
+                yield pa.RecordBatch.from_arrays(arrays, names=columns)
+
+    out = docs.mapInArrow(run, schema)
+    return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in columns else out
