@@ -33,8 +33,9 @@ from longbox.llm.shared import map_batches, stored
 WORDS, SIMILARITY = 5, 0.8
 #: Bands, tuples in a band, windows in a tuple: a pair at the threshold is missed about once in 2000.
 BANDS, ROWS, TAKEN = 24, 2, 3
-#: Nodes that lead in a bucket in one round, after the first.
-LEADERS = 8
+#: Nodes that lead in a bucket in one round after the first: these at least, and in small buckets so many as keep to
+#: this number of pairs.
+LEADERS, BUCKET_PAIRS = 8, 4096
 #: Ids that may be broadcast to pick rows; more are joined by a shuffle.
 MOST_BROADCAST = 2_000_000
 #: Words whose hashes a Python worker keeps.
@@ -162,17 +163,18 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
 
 
 def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, digest, bands``; digest is 128 bits of the words, null where there is none."""
+    """``doc_id, digest, bands, size``; digest is 128 bits of the words, null where there is none."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        digests, bands = [], []
+        digests, bands, sizes = [], [], []
         for text in batch.column(1).to_pylist():
             words = words_of(text)
             digests.append(xxhash.xxh3_128_digest(" ".join(words)) if words else None)
             bands.append(sketch(words).view(np.int64) if words else None)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "digest", "bands"])
+            sizes.append(max(1, len(words) - WORDS + 1))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sizes, pa.int32())], ["doc_id", "digest", "bands", "size"])
 
-    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, digest binary, bands array<long>")
+    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, digest binary, bands array<long>, size int")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -204,17 +206,18 @@ def _windows(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> D
 def components(links: DataFrame) -> DataFrame:
     """``(node, root)`` of every node on a link ``(a, b)``: the smallest node that it is connected with.
 
-    Each step links every node to the smallest of its neighbours and that one's label, which halves paths; a step's
-    result is stored, so lineage stays short.  No node's neighbours are gathered: only minima are.
+    A step hangs each edge's larger end below the least neighbour of its smaller end, its smaller end below that of
+    its larger end, and every node below its own; this keeps what is connected together and shortens paths by half.  A
+    step's result is stored, so lineage stays short.  No node's neighbours are gathered: only minima are.
     """
     edges = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
     while True:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("m"))
-        # Every edge hangs its ends below the smallest neighbour of its larger end (and itself under it).
-        hung = edges.join(least.select(F.col("node").alias("b"), "m"), "b").select(F.col("m").alias("x"), F.col("a").alias("y")).unionByName(least.select(F.col("m").alias("x"), F.col("node").alias("y")))
+        # Both ends of an edge, each with the other's least neighbour.
+        hung = both.join(least.select(F.col("node").alias("a"), "m"), "a").select(F.col("m").alias("x"), F.col("b").alias("y")).unionByName(least.select(F.col("m").alias("x"), F.col("node").alias("y")))
         new = stored(hung.where("x < y").distinct(), "edges").withColumnsRenamed({"x": "a", "y": "b"})
-        # Done when all edges are stars: each node hangs below one other only, and nothing hangs below it.
+    # Done when all edges are stars: each node hangs below one other only, and nothing hangs below it.
         ends = new.select(F.col("b").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(new.select(F.col("a").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
         if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)").isEmpty():
             return new.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(new.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
@@ -223,24 +226,34 @@ def components(links: DataFrame) -> DataFrame:
 
 def _next_pairs(buckets: DataFrame, roots: DataFrame, led: DataFrame) -> DataFrame:
     """``key, a, b``: the next leaders of each bucket that holds several components, with all nodes of others."""
-    state = buckets.join(roots, "node", "left").join(led, ["key", "node"], "left").select("key", "node", F.coalesce("root", "node").alias("root"), F.coalesce("led", F.lit(False)).alias("led"))
-    sizes = state.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count(F.lit(1)).alias("n"))
-    state = state.join(sizes.where("n > 1").select("key", "largest"), "key")
+    state = buckets.join(roots, "node", "left").join(led, ["key", "node"], "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"), F.coalesce("led", F.lit(False)).alias("led"))
+    sizes = state.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count(F.lit(1)).alias("n"), F.sum("n").alias("all"))
+    state = state.join(sizes.where("n > 1").select("key", "largest", "all"), "key")
     outside = state.where("root <> largest and not led")
-    leaders = outside.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("node"))).where(F.col("nth") <= LEADERS)
-    return leaders.select("key", F.col("node").alias("a"), F.col("root").alias("a_root")).join(state.select("key", F.col("node").alias("b"), F.col("root").alias("b_root")), "key").where("a_root <> b_root").select("key", "a", "b")
+    leaders = outside.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("node"))).where(F.col("nth") <= F.greatest(F.lit(LEADERS), BUCKET_PAIRS / F.col("all")))
+    return leaders.select("key", F.col("node").alias("a"), F.col("root").alias("a_root"), F.col("size").alias("a_size")).join(state.select("key", F.col("node").alias("b"), F.col("root").alias("b_root"), F.col("size").alias("b_size")), "key").where("a_root <> b_root").select("key", "a", "b", "a_size", "b_size")
+
+
+def _close() -> F.Column:
+    """Sizes that an alignment can link: the shorter sequence must hold enough of the longer one."""
+    return F.least("a_size", "b_size") >= SIMILARITY * F.greatest("a_size", "b_size") - 1e-9
 
 
 def _linked(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame | None:
     """``(node, root)`` of nodes that links connect with others; None if no bucket holds two."""
-    wide = nodes.where("node is not null").select("node", F.explode("bands").alias("key"))
-    shared = wide.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "a")
-    buckets = stored(wide.join(shared, "key"), "buckets")
+    wide = nodes.where("node is not null").select("node", "size", F.explode("bands").alias("key"))
+    shared = wide.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    # Linked sizes differ by a quarter at most: each node stands in two neighbouring cells of such steps, and a pair
+    # that can be linked shares one, so texts of other sizes that share a passage do not fill a bucket.
+    cell = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(1 / SIMILARITY)) + 1e-9)
+    cells = wide.join(shared, "key").withColumn("cell", F.explode(F.array(cell, cell + 1))).select(F.xxhash64("key", "cell").alias("key"), "node", "size").distinct()
+    first = cells.groupBy("key").agg(F.min(F.struct("node", "size")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.col("first.node").alias("a"), F.col("first.size").alias("a_size"))
+    buckets = stored(cells.join(first, "key"), "buckets")
     if buckets.isEmpty():
         return None
     texts = stored(_windows(docs, buckets.select("node").distinct(), id_col, text_col), "windows")
-    pairs = buckets.where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    buckets, tried, led = buckets.select("key", "node"), None, None
+    pairs = buckets.withColumn("b_size", F.col("size")).where("node <> a").where(_close()).select("a", F.col("node").alias("b")).distinct()
+    buckets, tried, led = buckets.select("key", "node", "size"), None, None
     while True:
         checked = stored(_verified(pairs, texts), "checked")
         tried = checked if tried is None else tried.unionByName(checked)
@@ -251,13 +264,13 @@ def _linked(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> Da
         if ahead.isEmpty():
             return roots
         led = led.unionByName(ahead.select("key", F.col("a").alias("node")).distinct().withColumn("led", F.lit(True)))
-        pairs = ahead.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = ahead.where(_close()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, class_id)``: the smallest id of the documents that links connect with each document."""
     rows = stored(_sketched(docs, id_col, text_col), "sketches")
-    nodes = stored(rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "nodes")
+    nodes = stored(rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("size").alias("size")), "nodes")
     roots = _linked(docs, nodes, id_col, text_col)
     named = nodes.select("digest", F.col("node").alias("class_id"))
     if roots is not None:
