@@ -23,15 +23,21 @@ def asc(name: str) -> Column:
     return F.col(name).asc_nulls_last()
 
 
-def page(rows: DataFrame, order: list[Column], limit: int = PAGE_ROWS, offset: int = 0) -> DataFrame:
+def ordered(names: tuple[str, ...]) -> list[Column]:
+    """Columns of an order written as names, a minus before those that run down."""
+    return [desc(n[1:]) if n.startswith("-") else asc(n) for n in names]
+
+
+def page(rows: DataFrame, order: tuple[str, ...], limit: int = PAGE_ROWS, offset: int = 0) -> DataFrame:
     """Rows ``offset`` to ``offset + limit`` in order, numbered, with ``has_more`` and ``next_offset``.
 
     One row more than asked for is read, so that no count is needed; the top of each task is all that is moved.
     """
     from pyspark.sql import Window
 
-    top = rows.orderBy(*order).limit(offset + limit + 1)
-    numbered = top.withColumn("position", F.row_number().over(Window.orderBy(*order)))
+    columns = ordered(order)
+    top = rows.orderBy(*columns).limit(offset + limit + 1)
+    numbered = top.withColumn("position", F.row_number().over(Window.orderBy(*columns)))
     total = F.count(F.lit(1)).over(Window.partitionBy())
     numbered = numbered.withColumn("has_more", total > offset + limit)
     shown = numbered.where((F.col("position") > offset) & (F.col("position") <= offset + limit))
@@ -80,7 +86,7 @@ def publisher_options(c: Catalog, text: str = "") -> DataFrame:
     return ranked(c.publishers, text, ["name"], [("name", "is"), ("name", "starts")]).select("id", F.col("name").alias("label"), "search_rank")
 
 
-PUBLISHER_ORDER = [asc("search_rank"), asc("label"), asc("id")]
+PUBLISHER_ORDER = ("search_rank", "label", "id")
 
 
 def run_options(c: Catalog, text: str = "", publisher_id: int | None = None) -> DataFrame:
@@ -89,7 +95,7 @@ def run_options(c: Catalog, text: str = "", publisher_id: int | None = None) ->
     return ranked(rows, text, ["title", "start_year", "publisher"], [("title", "is"), ("title", "starts"), ("publisher", "starts"), ("title", "has")])
 
 
-RUN_ORDER = [asc("search_rank"), desc("start_year"), desc("first_issue_date"), asc("publisher"), asc("title"), asc("id")]
+RUN_ORDER = ("search_rank", "-start_year", "-first_issue_date", "publisher", "title", "id")
 
 
 def issue_options(c: Catalog, text: str = "", publisher_id: int | None = None, run_id: int | None = None) -> DataFrame:
@@ -99,7 +105,7 @@ def issue_options(c: Catalog, text: str = "", publisher_id: int | None = None, r
     return ranked(rows, text, ["issue_number", "run_title", "run_year", "publisher"], [("issue_number", "is"), ("issue_number", "starts"), ("run_title", "is"), ("run_title", "starts"), ("run_title", "has")])
 
 
-ISSUE_ORDER = [asc("search_rank"), desc("run_year"), desc("published_date"), asc("run_title"), asc("issue_number"), asc("id")]
+ISSUE_ORDER = ("search_rank", "-run_year", "-published_date", "run_title", "issue_number", "id")
 
 
 def reached_runs(c: Catalog) -> DataFrame:
@@ -132,7 +138,7 @@ def volume_options(c: Catalog, text: str = "", publisher_id: int | None = None,
     return ranked(rows, text, ["title", "run_title", "reached", "volume_number", "publisher"], ranks).drop("reached")
 
 
-VOLUME_ORDER = [asc("search_rank"), desc("release_date"), desc("run_year"), asc("run_title"), asc("volume_number"), asc("title"), asc("id")]
+VOLUME_ORDER = ("search_rank", "-release_date", "-run_year", "run_title", "volume_number", "title", "id")
 
 
 def one_shot_options(c: Catalog, text: str = "", publisher_id: int | None = None) -> DataFrame:
@@ -141,7 +147,7 @@ def one_shot_options(c: Catalog, text: str = "", publisher_id: int | None = None
     return ranked(rows, text, ["title", "start_year", "publisher"], [("title", "is"), ("title", "starts"), ("publisher", "starts"), ("title", "has")])
 
 
-ONE_SHOT_ORDER = [asc("search_rank"), desc("published_date"), desc("start_year"), asc("publisher"), asc("title"), asc("id")]
+ONE_SHOT_ORDER = ("search_rank", "-published_date", "-start_year", "publisher", "title", "id")
 
 
 # Selections ----------------------------------------------------------------------------------------------------
