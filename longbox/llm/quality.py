@@ -86,13 +86,12 @@ def votes() -> dict[str, Column]:
     }
 
 
-def fit_rules(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[tuple[float, float]]]:
-    """Share of good texts, and for each rule the shares of right votes on good and on bad texts, from pattern counts.
+def fit_rules(patterns: list[tuple[tuple[int, ...], int]], k: int) -> tuple[float, list[tuple[float, float]]]:
+    """Share of good texts, and for each of ``k`` rules the shares of right votes on good and on bad texts, from pattern counts.
 
     A rule's votes are taken as independent given the text's class; abstentions say nothing.  Starting accuracies
     count as ``PRIOR_VOTES`` votes of each class, so a rule that never votes keeps them.
     """
-    k = len(patterns[0][0]) if patterns else 0
     good, rules = PRIOR_GOOD, [(PRIOR_ACCURACY, PRIOR_ACCURACY)] * k
     total = sum(n for _, n in patterns)
     for _ in range(EM_STEPS if total else 0):
@@ -131,7 +130,7 @@ def judged(counts: DataFrame, least: float = 0.5) -> DataFrame:
     voted = counts.select("*", *[c.cast("int").alias(f"_vote_{r}") for r, c in rules.items()])
     names = [f"_vote_{r}" for r in rules]
     patterns = [(tuple(r[:-1]), r[-1]) for r in voted.groupBy(*names).count().orderBy(*names).collect()]
-    good, fitted = fit_rules(patterns)
+    good, fitted = fit_rules(patterns, len(names))
     odds = F.lit(math.log(good) - math.log(1 - good))
     for name, rule in zip(names, fitted, strict=True):
         odds = odds + F.when(F.col(name) == GOOD, _weight(GOOD, *rule)).when(F.col(name) == BAD, _weight(BAD, *rule)).otherwise(0.0)
