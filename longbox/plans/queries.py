@@ -551,3 +551,107 @@ def _weekly_counts(spark: SparkSession, sf: str) -> DataFrame:
 @query("rate_limit", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 600 MINUTE PRECEDING AND CURRENT ROW) > 3 AS blocked FROM events", catalog=False)
 def _rate_limit(spark: SparkSession, sf: str) -> DataFrame:
     return scans.rate_limited(table(spark, sf, "events"), "user_id", "ts", 3, 600).select("event_id", "blocked")
+
+
+# Pages and promotion -------------------------------------------------------------------------------------------
+
+
+@query("issue_links", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 4 THEN 'series' ELSE 'issue' END AS kind, CAST(o_orderkey AS VARCHAR) AS link_id, CASE WHEN o_orderkey % 5 = 4 THEN '' ELSE 'Red Ring' END AS title, CASE WHEN o_orderkey % 5 = 4 THEN '' ELSE CAST(year(o_orderdate) AS VARCHAR) END AS year, CASE WHEN o_orderkey % 5 = 4 THEN '' ELSE CAST(o_custkey AS VARCHAR) || 'A' END AS number FROM orders WHERE o_orderkey % 7 <> 0", catalog=False)
+def _issue_links(spark: SparkSession, sf: str) -> DataFrame:
+    from longbox.sources import pages
+
+    n = F.col("o_orderkey")
+    kind = F.when(n % 7 == 0, "story").when(n % 5 == 4, "series").otherwise("issue")
+    href = F.concat(F.lit("https://x.org/comics/"), kind, F.lit("/"), n.cast("string"), F.lit("/red_ring_"), F.year("o_orderdate").cast("string"), F.lit("_"), F.col("o_custkey").cast("string"), F.lit("a?x=1"))
+    rows = table(spark, sf, "orders").select(n.alias("id"), pages.link_fields(href).alias("f")).where("f is not null")
+    return rows.select("id", "f.kind", F.col("f.id").alias("link_id"), "f.title", "f.year", "f.number")
+
+
+@query("batches", ", n AS (SELECT id, (row_number() OVER (ORDER BY id) - 1) // 100 AS batch FROM issues) SELECT CAST(batch AS BIGINT) AS batch, count(*) AS n, min(id) AS first_id FROM n GROUP BY 1")
+def _batches(c: Catalog) -> DataFrame:
+    from longbox.operators import sync
+
+    return sync.batches(c.issues.select("id"), "id").groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
+
+
+@query("refreshed", " SELECT CASE WHEN id % 3 = 0 AND id % 2 = 0 THEN 'returned' WHEN id % 3 = 0 THEN 'not returned' ELSE 'unexpected' END AS outcome, count(*) AS n FROM runs WHERE id % 3 = 0 OR id % 2 = 0 GROUP BY 1")
+def _refreshed(c: Catalog) -> DataFrame:
+    from longbox.operators import sync
+
+    return reports.histogram(sync.refreshed(c.runs.where("id % 3 = 0"), c.runs.where("id % 2 = 0")), "outcome")
+
+
+@query("promoted_issues", """, s AS (SELECT run_id, issue_number, max(published_date + 7) AS date FROM issues WHERE id % 3 = 0 AND issue_number <> '' GROUP BY ALL UNION ALL SELECT id, 'New', DATE '1998-01-01' FROM runs WHERE id % 10 = 0)
+    SELECT COALESCE(i.run_id, s.run_id) AS run_id, COALESCE(i.issue_number, s.issue_number) AS issue_number, i.id, COALESCE(published_date, date) AS published_date,
+      COALESCE(is_released, false) OR COALESCE(COALESCE(published_date, date) <= DATE '1999-06-01', false) AS is_released, CASE WHEN i.id IS NULL THEN 'created' WHEN date IS NOT NULL AND published_date IS NULL THEN 'updated' ELSE 'unchanged' END AS outcome
+    FROM issues i FULL JOIN s ON i.run_id = s.run_id AND i.issue_number = s.issue_number""")
+def _promoted_issues(c: Catalog) -> DataFrame:
+    from longbox.operators import sync
+
+    known = c.issues.where("id % 3 = 0").select("run_id", "issue_number", F.date_add("published_date", 7).alias("date"))
+    new = c.runs.where("id % 10 = 0").select(F.col("id").alias("run_id"), F.lit("New").alias("issue_number"), F.lit("1998-01-01").cast("date").alias("date"))
+    return sync.promoted_issues(c.issues, known.unionByName(new), F.lit("1999-06-01").cast("date"))
+
+
+_STALE = ", stale AS (SELECT r.id AS run_id, i.id AS issue_id, title, i.published_date FROM runs r JOIN (SELECT run_id, max(id) AS id, max(published_date) AS published_date FROM issues WHERE run_id % 4 = 0 AND published_date < DATE '1996-01-01' GROUP BY 1 HAVING count(*) = 1) i ON i.run_id = r.id)"
+
+
+def _stale(c: Catalog) -> DataFrame:
+    few = c.issues.where("run_id % 4 = 0 and published_date < DATE '1996-01-01'")
+    return classify.stale_single_issue_runs(c.runs, few, F.lit("2001-01-01").cast("date"))
+
+
+@query("converted_links", _STALE + """, l AS (SELECT volume_id, run_id, issue_order AS o FROM volume_issues JOIN stale USING (issue_id) UNION ALL SELECT volume_id, run_id, item_order FROM volume_runs JOIN stale USING (run_id) UNION ALL SELECT v.id, v.run_id, 1 FROM volumes v JOIN stale USING (run_id))
+    SELECT volume_id, 'run:' || CAST(run_id AS VARCHAR) AS source_key, min(o) AS item_order FROM l GROUP BY ALL""")
+def _converted_links(c: Catalog) -> DataFrame:
+    from longbox.operators import sync
+
+    return sync.converted(c, _stale(c))["volume_one_shots"]
+
+
+@query("converted_volumes", _STALE + " SELECT id, CASE WHEN run_id IN (SELECT run_id FROM stale) THEN NULL ELSE run_id END AS run_id, title FROM volumes")
+def _converted_volumes(c: Catalog) -> DataFrame:
+    from longbox.operators import sync
+
+    return sync.converted(c, _stale(c))["volumes"].select("id", "run_id", "title")
+
+
+@query("new_era_runs", " SELECT id AS run_id FROM runs WHERE status = 'ongoing' AND id NOT IN (SELECT run_id FROM era_runs)")
+def _new_era_runs(c: Catalog) -> DataFrame:
+    from longbox.operators import sync
+
+    return sync.new_era_runs(c)
+
+
+@query("orphans", " SELECT count(*) AS n FROM volume_issues WHERE issue_id NOT IN (SELECT id FROM issues WHERE id % 7 <> 0)")
+def _orphans(c: Catalog) -> DataFrame:
+    from longbox.operators import sync
+
+    return sync.orphans(c.volume_issues, "issue_id", c.issues.where("id % 7 <> 0")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("keyword_search", _RUN_ROWS + " SELECT id, title, publisher FROM run_rows WHERE contains(lower(title), 'customer') AND (contains(lower(title), '9') OR contains(start_year, '9') OR contains(lower(publisher), '9')) AND status = 'ongoing'")
+def _keyword_search(c: Catalog) -> DataFrame:
+    from longbox.operators import sync
+
+    return sync.search(listing.run_rows(c), "customer 9", ["title", "start_year", "publisher"], status="ongoing").select("id", "title", "publisher")
+
+
+@query("hydration_due", " SELECT id FROM runs WHERE first_issue_date IS NULL OR last_issue_date > first_issue_date + 1500")
+def _hydration_due(c: Catalog) -> DataFrame:
+    from longbox.operators import sync
+
+    rows = c.runs.withColumn("refreshed", F.date_add("first_issue_date", 1500))
+    return sync.hydration_due(rows, "refreshed", "last_issue_date").select("id")
+
+
+@query("page_roles", """WITH r AS (SELECT DISTINCT l_orderkey AS ref, l_suppkey AS p, CASE l_returnflag WHEN 'A' THEN 'Writer' WHEN 'N' THEN 'Penciller' ELSE 'Editor' END AS role FROM lineitem WHERE l_orderkey % 20 = 0)
+    SELECT ref, role, 'Person ' || CAST(p AS VARCHAR) AS name FROM r""", catalog=False)
+def _page_roles(spark: SparkSession, sf: str) -> DataFrame:
+    from longbox.sources import pages
+
+    t = table(spark, sf, "lineitem").where("l_orderkey % 20 = 0")
+    label = F.when(F.col("l_returnflag") == "A", "Written by").when(F.col("l_returnflag") == "N", "Pencilers").otherwise("Editor")
+    line = F.concat(label, F.lit(": Person "), F.col("l_suppkey").cast("string"), F.lit(" & person "), F.col("l_suppkey").cast("string"))
+    texts = t.groupBy(F.col("l_orderkey").alias("page")).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("text"))
+    return pages.credits_of(pages.labelled_lines(texts, "page", "text")).select("ref", "role", "name")
