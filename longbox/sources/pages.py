@@ -33,7 +33,7 @@ def link_fields(href: Column) -> Column:
 def series_fields(c: Column) -> Column:
     """Struct ``title, start_year, end_year, ongoing`` of ``Title (2022 - )``."""
     text = squeezed(c)
-    part = lambda k: F.regexp_extract(text, r"^(.*?)\s*\(\s*(\d{4})\s*(-|–)?\s*(\d{4}|present)?\s*\)\s*$", k)
+    part = lambda k: F.regexp_extract(text, r"(?i)^(.*?)\s*\(\s*(\d{4})\s*(-|–)?\s*(\d{4}|present)?\s*\)\s*$", k)
     found = part(2) != ""
     end = F.when(F.lower(part(4)) == "present", "").otherwise(part(4))
     return F.struct(F.when(found, part(1)).otherwise(text).alias("title"), part(2).alias("start_year"), end.alias("end_year"), (found & (part(3) != "") & (end == "")).alias("ongoing"))
