@@ -8,10 +8,12 @@ set similarity.  Texts that agree in all tuples of a band are candidates.
 A candidate pair is verified by a banded alignment of its window sequences: the pair is linked if the longest common
 subsequence L satisfies L >= 0.8 * (n + m - L).  The band holds every alignment that can reach this, so it loses none.
 
-Equal texts are one node from the start.  In a bucket of candidates, all are aligned with one leader and links make
-components.  Where a bucket still holds several, nodes outside its largest component lead next, a few a round, against
-all nodes of other components, until each has led or one component is left.  Every pair of a bucket is thus either
-aligned or connected already, without all pairs and without caps.
+Equal texts are one node from the start.  In a bucket of candidates, all are aligned with one leader, and links make
+components.  Buckets that then hold several components are taken together where they overlap: nodes outside the
+largest component meet all nodes in blocks of bounded size.  A block counts shared windows for all its pairs by one
+matrix product, which bounds the alignment from above, and aligns only pairs that can pass and are not connected yet;
+links alone leave it.  Every pair of a bucket is thus ruled out, aligned or connected, without caps, and no table of
+pairs is made.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` as they stand.  A text of one to four words is one window; null texts and texts
 without a word form classes of their own row.  Rows that repeat an id count as one node of equal rows.
@@ -25,7 +27,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from longbox.llm.shared import map_batches, stored
@@ -33,9 +35,10 @@ from longbox.llm.shared import map_batches, stored
 WORDS, SIMILARITY = 5, 0.8
 #: Bands, tuples in a band, windows in a tuple: a pair at the threshold is missed about once in 2000.
 BANDS, ROWS, TAKEN = 24, 2, 3
-#: Nodes that lead in a bucket in one round after the first: these at least, and in small buckets so many as keep to
-#: this number of pairs.
-LEADERS, BUCKET_PAIRS = 8, 4096
+#: Windows of a block of texts that are compared together.
+BLOCK_WINDOWS = 400_000
+#: Cells of a block's matrices that are held at once.
+MATRIX_CELLS = 8_000_000
 #: Ids that may be broadcast to pick rows; more are joined by a shuffle.
 MOST_BROADCAST = 2_000_000
 #: Words whose hashes a Python worker keeps.
@@ -224,14 +227,66 @@ def components(links: DataFrame) -> DataFrame:
         edges = new
 
 
-def _next_pairs(buckets: DataFrame, roots: DataFrame, led: DataFrame) -> DataFrame:
-    """``key, a, b``: the next leaders of each bucket that holds several components, with all nodes of others."""
-    state = buckets.join(roots, "node", "left").join(led, ["key", "node"], "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"), F.coalesce("led", F.lit(False)).alias("led"))
-    sizes = state.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count(F.lit(1)).alias("n"), F.sum("n").alias("all"))
-    state = state.join(sizes.where("n > 1").select("key", "largest", "all"), "key")
-    outside = state.where("root <> largest and not led")
-    leaders = outside.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("node"))).where(F.col("nth") <= F.greatest(F.lit(LEADERS), BUCKET_PAIRS / F.col("all")))
-    return leaders.select("key", F.col("node").alias("a"), F.col("root").alias("a_root"), F.col("size").alias("a_size")).join(state.select("key", F.col("node").alias("b"), F.col("root").alias("b_root"), F.col("size").alias("b_size")), "key").where("a_root <> b_root").select("key", "a", "b", "a_size", "b_size")
+def block_links(nodes: np.ndarray, roots: np.ndarray, sides: np.ndarray, sequences: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links between nodes of side 0 and nodes of side 1 that join components not joined in this block before."""
+    sets = [labelled(x) for x in sequences]
+    sizes = np.array([len(x) for x in sequences])
+    left, right = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    values, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    kept = count[column] > 1  # a window of one text is shared by none
+    owner, column = owner[kept], np.searchsorted(np.flatnonzero(count > 1), column[kept])
+    width, step = int((count > 1).sum()), max(1, MATRIX_CELLS // max(1, len(sets)))
+    shared = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, width, step):
+        inside = (column >= start) & (column < start + step)
+        m = np.zeros((len(sets), min(step, width - start)), np.float32)
+        m[owner[inside], column[inside] - start] = 1
+        shared += m[left] @ m[right].T
+    total = sizes[left][:, None] + sizes[right][None, :]
+    able = (shared >= SIMILARITY * (total - shared) - 1e-3) & (roots[left][:, None] != roots[right][None, :])
+    group = {r: r for r in roots.tolist()}
+
+    def find(x: int) -> int:
+        while group[x] != x:
+            group[x] = group[group[x]]
+            x = group[x]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(able), strict=True):
+        a, b = left[i], right[j]
+        x, y = find(int(roots[a])), find(int(roots[b]))
+        if x != y and aligned(sequences[a], sequences[b]):
+            group[max(x, y)] = min(x, y)
+            out.append((int(nodes[a]), int(nodes[b])))
+    return out
+
+
+def _rest_links(buckets: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """Links ``(a, b)`` between components that share a bucket; None if no bucket holds several."""
+    state = buckets.join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
+    several = state.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("node").alias("first")).where("x < y").select("key", "first")
+    held = stored(state.join(several, "key").select("first", "node", "size", "root"), "open-buckets")
+    if held.isEmpty():
+        return None
+    family = components(held.select(F.col("first").alias("a"), F.col("node").alias("b"))).select("node", F.col("root").alias("family"))
+    members = held.select("node", "size", "root").distinct().join(family, "node")
+    parts = members.groupBy("family", "root").agg(F.sum("size").alias("n"))
+    facts = parts.groupBy("family").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    facts = facts.select("family", "largest", F.ceil(F.col("all") / BLOCK_WINDOWS).alias("wide"), F.ceil((F.col("all") - F.col("most")) / BLOCK_WINDOWS).alias("high"))
+    members = stored(members.join(facts.where("high > 0"), "family"), "families")
+    number = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    rows = members.where("root <> largest").select("family", number("high").alias("i"), every("wide").alias("j"), "node", "root", F.lit(0).alias("side"))
+    rows = rows.unionByName(members.select("family", every("high").alias("i"), number("wide").alias("j"), "node", "root", F.lit(1).alias("side")))
+
+    def run(table: pa.Table) -> pa.Table:
+        sequences = [np.frombuffer(x.as_py(), "<u8") for x in table.column("windows")]
+        found = block_links(table.column("node").to_numpy(), table.column("root").to_numpy(), table.column("side").to_numpy(), sequences)
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    return stored(rows.join(texts, "node").groupBy("family", "i", "j").applyInArrow(run, "a long, b long"), "block-links")
 
 
 def _close() -> F.Column:
@@ -253,18 +308,10 @@ def _linked(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> Da
         return None
     texts = stored(_windows(docs, buckets.select("node").distinct(), id_col, text_col), "windows")
     pairs = buckets.withColumn("b_size", F.col("size")).where("node <> a").where(_close()).select("a", F.col("node").alias("b")).distinct()
-    buckets, tried, led = buckets.select("key", "node", "size"), None, None
-    while True:
-        checked = stored(_verified(pairs, texts), "checked")
-        tried = checked if tried is None else tried.unionByName(checked)
-        roots = components(tried.where("linked").select("a", "b"))
-        if led is None:
-            led = buckets.groupBy("key").agg(F.min("node").alias("node")).withColumn("led", F.lit(True))
-        ahead = stored(_next_pairs(buckets, roots, led), "ahead")
-        if ahead.isEmpty():
-            return roots
-        led = led.unionByName(ahead.select("key", F.col("a").alias("node")).distinct().withColumn("led", F.lit(True)))
-        pairs = ahead.where(_close()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    links = stored(_verified(pairs, texts).where("linked").select("a", "b"), "links")
+    roots = components(links)
+    rest = _rest_links(buckets.select("key", "node", "size"), roots, texts)
+    return roots if rest is None else components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

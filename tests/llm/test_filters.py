@@ -305,3 +305,30 @@ def test_top_k_of_few(spark):
     got = [(r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(vectors, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1, 64 * 32 + 32 * 32), (0, 2, 20, 0), (20, 1, 0, 0), (20, 2, 1, 0)]
     assert topk.top_k(vectors.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_blocks_find_all_links_between_components():
+    rnd = random.Random(9)
+    base = [f"w{rnd.randrange(300)}" for _ in range(80)]
+    words = [edited(base, rnd, rnd.choice([0, 1, 2, 3, 4])) for _ in range(40)]
+    sequences = [order_minhash.windows(w) for w in words]
+    nodes = np.arange(40)
+    found = order_minhash.block_links(np.concatenate([nodes, nodes]), np.concatenate([nodes, nodes]), np.repeat([0, 1], 40), sequences * 2)
+
+    def groups(links):
+        root = list(range(40))
+        for a, b in links:
+            while root[a] != a:
+                a = root[a]
+            while root[b] != b:
+                b = root[b]
+            root[max(a, b)] = min(a, b)
+        out = []
+        for i in range(40):
+            while root[i] != i:
+                i = root[i]
+            out.append(i)
+        return out
+
+    every = [(i, j) for i, j in itertools.combinations(range(40), 2) if order_minhash.aligned(sequences[i], sequences[j])]
+    assert groups(found) == groups(every) and 0 < len(found) < 40
