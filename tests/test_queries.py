@@ -7,7 +7,7 @@ import datetime
 import duckdb
 import pytest
 
-from longbox.plans.queries import ORACLE, QUERIES
+from longbox.plans import ORACLE, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents pages benchmark labels conversations".split()
 
