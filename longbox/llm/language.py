@@ -10,11 +10,11 @@ Null texts and texts without a letter are ``und`` with score 0, and so is all wh
 from __future__ import annotations
 
 import math
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +28,9 @@ MODEL_GRAMS = 60_000
 LONGEST_GRAM = 5
 #: Unseen words whose scores a Python worker keeps.
 MOST_UNSEEN = 200_000
-_WORD = re.compile(r"[^\W\d_]+")
+#: A letter, then letters and marks: the same where words are counted and where they are looked up.
+WORD = r"\p{L}[\p{L}\p{M}]*"
+_WORD = regex.compile(WORD)
 _KEEP_LONG = 64  # letters: longer unseen words are scored anew each time
 
 
@@ -105,7 +107,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     share = math.ceil(labelled.where(F.col(lang_col).isNotNull()).count() / training_docs)
     if share > 1:
         rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0)
-    found = rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{M}]+"), F.lit(0))).alias("word"))
+    found = rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("word"))
     counts = found.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).persist()
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted(totals)

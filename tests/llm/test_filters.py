@@ -182,6 +182,11 @@ def test_unseen_words_back_off():
     model = language.LanguageModel(["aa", "bb"], {"x": 0}, np.array([[0.0, -1.0]]), {"qu": 0, "z": 1}, np.array([[-3.0, 0.0], [0.0, -2.0]]))
     assert model.predict("x")[0] == "aa" and model.predict("quiz")[0] == "bb"  # the longer n-gram decides
     assert model.predict("zoo")[0] == "aa" and model.predict("ooo") == ("aa", 0.5)
+    assert model.predict("½ ² 3 _") == ("und", 0.0)
+
+
+def test_words_keep_their_marks():
+    assert language._WORD.findall("नमस्ते ½ x²y") == ["नमस्ते", "x", "y"]
 
 
 # URL rules -----------------------------------------------------------------------------------------------------
