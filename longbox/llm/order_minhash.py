@@ -22,6 +22,7 @@ without a word form classes of their own row.  Rows that repeat an id count as o
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -41,6 +42,8 @@ BLOCK_WINDOWS = 400_000
 MATRIX_CELLS = 8_000_000
 #: Ids that may be broadcast to pick rows; more are joined by a shuffle.
 MOST_BROADCAST = 2_000_000
+#: Links that a task contracts at a time.
+CHUNK_LINKS = 200_000
 #: Words whose hashes a Python worker keeps.
 MOST_WORDS = 500_000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -206,25 +209,64 @@ def _windows(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> D
     return map_batches(mine, run, "node long, windows binary").dropDuplicates(["node"])
 
 
+def _contracted(links: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` with the same components, stored: what a task reads together hangs below its least node.
+
+    A task joins ``CHUNK_LINKS`` links at a time, whatever their keys, so its memory is bounded and nothing is shuffled.
+    """
+
+    def stars(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (y := root[x]) != x:
+                root[x] = x = root[y]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                root.setdefault(a, a)
+                root.setdefault(b, b)
+                x, y = find(a), find(b)
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+        hung = [(find(x), x) for x in root if root[x] != x]
+        return pa.RecordBatch.from_arrays([pa.array([h[k] for h in hung], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= CHUNK_LINKS:
+                yield stars(held)
+                held, n = [], 0
+        if held:
+            yield stars(held)
+
+    return stored(links.select("a", "b").mapInArrow(run, "a long, b long"), "edges")
+
+
 def components(links: DataFrame) -> DataFrame:
     """``(node, root)`` of every node on a link ``(a, b)``: the smallest node that it is connected with.
 
-    A step hangs each edge's larger end below the least neighbour of its smaller end, its smaller end below that of
-    its larger end, and every node below its own; this keeps what is connected together and shortens paths by half.  A
-    step's result is stored, so lineage stays short.  No node's neighbours are gathered: only minima are.
+    Tasks first contract the links that they read.  Then a step hangs each edge's larger end below the least neighbour
+    of its smaller end, its smaller end below that of its larger end, and every node below its own; this keeps what is
+    connected together and shortens paths by half.  A step's result is stored, so lineage stays short.  No node's
+    neighbours are gathered: only minima are.
     """
-    edges = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+    edges = _contracted(_contracted(links))
     while True:
+        # Done when all edges are stars: each node hangs below one other only, and nothing hangs below it.
+        ends = edges.select(F.col("b").alias("node"), F.col("a").alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("a").alias("node"), F.lit(None).cast("long").alias("up"), F.lit(1).alias("down")))
+        facts = ends.groupBy("node").agg(F.min("up").alias("low"), F.max("up").alias("high"), F.max("down").alias("down"))
+        if not facts.where("low <> high or (low is not null and down > 0)").count():
+            return stored(edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root"))).distinct(), "roots")
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("m"))
         # Both ends of an edge, each with the other's least neighbour.
         hung = both.join(least.select(F.col("node").alias("a"), "m"), "a").select(F.col("m").alias("x"), F.col("b").alias("y")).unionByName(least.select(F.col("m").alias("x"), F.col("node").alias("y")))
-        new = stored(hung.where("x < y").distinct(), "edges").withColumnsRenamed({"x": "a", "y": "b"})
-    # Done when all edges are stars: each node hangs below one other only, and nothing hangs below it.
-        ends = new.select(F.col("b").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(new.select(F.col("a").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
-        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)").isEmpty():
-            return new.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(new.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
-        edges = new
+        edges = _contracted(stored(hung.where("x < y").distinct(), "edges").withColumnsRenamed({"x": "a", "y": "b"}))
 
 
 def block_links(nodes: np.ndarray, roots: np.ndarray, sides: np.ndarray, sequences: list[np.ndarray]) -> list[tuple[int, int]]:
