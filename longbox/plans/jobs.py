@@ -133,7 +133,15 @@ def _recent_runs(c: Catalog) -> DataFrame:
 
 @query("collapsed_lists", "WITH r AS (SELECT l_suppkey AS k, l_orderkey * 10 + l_linenumber AS position, l_partkey % 7 AS v FROM lineitem WHERE l_orderkey % 50 = 0), f AS (SELECT k, v, min(position) AS p FROM r GROUP BY ALL) SELECT k, array_to_string(list(CAST(v AS VARCHAR) ORDER BY p, v), ',') AS v FROM f GROUP BY 1", catalog=False)
 def _collapsed_lists(spark: SparkSession, sf: str) -> DataFrame:
-    t = table(spark, sf, "lineitem").where("l_orderkey % 50 = 0")
+    return _lists_of(table(spark, sf, "lineitem").where("l_orderkey % 50 = 0"))
+
+
+@query("all_collapsed_lists", "WITH f AS (SELECT l_suppkey AS k, l_partkey % 7 AS v, min(l_orderkey * 10 + l_linenumber) AS p FROM lineitem GROUP BY ALL) SELECT k, array_to_string(list(CAST(v AS VARCHAR) ORDER BY p, v), ',') AS v FROM f GROUP BY 1", catalog=False)
+def _all_collapsed_lists(spark: SparkSession, sf: str) -> DataFrame:
+    return _lists_of(table(spark, sf, "lineitem"))
+
+
+def _lists_of(t: DataFrame) -> DataFrame:
     rows = t.select(F.col("l_suppkey").alias("k"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("position"), F.array((F.col("l_partkey") % 7).cast("string")).alias("v"))
     return merge.collapsed_lists(rows, ["k"], "v").select("k", F.array_join("v", ",").alias("v"))
 

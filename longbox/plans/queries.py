@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -616,6 +617,51 @@ def _converted_volumes(c: Catalog) -> DataFrame:
     return sync.converted(c, _stale(c))["volumes"].select("id", "run_id", "title")
 
 
+# Whole jobs: ``stale_runs``, ``converted_links`` and ``converted_volumes`` judge chosen runs only, these judge all.  A run
+# of the stand-in holds a customer's orders of one year, which leaves many runs with one issue.
+_YEARLY_STALE = """, yi AS (SELECT id, run_id * 100 + COALESCE(year(published_date) - 1990, 0) AS run_id, published_date FROM issues),
+    yr AS (SELECT k.id, title, first_issue_date, last_issue_date FROM (SELECT DISTINCT run_id AS id FROM yi) k JOIN runs r ON r.id = k.id // 100),
+    yv AS (SELECT id, run_id * 100 + 2 + id % 7 AS run_id, title FROM volumes),
+    one AS (SELECT run_id, max(id) AS issue_id, max(published_date) AS d FROM yi GROUP BY 1 HAVING count(*) = 1),
+    stale AS (SELECT run_id, issue_id, title, COALESCE(d, first_issue_date) AS published_date FROM yr JOIN one ON run_id = id WHERE COALESCE(d, last_issue_date) < DATE '1996-05-31' - INTERVAL 3 MONTH)"""
+
+
+def _yearly(c: Catalog) -> Catalog:
+    year = F.coalesce(F.year("published_date") - 1990, F.lit(0))
+    issues = c.issues.withColumn("run_id", F.col("run_id") * 100 + year)
+    ids = issues.select("run_id").distinct().select(F.col("run_id").alias("_id"), F.expr("run_id div 100").alias("id"))
+    runs = ids.join(c.runs, "id").drop("id").withColumnRenamed("_id", "id")
+    volumes = c.volumes.withColumn("run_id", F.col("run_id") * 100 + 2 + F.col("id") % 7)
+    volume_runs = c.volume_runs.withColumn("run_id", F.col("run_id") * 100 + 2 + F.col("volume_id") % 7)
+    return replace(c, runs=runs, issues=issues, volumes=volumes, volume_runs=volume_runs)
+
+
+def _yearly_stale(c: Catalog) -> DataFrame:
+    return classify.stale_single_issue_runs(c.runs, c.issues, F.lit("1996-05-31").cast("date"))
+
+
+@query("all_stale_runs", _YEARLY_STALE + " SELECT run_id, issue_id, title, published_date FROM stale")
+def _all_stale_runs(c: Catalog) -> DataFrame:
+    return _yearly_stale(_yearly(c)).select("run_id", "issue_id", "title", "published_date")
+
+
+@query("all_converted_links", _YEARLY_STALE + """, l AS (SELECT volume_id, run_id, issue_order AS o FROM volume_issues JOIN stale USING (issue_id) UNION ALL SELECT volume_id, s.run_id, item_order FROM volume_runs v JOIN stale s ON s.run_id = v.run_id * 100 + 2 + volume_id % 7 UNION ALL SELECT v.id, v.run_id, 1 FROM yv v JOIN stale USING (run_id))
+    SELECT volume_id, 'run:' || CAST(run_id AS VARCHAR) AS source_key, min(o) AS item_order FROM l GROUP BY ALL""")
+def _all_converted_links(c: Catalog) -> DataFrame:
+    from longbox.operators import sync
+
+    c = _yearly(c)
+    return sync.converted(c, _yearly_stale(c))["volume_one_shots"]
+
+
+@query("all_converted_volumes", _YEARLY_STALE + " SELECT id, CASE WHEN run_id IN (SELECT run_id FROM stale) THEN NULL ELSE run_id END AS run_id, title FROM yv")
+def _all_converted_volumes(c: Catalog) -> DataFrame:
+    from longbox.operators import sync
+
+    c = _yearly(c)
+    return sync.converted(c, _yearly_stale(c))["volumes"].select("id", "run_id", "title")
+
+
 @query("new_era_runs", " SELECT id AS run_id FROM runs WHERE status = 'ongoing' AND id NOT IN (SELECT run_id FROM era_runs)")
 def _new_era_runs(c: Catalog) -> DataFrame:
     from longbox.operators import sync
@@ -648,9 +694,17 @@ def _hydration_due(c: Catalog) -> DataFrame:
 @query("page_roles", """WITH r AS (SELECT DISTINCT l_orderkey AS ref, l_suppkey AS p, CASE l_returnflag WHEN 'A' THEN 'Writer' WHEN 'N' THEN 'Penciller' ELSE 'Editor' END AS role FROM lineitem WHERE l_orderkey % 20 = 0)
     SELECT ref, role, 'Person ' || CAST(p AS VARCHAR) AS name FROM r""", catalog=False)
 def _page_roles(spark: SparkSession, sf: str) -> DataFrame:
+    return _roles_of(table(spark, sf, "lineitem").where("l_orderkey % 20 = 0"))
+
+
+@query("all_page_roles", """SELECT DISTINCT l_orderkey AS ref, CASE l_returnflag WHEN 'A' THEN 'Writer' WHEN 'N' THEN 'Penciller' ELSE 'Editor' END AS role, 'Person ' || CAST(l_suppkey AS VARCHAR) AS name FROM lineitem""", catalog=False)
+def _all_page_roles(spark: SparkSession, sf: str) -> DataFrame:
+    return _roles_of(table(spark, sf, "lineitem"))
+
+
+def _roles_of(t: DataFrame) -> DataFrame:
     from longbox.sources import pages
 
-    t = table(spark, sf, "lineitem").where("l_orderkey % 20 = 0")
     label = F.when(F.col("l_returnflag") == "A", "Written by").when(F.col("l_returnflag") == "N", "Pencilers").otherwise("Editor")
     line = F.concat(label, F.lit(": Person "), F.col("l_suppkey").cast("string"), F.lit(" & person "), F.col("l_suppkey").cast("string"))
     texts = t.groupBy(F.col("l_orderkey").alias("page")).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("text"))
