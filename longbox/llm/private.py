@@ -76,10 +76,10 @@ def _ordered(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
 
 _TOKEN = re.compile(r"\S+")
 #: What a stretch to decode must hold.
-_SIGN = re.compile(r"[0-9@]|[(\[{<]\s?at\s?[)\]}>]|\sat\s\S+\sdot\s")
-_SIGN_RE2 = r"[0-9@]|[(\[{<]\s?at\s?[)\]}>]|\sat\s\S+\sdot\s"
+_SIGN = re.compile(r"[0-9@]|[(\[{<]\s?at\s?[)\]}>]|\sat\s\S+\sdot\s", re.IGNORECASE)
+_SIGN_RE2 = r"(?i)[0-9@]|[(\[{<]\s?at\s?[)\]}>]|\sat\s\S+\sdot\s"
 _BRACKETED = re.compile(r"[(\[{<]at[)\]}>]", re.IGNORECASE)
-_SIGNED_TOKEN = re.compile(r"[0-9@]|[(\[{<]at[)\]}>]|^[(\[{<]?(?:at|dot)[)\]}>]?$")
+_SIGNED_TOKEN = re.compile(r"[0-9@]|[(\[{<]at[)\]}>]|^[(\[{<]?(?:at|dot)[)\]}>]?$", re.IGNORECASE)
 #: Plain tokens decoded on each side of a signed one.
 MARGIN = 3
 _SPELLED = {"at", "dot"}

@@ -1,0 +1,21 @@
+"""Training-data operators do the whole job, in all letter cases and sizes."""
+
+from __future__ import annotations
+
+import pytest
+
+from longbox.llm import private
+
+SPELLED = [("write ", "bob (at) example (dot) com", " now"), ("mail ", "kim[at]host.example.org", " for more"), ("write to ", "ann.lee at mail dot org", " before noon")]
+
+
+@pytest.mark.parametrize("change", [str.lower, str.upper, str.title, lambda t: t.replace("at", "At").replace("dot", "Dot"), lambda t: t.replace("(at)", "[AT]").replace("(dot)", "[DOT]")])
+def test_spelled_addresses_in_any_case(spark, change):
+    texts = [f"{more}{a}{change(b)}{c}" for more in ("", "room 12 floor 3 and then some more words follow here , ") for a, b, c in SPELLED]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in private.find(docs).collect()}
+    clean = {r.doc_id: r.text for r in private.redact(docs).collect()}
+    for k, text in enumerate(texts):
+        b = change(SPELLED[k % 3][1])
+        assert found[k] == f"email:{text.index(b)}:{text.index(b) + len(b)}"
+        assert clean[k] == text.replace(b, "<EMAIL>")
