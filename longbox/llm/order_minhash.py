@@ -10,7 +10,7 @@ subsequence L satisfies L >= 0.8 * (n + m - L).  The band holds every alignment
 
 Equal texts are one node from the start.  In a bucket of candidates, all are aligned with one leader, and links make
 components.  Buckets that then hold several components are taken together where they overlap: nodes outside the
-largest component meet all nodes in blocks of bounded size.  A block counts shared windows for all its pairs by one
+largest component meet all nodes in blocks of bounded windows and rows.  A block counts shared windows for all its pairs by one
 matrix product, which bounds the alignment from above, and aligns only pairs that can pass and are not connected yet;
 links alone leave it.  Every pair of a bucket is thus ruled out, aligned or connected, without caps, and no table of
 pairs is made.
@@ -38,6 +38,8 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS, TAKEN = 24, 2, 3
 #: Windows of a block of texts that are compared together.
 BLOCK_WINDOWS = 400_000
+#: Texts of a side of such a block, which bounds its pairs when texts are short.
+BLOCK_ROWS = 4_000
 #: Cells of a block's matrices that are held at once.
 MATRIX_CELLS = 8_000_000
 #: Ids that may be broadcast to pick rows; more are joined by a shuffle.
@@ -279,14 +281,7 @@ def block_links(nodes: np.ndarray, roots: np.ndarray, sides: np.ndarray, sequenc
     kept = count[column] > 1  # a window of one text is shared by none
     owner, column = owner[kept], np.searchsorted(np.flatnonzero(count > 1), column[kept])
     width, step = int((count > 1).sum()), max(1, MATRIX_CELLS // max(1, len(sets)))
-    shared = np.zeros((len(left), len(right)), np.float32)
-    for start in range(0, width, step):
-        inside = (column >= start) & (column < start + step)
-        m = np.zeros((len(sets), min(step, width - start)), np.float32)
-        m[owner[inside], column[inside] - start] = 1
-        shared += m[left] @ m[right].T
-    total = sizes[left][:, None] + sizes[right][None, :]
-    able = (shared >= SIMILARITY * (total - shared) - 1e-3) & (roots[left][:, None] != roots[right][None, :])
+    high = max(1, MATRIX_CELLS // (2 * max(1, len(right))))  # left texts whose pairs are held at once
     group = {r: r for r in roots.tolist()}
 
     def find(x: int) -> int:
@@ -296,12 +291,25 @@ def block_links(nodes: np.ndarray, roots: np.ndarray, sides: np.ndarray, sequenc
         return x
 
     out = []
-    for i, j in zip(*np.nonzero(able), strict=True):
-        a, b = left[i], right[j]
-        x, y = find(int(roots[a])), find(int(roots[b]))
-        if x != y and aligned(sequences[a], sequences[b]):
-            group[max(x, y)] = min(x, y)
-            out.append((int(nodes[a]), int(nodes[b])))
+    place = np.full(len(sets), -1)
+    for strip in (left[i : i + high] for i in range(0, len(left), high)):
+        shared = np.zeros((len(strip), len(right)), np.float32)
+        rows = np.concatenate([strip, right])
+        place[:] = -1
+        place[rows] = np.arange(len(rows))
+        for start in range(0, width, step):
+            inside = (column >= start) & (column < start + step) & (place[owner] >= 0)
+            m = np.zeros((len(rows), min(step, width - start)), np.float32)
+            m[place[owner[inside]], column[inside] - start] = 1
+            shared += m[: len(strip)] @ m[len(strip) :].T
+        total = sizes[strip][:, None] + sizes[right][None, :]
+        able = (shared >= SIMILARITY * (total - shared) - 1e-3) & (roots[strip][:, None] != roots[right][None, :])
+        for i, j in zip(*np.nonzero(able), strict=True):
+            a, b = strip[i], right[j]
+            x, y = find(int(roots[a])), find(int(roots[b]))
+            if x != y and aligned(sequences[a], sequences[b]):
+                group[max(x, y)] = min(x, y)
+                out.append((int(nodes[a]), int(nodes[b])))
     return out
 
 
@@ -314,9 +322,10 @@ def _rest_links(buckets: DataFrame, roots: DataFrame, texts: DataFrame) -> DataF
         return None
     family = components(held.select(F.col("first").alias("a"), F.col("node").alias("b"))).select("node", F.col("root").alias("family"))
     members = held.select("node", "size", "root").distinct().join(family, "node")
-    parts = members.groupBy("family", "root").agg(F.sum("size").alias("n"))
-    facts = parts.groupBy("family").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.sum("n").alias("all"), F.max("n").alias("most"))
-    facts = facts.select("family", "largest", F.ceil(F.col("all") / BLOCK_WINDOWS).alias("wide"), F.ceil((F.col("all") - F.col("most")) / BLOCK_WINDOWS).alias("high"))
+    parts = members.groupBy("family", "root").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows"))
+    facts = parts.groupBy("family").agg(F.max(F.struct("n", "root", "rows")).alias("top"), F.sum("n").alias("all"), F.sum("rows").alias("rows"))
+    blocks = lambda n, rows: F.ceil(F.greatest(n / BLOCK_WINDOWS, rows / BLOCK_ROWS))
+    facts = facts.select("family", F.col("top.root").alias("largest"), blocks(F.col("all"), F.col("rows")).alias("wide"), blocks(F.col("all") - F.col("top.n"), F.col("rows") - F.col("top.rows")).alias("high"))
     members = stored(members.join(facts.where("high > 0"), "family"), "families")
     number = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import random
+import tracemalloc
+
+import numpy as np
 import pytest
 
-from longbox.llm import private
+from longbox.llm import order_minhash, private
 
 SPELLED = [("write ", "bob (at) example (dot) com", " now"), ("mail ", "kim[at]host.example.org", " for more"), ("write to ", "ann.lee at mail dot org", " before noon")]
 
@@ -19,3 +23,45 @@ def test_spelled_addresses_in_any_case(spark, change):
         b = change(SPELLED[k % 3][1])
         assert found[k] == f"email:{text.index(b)}:{text.index(b) + len(b)}"
         assert clean[k] == text.replace(b, "<EMAIL>")
+
+
+def family(n: int) -> list[list[str]]:
+    """Short texts of one template with a changed slot: many shared windows, similarity below the threshold."""
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(44)]
+    return [[*words[:20], *(f"s{k}x{i}" for i in range(rnd.choice([6, 7, 8]))), *words[27:]] for k in range(n)]
+
+
+def test_blocks_of_short_texts_stay_small(monkeypatch):
+    monkeypatch.setattr(order_minhash, "MATRIX_CELLS", 1_000_000)
+    words = family(2000)
+    words[7], words[1999] = words[3][:-1] + ["x"], words[1500][:-1] + ["y"]
+    sequences = [order_minhash.windows(w) for w in words]
+    nodes = np.arange(2000)
+    tracemalloc.start()
+    found = order_minhash.block_links(np.tile(nodes, 2), np.tile(nodes, 2), np.repeat([0, 1], 2000), sequences * 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {tuple(sorted(x)) for x in found} == {(3, 7), (1500, 1999)}
+    assert peak < 60e6  # all 4 million pairs at once take over 100 MB
+
+
+def test_families_are_split_by_rows(spark, monkeypatch):
+    words = family(30)
+    words[7] = words[3][:-1] + ["x"]
+    words[8] = words[3][:-2] + ["x", "y"]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(words)], "doc_id long, text string")
+    blocks = []
+    monkeypatch.setattr(order_minhash, "BLOCK_ROWS", 10, raising=False)
+    real = order_minhash.stored
+
+    def stored(rows, name):
+        out = real(rows, name)
+        if name == "families":
+            blocks.extend(out.select("wide").distinct().collect())
+        return out
+
+    monkeypatch.setattr(order_minhash, "stored", stored)
+    got = {r.doc_id: r.class_id for r in order_minhash.classes(docs).collect()}
+    assert got == {i: 3 if i in (7, 8) else i for i in range(30)}
+    assert blocks and max(b.wide for b in blocks) == 3
