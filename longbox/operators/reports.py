@@ -41,11 +41,25 @@ def contiguous_back(days: DataFrame, day: str, done: str) -> DataFrame:
     return days.withColumn("_gaps", F.sum(F.when(F.col(done), 0).otherwise(1)).over(newest)).where("_gaps = 0").drop("_gaps")
 
 
+def missing_ranges(issues: DataFrame) -> DataFrame:
+    """``run_id, first, last``: unbroken ranges of whole numbers from 1 below a run's highest that no issue has."""
+    have = issues.where(F.col("issue_number").rlike(r"^\d+$")).select("run_id", F.col("issue_number").cast("long").alias("n")).where("n > 0").distinct()
+    before = F.lag("n", 1, 0).over(Window.partitionBy("run_id").orderBy("n"))
+    return have.withColumn("_before", before).where("n - _before > 1").select("run_id", (F.col("_before") + 1).alias("first"), (F.col("n") - 1).alias("last"))
+
+
+def missing_counts(issues: DataFrame) -> DataFrame:
+    """``run_id, n_missing, missing_sum`` of runs that miss numbers; no number is written out."""
+    n = F.col("last") - F.col("first") + 1
+    total = n.cast("decimal(20,0)") * (F.col("first") + F.col("last")).cast("decimal(18,0)") / 2
+    return missing_ranges(issues).groupBy("run_id").agg(F.sum(n).alias("n_missing"), F.sum(total).cast("long").alias("missing_sum"))
+
+
 def missing_numbers(issues: DataFrame) -> DataFrame:
-    """``run_id, missing``: whole numbers from 1 below a run's highest that no issue has, for runs of at most 300 numbers."""
-    have = issues.where(F.col("issue_number").rlike(r"^\d+$")).groupBy("run_id").agg(F.collect_set(F.col("issue_number").cast("int")).alias("have"))
-    top = F.array_max("have")
-    return have.where(top.between(1, 300)).select("run_id", F.array_except(F.sequence(F.lit(1), top), "have").alias("missing")).where(F.size("missing") > 0)
+    """``run_id, missing``: a row for each number of the missing ranges, which are written out in steps of bounded size."""
+    step = 10_000
+    starts = missing_ranges(issues).select("run_id", "last", F.explode(F.sequence("first", "last", F.lit(step).cast("long"))).alias("_at"))
+    return starts.select("run_id", F.explode(F.sequence("_at", F.least(F.col("_at") + step - 1, "last"))).alias("missing"))
 
 
 def budgeted(rows: DataFrame, group: str, cost: str, budget: int) -> DataFrame:

@@ -342,7 +342,7 @@ def _dense_days(spark: SparkSession, sf: str) -> DataFrame:
     gone AS (SELECT run_id, list_filter(generate_series(1, top), lambda n: NOT list_contains(h, CAST(n AS INTEGER))) AS m FROM have WHERE top BETWEEN 1 AND 300)
     SELECT run_id, len(m) AS n_missing, CAST(list_sum(m) AS BIGINT) AS missing_sum FROM gone WHERE len(m) > 0""")
 def _missing_numbers(c: Catalog) -> DataFrame:
-    return reports.missing_numbers(c.issues).select("run_id", F.size("missing").cast("long").alias("n_missing"), F.aggregate("missing", F.lit(0).cast("long"), lambda a, v: a + v).alias("missing_sum"))
+    return reports.missing_counts(c.issues)
 
 
 @query("budget", ", cost AS (SELECT run_id, count(*) AS n FROM issues GROUP BY 1), upto AS (SELECT run_id, sum(n) OVER (ORDER BY run_id) AS r FROM cost) SELECT i.id, i.run_id FROM issues i JOIN upto USING (run_id) WHERE r <= 500")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from longbox.operators import reports
 from longbox.plans import QUERIES
 from longbox.sources.tables import star_catalog, table
 
@@ -22,3 +23,15 @@ def test_whole_jobs_judge_every_row(spark, sf_dir):
     sure = {r.id for r in alone.values() if r.published_date and str(r.published_date) < "1996-02-29"}
     got = {r.issue_id for r in QUERIES["all_stale_runs"](spark, sf_dir).collect()}
     assert sure <= got <= {r.id for r in alone.values()} and len({r.run_id % 5 for r in alone.values() if r.id in got}) == 5
+
+
+def test_long_runs_miss_numbers_too(spark):
+    have = {1: [1, 2, 5, 301, 1000], 2: [300], 3: [1, 2], 4: [25_000], 5: [0, 1, 3]}
+    rows = [(r, str(n)) for r, ns in have.items() for n in [*ns, ns[0]]] + [(1, "Annual 7"), (6, ""), (7, "1.5")]
+    issues = spark.createDataFrame(rows, "run_id long, issue_number string")
+    brute = {r: gone for r, ns in have.items() if (gone := set(range(1, max(ns))) - set(ns))}
+    assert {(r.run_id, r.n_missing, r.missing_sum) for r in reports.missing_counts(issues).collect()} == {(r, len(g), sum(g)) for r, g in brute.items()}
+    got = [tuple(r) for r in reports.missing_numbers(issues).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(r, n) for r, g in brute.items() for n in g}
+    far = spark.createDataFrame([(1, "1"), (1, "3000000000")], "run_id long, issue_number string")
+    assert [tuple(r) for r in reports.missing_counts(far).collect()] == [(1, 2_999_999_998, sum((2, 2_999_999_999)) * 1_499_999_999)]
