@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +27,36 @@ def date_facts(store: Column, cover: Column) -> list[Column]:
     return [kind.alias("source_date_type"), F.min(value).alias("first_issue_date"), F.max(value).alias("last_issue_date")]
 
 
+def fingerprints(heads: DataFrame, issues: DataFrame) -> DataFrame:
+    """``group_id, fingerprint``: SHA-256 of each group's ``head`` and its issues' lines in order.
+
+    A task reads its groups' lines in order and holds one running digest, whatever a group's size.
+    """
+    fields = ("issue_number", "issue_title", "store_date", "cover_date")
+    lines = issues.select("group_id", F.lit(1).alias("_part"), F.coalesce("issue_id", F.lit(0)).cast("long").alias("_id"), *[F.coalesce(F.col(x).cast("string"), F.lit("")).alias(x) for x in fields])
+    lines = lines.withColumn("text", F.concat_ws("\n", F.col("_id").cast("string"), *fields))
+    both = lines.unionByName(heads.select("group_id", F.lit(0).alias("_part"), F.col("head").alias("text")), allowMissingColumns=True)
+    ordered = both.repartition("group_id").sortWithinPartitions("group_id", "_part", "_id", *fields).select("group_id", "_part", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = digest = kind = None
+        for batch in batches:
+            kind, done = batch.schema.field(0).type, []
+            for g, part, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if part == 0 or g != group:
+                    if digest is not None:
+                        done.append((group, digest.hexdigest()))
+                    group, digest = g, hashlib.sha256(text.encode()) if part == 0 else None
+                elif digest is not None:
+                    digest.update(b"\n" + text.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], kind), pa.array([d[1] for d in done], pa.string())], ["group_id", "fingerprint"])
+        if digest is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([group], kind), pa.array([digest.hexdigest()], pa.string())], ["group_id", "fingerprint"])
+
+    key = heads.schema["group_id"].dataType.simpleString()
+    return ordered.mapInArrow(run, f"group_id {key}, fingerprint string")
+
+
 def group_facts(groups: DataFrame, issues: DataFrame) -> DataFrame:
     """Facts of each group of ``groups (group_id, name, publisher, start_year)`` from ``issues (group_id, issue_id,
     issue_number, issue_title, store_date, cover_date)``: counts, duplicates, boundary numbers, dates, fingerprint.
@@ -31,8 +65,7 @@ def group_facts(groups: DataFrame, issues: DataFrame) -> DataFrame:
     whole = standard_number(F.col("issue_number"))
     edge = F.when(number != "", F.struct(whole.isNull().alias("odd"), F.coalesce(whole, F.lit(0)).alias("n"), number.alias("text")))
     key = alnum_number(F.col("issue_number"))
-    line = F.struct(F.coalesce("issue_id", F.lit(0)).alias("id"), *[F.coalesce(F.col(x).cast("string"), F.lit("")).alias(x) for x in ("issue_number", "issue_title", "store_date", "cover_date")])
-    facts = issues.withColumns({"_key": key, "_whole": whole, "_edge": edge, "_line": line}).groupBy("group_id").agg(
+    facts = issues.withColumns({"_key": key, "_whole": whole, "_edge": edge}).groupBy("group_id").agg(
         F.count(F.lit(1)).alias("n_issues"),
         F.count_if(F.col("issue_id").isNull()).alias("missing_ids"),
         F.count_if(F.col("_key") == "").alias("missing_numbers"),
@@ -40,13 +73,12 @@ def group_facts(groups: DataFrame, issues: DataFrame) -> DataFrame:
         *date_facts(F.col("store_date"), F.col("cover_date")),
         F.coalesce(F.min("_edge")["text"], F.lit("")).alias("first_issue_number"),
         F.coalesce(F.max("_edge")["text"], F.lit("")).alias("last_issue_number"),
-        F.array_sort(F.collect_list("_line")).alias("_lines"),
     )
     repeated = issues.select("group_id", key.alias("k")).where("k <> ''").groupBy("group_id", "k").count().where("count > 1").groupBy("group_id").agg(F.array_sort(F.collect_list("k")).alias("duplicate_numbers"))
     streak = longest_streak(issues.withColumn("_n", whole), "group_id", "_n")
     rows = groups.join(facts, "group_id", "left").join(repeated, "group_id", "left").join(streak, "group_id", "left")
-    texts = F.transform(F.coalesce("_lines", F.array()), lambda x: F.concat_ws("\n", x["id"].cast("string"), x["issue_number"], x["issue_title"], x["store_date"], x["cover_date"]))
     head = F.concat_ws("\n", F.col("group_id").cast("string"), clean(F.col("name")), clean(F.col("publisher")), clean(F.col("start_year")))
+    rows = rows.join(fingerprints(groups.select("group_id", head.alias("head")), issues), "group_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return rows.select(
         *groups.columns,
@@ -58,7 +90,7 @@ def group_facts(groups: DataFrame, issues: DataFrame) -> DataFrame:
         F.coalesce("first_issue_number", F.lit("")).alias("first_issue_number"),
         F.coalesce("last_issue_number", F.lit("")).alias("last_issue_number"),
         F.coalesce("duplicate_numbers", F.array().cast("array<string>")).alias("duplicate_numbers"),
-        F.sha2(F.array_join(F.concat(F.array(head), texts), "\n"), 256).alias("fingerprint"),
+        F.coalesce("fingerprint", F.sha2(head, 256)).alias("fingerprint"),
     )
 
 

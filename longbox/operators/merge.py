@@ -86,6 +86,11 @@ def lineage_matches(by_source: DataFrame, by_catalogue: DataFrame) -> DataFrame:
 
 
 def collapsed_lists(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Rows that repeat a key as one, their lists joined without repeats in order of ``position``."""
-    listed = F.array_sort(F.collect_list(F.struct("position", F.col(value).alias("v"))))
-    return rows.groupBy(*keys).agg(F.array_distinct(F.flatten(F.transform(listed, lambda x: x["v"]))).alias(value))
+    """Rows that repeat a key as one, their lists joined without repeats in order of ``position``.
+
+    Repeats go before a key's values meet, so a hot key gathers no more than its result.
+    """
+    each = rows.select(*keys, "position", F.col(value).alias("_list"), F.posexplode_outer(value).alias("_i", "_v"))
+    first = each.groupBy(*keys, "_v", F.col("_i").isNull().alias("_none")).agg(F.min(F.struct("position", "_list", "_i")).alias("_first"))
+    listed = F.array_sort(F.collect_list(F.when(~F.col("_none"), F.struct("_first", "_v"))))
+    return first.groupBy(*keys).agg(F.transform(listed, lambda x: x["_v"]).alias(value))

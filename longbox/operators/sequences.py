@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,12 +24,27 @@ def as_of(left: DataFrame, right: DataFrame, by: list[str], at: str, values: lis
 
 def without_overlaps(rows: DataFrame, by: str, start: str, end: str, priority: str) -> DataFrame:
     """Spans of each group in order of start, priority (largest first) and length (longest first), less those that
-    begin inside a span that was kept."""
-    span = F.struct(F.col(start).alias("start"), (-F.col(priority)).alias("low"), (F.col(start) - F.col(end)).alias("short"), F.col(end).alias("end"))
-    listed = rows.groupBy(by).agg(F.array_sort(F.collect_list(span)).alias("spans"))
-    kind = listed.schema["spans"].dataType
-    kept = F.aggregate("spans", F.array().cast(kind), lambda acc, s: F.when((F.size(acc) == 0) | (s["start"] >= F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0))), F.concat(acc, F.array(s))).otherwise(acc))
-    return listed.select(by, F.explode(kept).alias("s")).select(by, F.col("s.start").alias(start), F.col("s.end").alias(end))
+    begin inside a span that was kept.
+
+    A task reads its groups in that order and holds the end of the last kept span only.
+    """
+    ordered = rows.select(by, start, end, (-F.col(priority)).alias("_low"), (F.col(start) - F.col(end)).alias("_short"))
+    ordered = ordered.repartition(by).sortWithinPartitions(by, start, "_low", "_short", end).select(by, start, end)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh, group, reach = True, None, None
+        for batch in batches:
+            kept = []
+            for g, a, b in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                new = fresh or g != group
+                if new or (a is not None and a >= (0 if reach is None else reach)):
+                    fresh, group, reach = False, g, b
+                    kept.append(True)
+                else:
+                    kept.append(False)
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return ordered.mapInArrow(run, ordered.schema)
 
 
 def first_of(rows: DataFrame, keys: list[str], order: str, values: list[str]) -> DataFrame:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import hashlib
+import io
+import random
+
 from pyspark.sql import functions as F
 
-from longbox.operators import reports
+from longbox.operators import classify, merge, reports, sequences
 from longbox.plans import QUERIES
 from longbox.sources.tables import star_catalog, table
 
@@ -35,3 +40,39 @@ def test_long_runs_miss_numbers_too(spark):
     assert len(got) == len(set(got)) and set(got) == {(r, n) for r, g in brute.items() for n in g}
     far = spark.createDataFrame([(1, "1"), (1, "3000000000")], "run_id long, issue_number string")
     assert [tuple(r) for r in reports.missing_counts(far).collect()] == [(1, 2_999_999_998, sum((2, 2_999_999_999)) * 1_499_999_999)]
+
+
+def plan(df) -> str:
+    with contextlib.redirect_stdout(io.StringIO()) as out:
+        df.explain("extended")
+    return out.getvalue()
+
+
+def test_hot_groups_are_not_gathered(spark):
+    rnd = random.Random(3)
+    groups = spark.createDataFrame([(1, "A", "Main", "1999"), (2, "B", "Main", ""), (3, "C", "Main", "2000")], "group_id long, name string, publisher string, start_year string")
+    rows = [(rnd.choice([1, 1, 1, 2, 9]), rnd.choice([None, *range(3000)]), rnd.choice([None, "1", "#2", "é"]), rnd.choice(["", "T"]), None, None) for _ in range(25_000)]
+    issues = spark.createDataFrame(rows, "group_id long, issue_id long, issue_number string, issue_title string, store_date date, cover_date date").repartition(7)
+    facts = classify.group_facts(groups, issues)
+    assert "_lines" not in plan(facts)
+    got = {r.group_id: r.fingerprint for r in facts.select("group_id", "fingerprint").collect()}
+    for g, name, _, year in groups.collect():
+        lines = sorted((i or 0, n or "", t, "", "") for k, i, n, t, *_ in rows if k == g)
+        text = "\n".join([f"{g}\n{name}\nMain\n{year}", *("\n".join(map(str, x)) for x in lines)])
+        assert got[g] == hashlib.sha256(text.encode()).hexdigest()
+
+    spans = [(rnd.choice(["a", "a", "b"]), s := rnd.randrange(40_000), s + rnd.randrange(1, 50), rnd.randrange(3)) for _ in range(25_000)]
+    kept = sequences.without_overlaps(spark.createDataFrame(spans, "k string, a long, b long, p int").repartition(5), "k", "a", "b", "p")
+    assert "collect_list" not in plan(kept)
+    brute, reach = [], {}
+    for k, a, b, p in sorted(spans, key=lambda x: (x[0], x[1], -x[3], x[1] - x[2], x[2])):
+        if k not in reach or a >= reach[k]:
+            reach[k] = b
+            brute.append((k, a, b))
+    assert sorted(tuple(r) for r in kept.collect()) == sorted(brute)
+
+    lists = [(rnd.choice("xxy"), rnd.randrange(500), [str(rnd.randrange(9)) for _ in range(rnd.randrange(4))]) for _ in range(3000)] + [("z", 1, [])]
+    joined = merge.collapsed_lists(spark.createDataFrame(lists, "k string, position long, v array<string>"), ["k"], "v")
+    assert "flatten" not in plan(joined)
+    wanted = {k: list(dict.fromkeys(v for _, _, vs in sorted(x for x in lists if x[0] == k) for v in vs)) for k in "xyz"}
+    assert {r.k: r.v for r in joined.collect()} == wanted
