@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from longbox.llm import language, order_minhash, packing, private, quality
 from longbox.llm.queries import tokenizer_path
 from longbox.llm.shared import new_path
+from longbox.session import ship
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +48,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = new_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)

@@ -2,8 +2,8 @@
 
 The byte-level pattern never joins a space, or a line's end, and the non-space after it to what stands before, nor a
 letter or digit to a full stop or comma after it.  A text may be cut there without changing an id.  The library
-encodes a chunk once, then it is looked up; the store is emptied when it is full, so that a worker's memory stays
-bounded.  Texts with white space of any other shape, or with the string of an added token, go to the library whole.
+encodes a chunk once, then it is looked up; the store is emptied when it outgrows its bytes, so that a worker's memory
+stays bounded.  Texts with white space of any other shape, or with the string of an added token, go to the library whole.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-#: Chunks that a Python worker keeps.
-MOST_CHUNKS = 400_000
+from longbox.llm.shared import STORE_BYTES, Store
+
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: White space other than single spaces and line ends between non-spaces; U+0001 marks cuts.
 _ODD_SPACE = r"[ \n][ \n]|^[ \n]|[ \n]$|[\x{01}\t\r\x{0b}\x{0c}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -41,13 +41,12 @@ def _byte_letters() -> list[str]:
 class ChunkEncoder:
     """Encodes texts as ``Tokenizer.encode(text, add_special_tokens=False)`` does; ids are little-endian uint32 bytes."""
 
-    def __init__(self, path: str, most_chunks: int = MOST_CHUNKS):
+    def __init__(self, path: str, most_bytes: int = STORE_BYTES):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.line_end = _bytes(self.tokenizer.encode("\n", add_special_tokens=False).ids)
-        self.most_chunks = most_chunks
-        self.known: dict[str, bytes] = {}
+        self.store = Store(most_bytes)
 
     def _library(self, text: str) -> bytes:
         return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -69,7 +68,7 @@ class ChunkEncoder:
         """Ids of each text, as bytes of little-endian uint32.  Null and empty texts give none."""
         odd_space = pc.match_substring_regex(column, _ODD_SPACE).to_pylist()
         odd_stop = pc.match_substring_regex(column, _ODD_STOP).to_pylist()
-        out, known, skip = [], self.known, len(self.line_end)
+        out, known, skip = [], self.store.open(), len(self.line_end)
         for text, whole, spaced in zip(column.to_pylist(), odd_space, odd_stop, strict=True):
             if not text:
                 out.append(b"")
@@ -84,9 +83,9 @@ class ChunkEncoder:
             if None in found:
                 for k, x in enumerate(chunks):
                     if found[k] is None:
-                        found[k] = known[x] = self._learn(x)
-                if len(known) > self.most_chunks:
-                    known.clear()
+                        ids = known.get(x) or self._learn(x)
+                        found[k] = self.store.keep(x, ids, len(x) + len(ids))
+                self.store.open()
             out.append(b"".join(found)[skip:])
         return out
 

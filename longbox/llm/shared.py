@@ -1,4 +1,4 @@
-"""Helpers that the training-data operators share: working folders, stored tables and Arrow batch loops.
+"""Helpers that the training-data operators share: working folders, stored tables, Arrow batch loops, workers' stores.
 
 Every intermediate table goes to the folder that the cluster names in ``spark.checkpoint.dir``.  Driver and
 executors share that folder, so a lost executor costs a retry of its own tasks and never of the whole lineage.
@@ -9,20 +9,34 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows an Arrow batch may hold when whole texts travel in it: very long texts then stay a few MB a batch.
+#: Bytes of an Arrow batch that Spark builds, and rows and bytes of the slices that functions see.  A single text may
+#: be longer than that; it then is a batch of its own.
+BATCH_BYTES = 8 << 20
 TEXT_BATCH_ROWS = 500
+#: Bytes that a Python worker keeps of what it looked up before.
+STORE_BYTES = 72 << 20
+_ENTRY_BYTES = 170  # of a dict's entry with its key's and value's heads
+_made: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder that driver and executors share.  Only where ``spark.checkpoint.dir`` is unset (tests) one is made."""
+    """Folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a session on one machine gets a temporary folder, once an application; a cluster must set it.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='longbox-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        if context.applicationId not in _made:
+            _made[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='longbox-')}"
+        folder = _made[context.applicationId]
     return folder.rstrip("/")
 
 
@@ -38,16 +52,67 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """Apply ``function`` to each Arrow batch; a batch stays on the machine where Spark put its rows."""
+class Store:
+    """What an operator keeps between batches in a Python worker, bounded by bytes.
+
+    Spark reuses workers for other operators' tasks, so a worker holds one operator's store at a time: opening one
+    empties the one that was open before.
+    """
+
+    _open: Store | None = None
+
+    def __init__(self, most_bytes: int = STORE_BYTES):
+        self.known: dict = {}
+        self.bytes, self.most_bytes = 0, most_bytes
+
+    def open(self) -> dict:
+        """The entries; all of them go first if they outgrew the bound."""
+        if Store._open is not self:
+            if Store._open is not None:
+                Store._open.clear()
+            Store._open = self
+        if self.bytes > self.most_bytes:
+            self.clear()
+        return self.known
+
+    def keep(self, key: Any, value: Any, size: int) -> Any:
+        self.known[key] = value
+        self.bytes += size + _ENTRY_BYTES
+        return value
+
+    def clear(self) -> None:
+        self.known.clear()
+        self.bytes = 0
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most ``TEXT_BATCH_ROWS`` rows, and of fewer where rows are long."""
+    per = max(1, min(TEXT_BATCH_ROWS, batch.num_rows * BATCH_BYTES // max(1, batch.nbytes)))
+    for start in range(0, batch.num_rows, per):
+        yield batch.slice(start, per)
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: Any) -> DataFrame:
+    """``df.mapInArrow(run)`` with batches that Spark bounds by bytes as well as rows; a task gives its Arrow memory back."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(bounded, schema)
+
+
+def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: Any) -> DataFrame:
+    """Apply ``function`` to each slice of the Arrow batches; a batch stays on the machine where Spark put its rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, TEXT_BATCH_ROWS):
-                if (out := function(batch.slice(start, TEXT_BATCH_ROWS))) is not None:
+            for part in slices(batch):
+                if (out := function(part)) is not None:
                     yield out
 
-    return df.mapInArrow(run, schema)
+    return in_arrow(df, run, schema)
 
 
 def texts_of(batch: pa.RecordBatch, column: int) -> list[str]:
