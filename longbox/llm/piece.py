@@ -21,12 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from longbox.llm.shared import map_batches, texts_of
+from longbox.llm.shared import Store, map_batches, texts_of
 
 MARK = "▁".encode()
-#: Chunks that a Python worker keeps.
-MOST_CHUNKS = 400_000
 _NONE = float("inf")
+#: Record of a piece in a chunk: id, bytes as normalised, bytes in a source whose spaces marks stand for.
+_RECORD = struct.Struct("<IHH")
+_PIECES = np.dtype([("id", "<u4"), ("normal", "<u2"), ("plain", "<u2")])
 _RUN = re.compile(rb"(?:\xe2\x96\x81)+(?:(?!\xe2\x96\x81).)*|(?:(?!\xe2\x96\x81).)+", re.DOTALL)
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -78,14 +79,14 @@ class PieceModel:
         self.pieces = [p.piece.encode() for p in proto.pieces]
         self.kind = [p.type for p in proto.pieces]
         self.cost = {p.piece: -p.score for p in proto.pieces if p.type == NORMAL}
-        self.number = {p.piece: (pack_u32(i), pack_u32(len(p.piece.encode())), b"%d" % i) for i, p in enumerate(proto.pieces) if p.type == NORMAL}
+        self.number = {p.piece: _RECORD.pack(i, len(p.piece.encode()), len(p.piece.encode()) - 2 * p.piece.count("▁")) for i, p in enumerate(proto.pieces) if p.type == NORMAL}
         self.byte_id = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == BYTE}
         self.unknown = next(i for i, p in enumerate(proto.pieces) if p.type == UNKNOWN)
         self.surface = [p if k == NORMAL else bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else b" \xe2\x81\x87 " for p, k in zip(self.pieces, self.kind, strict=True)]
         self.surface = [s.replace(MARK, b" ") if k == NORMAL else s for s, k in zip(self.surface, self.kind, strict=True)]
         self.chunked = not any(MARK in p.lstrip(MARK) for p, k in zip(self.pieces, self.kind, strict=True) if k == NORMAL and p.startswith(MARK)) and not any(MARK in p for p, k in zip(self.pieces, self.kind, strict=True) if k == NORMAL and not p.startswith(MARK))
         self.lines = not any(b"\n" in p for p in self.pieces)  # no piece goes over a line's end
-        self.known: dict[bytes, tuple[bytes, bytes, bytes]] = {}
+        self.store = Store()
 
     # Normalisation -----------------------------------------------------------------------------------------
 
@@ -174,21 +175,20 @@ class PieceModel:
                 offer(before[i])
         return [p for p in parts if p]
 
-    def _chunk(self, chunk: bytes) -> tuple[bytes, bytes, bytes]:
-        """Ids of a chunk and their lengths in normalised bytes (both as little-endian uint32), and the ids in decimal."""
+    def _chunk(self, chunk: bytes) -> bytes:
+        """A record for each piece of a chunk: its id, its bytes as normalised, and as in a source whose spaces marks stand for."""
         parts = self._merge(chunk)
         try:
-            found = [self.number[p] for p in parts]
+            return b"".join([self.number[p] for p in parts])
         except KeyError:
-            found = [x for p in parts for x in ([self.number[p]] if p in self.number else self._unseen(p.encode()))]
-        return b"".join([f[0] for f in found]), b"".join([f[1] for f in found]), b",".join([f[2] for f in found])
+            return b"".join([self.number[p] if p in self.number else self._unseen(p.encode()) for p in parts])
 
-    def _unseen(self, p: bytes) -> list[tuple[bytes, bytes, bytes]]:
+    def _unseen(self, p: bytes) -> bytes:
         """A character that has no piece: its bytes share its span, the first has it whole."""
         ids = [self.byte_id[b] for b in p] if self.byte_id else [self.unknown]
-        return [(pack_u32(i), pack_u32(0 if k else len(p)), b"%d" % i) for k, i in enumerate(ids)]
+        return b"".join([_RECORD.pack(i, 0 if k else len(p), 0 if k else 1 if p == MARK else len(p)) for k, i in enumerate(ids)])
 
-    def _chunks(self, normal: bytes) -> list[tuple[bytes, bytes, bytes]]:
+    def _chunks(self, normal: bytes) -> list[bytes]:
         if not normal:
             return []
         if not self.chunked:
@@ -196,52 +196,46 @@ class PieceModel:
         if MARK + MARK in normal or not normal.startswith(MARK):
             return [self._chunk(p) for p in _RUN.findall(normal)]
         parts = (normal.replace(b"\n", MARK + b"\n") if self.lines else normal)[len(MARK) :].split(MARK)
-        found = list(map(self.known.get, parts))
+        known = self.store.open()
+        found = list(map(known.get, parts))
         if None in found:
-            if len(self.known) > MOST_CHUNKS:
-                self.known.clear()
             for k, p in enumerate(parts):
                 if found[k] is None:
-                    found[k] = self.known[p] = self._chunk(p if self.lines and p.startswith(b"\n") else MARK + p)
+                    chunk = known.get(p) or self._chunk(p if self.lines and p.startswith(b"\n") else MARK + p)
+                    found[k] = self.store.keep(p, chunk, len(p) + len(chunk))
         return found
 
     # Whole texts -------------------------------------------------------------------------------------------
 
     def encode(self, text: str) -> tuple[list[int], np.ndarray]:
         """Ids, and a row of source byte start and end for each; the added leading mark takes no byte."""
-        return self.encode_with_decimal(text)[:2]
+        ids, starts, ends = self.encode_spans(text)
+        return ids, np.stack([starts, ends], 1)
 
-    def encode_with_decimal(self, text: str) -> tuple[list[int], np.ndarray, bytes]:
-        """As ``encode``, and the decimal ids joined by commas."""
+    def encode_spans(self, text: str) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """Ids, and source byte starts and ends of their pieces."""
         normal, at = self.normalise(text)
-        chunks = self._chunks(normal)
-        ids = np.frombuffer(b"".join([c[0] for c in chunks]), "<u4").tolist()
-        lengths = np.frombuffer(b"".join([c[1] for c in chunks]), "<u4")
-        ends = np.cumsum(lengths, dtype=np.int64)
-        if at is None:
-            at = self._plain_alignment(normal)
-        spans = np.stack([at[ends - lengths], at[ends]], 1)
-        for k in np.flatnonzero(lengths == 0):  # further bytes of a character that has no piece
-            spans[k] = spans[k - 1]
-        return ids, spans, b",".join([c[2] for c in chunks])
-
-    def _plain_alignment(self, normal: bytes) -> np.ndarray:
-        """Alignment where only marks differ: a space's mark covers one source byte, an added one none."""
-        b = np.frombuffer(normal, np.uint8)
-        width = np.ones(len(b), np.int64)
-        if self.escape:
-            hit = np.flatnonzero((b[:-2] == MARK[0]) & (b[1:-1] == MARK[1]) & (b[2:] == MARK[2])) if len(b) > 2 else np.zeros(0, np.int64)
-            width[hit + 1] = width[hit + 2] = 0
-            if self.dummy_prefix and len(hit):
-                width[0] = 0
-        elif self.dummy_prefix and len(b):
-            width[0] = 0
-        return np.concatenate([[0], np.cumsum(width)])
+        pieces = np.frombuffer(b"".join(self._chunks(normal)), _PIECES)
+        if not len(pieces):
+            return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+        lengths = pieces["normal"].astype(np.int64)
+        if at is None:  # marks are spaces, and the added one is no source byte
+            sizes = pieces["plain"].astype(np.int64)
+            sizes[0] -= self.dummy_prefix
+            ends = np.cumsum(sizes)
+            starts = ends - sizes
+        else:
+            ends = np.cumsum(lengths)
+            starts, ends = at[ends - lengths], at[ends]
+        if not lengths.all():
+            for k in np.flatnonzero(lengths == 0):  # further bytes of a character that has no piece
+                starts[k], ends[k] = starts[k - 1], ends[k - 1]
+        return pieces["id"].tolist(), starts, ends
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids: marks become spaces, the added one goes, byte pieces join, and bytes that form no character become U+FFFD one by one."""
-        surface, kind = self.surface, self.kind
-        out = b"".join([surface[i] for i in ids])
+        kind = self.kind
+        out = b"".join(map(self.surface.__getitem__, ids))
         first = next((i for i in ids if kind[i] != CONTROL), None)
         if self.dummy_prefix and first is not None and kind[first] == NORMAL and out.startswith(b" "):
             out = out[1:]
@@ -279,10 +273,6 @@ class PieceModel:
         return "".join(out)
 
 
-def pack_u32(*values: int) -> bytes:
-    return struct.pack(f"<{len(values)}I", *values)
-
-
 @cache
 def model(path: str) -> PieceModel:
     """One model a Python worker."""
@@ -324,11 +314,11 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         m = model(path)
         n, a, b, covered = [], [], [], []
         for text in texts_of(batch, 1):
-            ids, spans, decimal = m.encode_with_decimal(text)
+            ids, _, ends = m.encode_spans(text)
             n.append(len(ids))
-            a.append(hashlib.sha256(decimal).hexdigest())
+            a.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
             b.append(hashlib.sha256(m.decode(ids).encode()).hexdigest())
-            covered.append(int(spans[-1, 1]) if ids else 0)
+            covered.append(int(ends[-1]) if ids else 0)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(b), pa.array(covered, pa.int64())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "covered_bytes"])
 
     return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, covered_bytes long")
