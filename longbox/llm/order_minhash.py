@@ -16,7 +16,8 @@ links alone leave it.  Every pair of a bucket is thus ruled out, aligned or conn
 pairs is made.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` as they stand.  A text of one to four words is one window; null texts and texts
-without a word form classes of their own row.  Rows that repeat an id count as one node of equal rows.
+without a word form classes of their own row.  Rows that repeat an id are told apart by their texts: each is compared
+as what it says, and a class is named by its smallest id.  Rows without an id are in the class of an equal text.
 """
 
 from __future__ import annotations
@@ -31,11 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from longbox.llm.shared import map_batches, stored
+from longbox.llm.shared import Store, in_arrow, map_batches, stored
 
 WORDS, SIMILARITY = 5, 0.8
-#: Bands, tuples in a band, windows in a tuple: a pair at the threshold is missed about once in 2000.
+#: Bands, tuples in a band, windows in a tuple: a pair of long texts at the threshold is missed about once in 1500.
 BANDS, ROWS, TAKEN = 24, 2, 3
+#: Texts of at most so many windows get a second set of bands from tuples of two windows: pairs of texts of few windows
+#: seldom share all three, and are then missed less than once in 2000.
+FEW_WINDOWS, FEW_TAKEN = 25, 2
 #: Windows of a block of texts that are compared together.
 BLOCK_WINDOWS = 400_000
 #: Texts of a side of such a block, which bounds its pairs when texts are short.
@@ -46,11 +50,11 @@ MATRIX_CELLS = 8_000_000
 MOST_BROADCAST = 2_000_000
 #: Links that a task contracts at a time.
 CHUNK_LINKS = 200_000
-#: Words whose hashes a Python worker keeps.
-MOST_WORDS = 500_000
+#: Edges above which a node is joined by a broadcast of such nodes, and the most of them that are.
+HUB_EDGES, MOST_HUBS = 1_000, 1_000_000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SPLIT = str.maketrans("\t\n\v\f\r", "     ")
-_known: dict[str, int] = {}
+_words = Store()
 
 
 @cache
@@ -77,13 +81,12 @@ def windows(words: list[str]) -> np.ndarray:
     """64-bit hashes of a text's windows of five words in text order; one window if there are fewer words."""
     if not words:
         return np.zeros(0, np.uint64)
-    found = list(map(_known.get, words))
+    known = _words.open()
+    found = list(map(known.get, words))
     if None in found:
-        if len(_known) > MOST_WORDS:
-            _known.clear()
         for i, w in enumerate(words):
             if found[i] is None:
-                found[i] = _known[w] = xxhash.xxh64_intdigest(w)
+                found[i] = _words.keep(w, xxhash.xxh64_intdigest(w), 2 * len(w))
     h = np.array(found, np.uint64)
     n, powers = max(1, len(h) - WORDS + 1), _powers()
     out = np.full(n, len(h) if len(h) < WORDS else WORDS, np.uint64) * powers[WORDS]
@@ -106,8 +109,21 @@ def labelled(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
+def _digests(x: np.ndarray, picked: list[np.ndarray], salt: int) -> np.ndarray:
+    """A digest for each band of the picked windows, put back into text order."""
+    places = np.sort(np.stack(picked, 1), 1)
+    digest = np.full(len(places), len(picked), np.uint64)
+    for k in range(places.shape[1]):
+        digest = _mixed(digest * np.uint64(0x9E3779B97F4A7C15) + x[places[:, k]])
+    bands = digest.reshape(BANDS, ROWS)
+    out = np.arange(salt, salt + BANDS, dtype=np.uint64)
+    for k in range(ROWS):
+        out = _mixed(out * np.uint64(0x9E3779B97F4A7C15) + bands[:, k])
+    return out
+
+
 def sketch(words: list[str]) -> np.ndarray:
-    """One digest for each band."""
+    """One digest for each band, and for each of the second set where windows are few."""
     x = labelled(windows(words))
     hashed = _multipliers()[:, None] * x[None, :]
     rows = np.arange(len(hashed))
@@ -116,15 +132,8 @@ def sketch(words: list[str]) -> np.ndarray:
         at = hashed.argmin(1)
         picked.append(at)
         hashed[rows, at] = np.uint64(0xFFFFFFFFFFFFFFFF)
-    places = np.sort(np.stack(picked, 1), 1)  # back into text order
-    digest = np.full(len(rows), len(picked), np.uint64)
-    for k in range(places.shape[1]):
-        digest = _mixed(digest * np.uint64(0x9E3779B97F4A7C15) + x[places[:, k]])
-    bands = digest.reshape(BANDS, ROWS)
-    out = np.arange(BANDS, dtype=np.uint64)
-    for k in range(ROWS):
-        out = _mixed(out * np.uint64(0x9E3779B97F4A7C15) + bands[:, k])
-    return out
+    out = _digests(x, picked, 0)
+    return np.concatenate([out, _digests(x, picked[:FEW_TAKEN], BANDS)]) if len(x) <= FEW_WINDOWS else out
 
 
 def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
@@ -171,18 +180,18 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
 
 
 def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, digest, bands, size``; digest is 128 bits of the words, null where there is none."""
+    """``doc_id, mark, digest, bands, size``; digest is 128 bits of the words, null where there is none; mark tells texts of one id apart."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         digests, bands, sizes = [], [], []
-        for text in batch.column(1).to_pylist():
+        for text in batch.column(2).to_pylist():
             words = words_of(text)
             digests.append(xxhash.xxh3_128_digest(" ".join(words)) if words else None)
             bands.append(sketch(words).view(np.int64) if words else None)
             sizes.append(max(1, len(words) - WORDS + 1))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sizes, pa.int32())], ["doc_id", "digest", "bands", "size"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sizes, pa.int32())], ["doc_id", "mark", "digest", "bands", "size"])
 
-    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, digest binary, bands array<long>, size int")
+    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text")), run, "doc_id long, mark long, digest binary, bands array<long>, size int")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -200,14 +209,15 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _windows(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``node, windows`` of the documents that stand for a candidate node."""
+    """``node, windows`` of the documents that stand for a candidate node; ``nodes`` has ``node, origin, mark``."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         packed = [windows(words_of(t)).astype("<u8").tobytes() for t in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["node", "windows"])
 
     small = nodes.count() <= MOST_BROADCAST
-    mine = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(F.broadcast(nodes) if small else nodes, "node", "left_semi")
+    texts = docs.select(F.col(id_col).cast("long").alias("origin"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+    mine = texts.join(F.broadcast(nodes) if small else nodes, ["origin", "mark"]).select("node", "text")
     return map_batches(mine, run, "node long, windows binary").dropDuplicates(["node"])
 
 
@@ -246,7 +256,7 @@ def _contracted(links: DataFrame) -> DataFrame:
         if held:
             yield stars(held)
 
-    return stored(links.select("a", "b").mapInArrow(run, "a long, b long"), "edges")
+    return stored(in_arrow(links.select("a", "b"), run, "a long, b long"), "edges")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -265,12 +275,26 @@ def components(links: DataFrame) -> DataFrame:
         if not facts.where("low <> high or (low is not null and down > 0)").count():
             return stored(edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root"))).distinct(), "roots")
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("m"))
+        least = stored(both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n"), "least")
         # Both ends of an edge, each with the other's least neighbour.
-        hung = both.join(least.select(F.col("node").alias("a"), "m"), "a").select(F.col("m").alias("x"), F.col("b").alias("y")).unionByName(least.select(F.col("m").alias("x"), F.col("node").alias("y")))
+        hung = _with_least(both, least).unionByName(least.select(F.col("m").alias("x"), F.col("a").alias("y")))
         edges = _contracted(stored(hung.where("x < y").distinct(), "edges").withColumnsRenamed({"x": "a", "y": "b"}))
 
 
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """``(x, y)`` for each edge ``(a, b)``: the least neighbour of ``a``, and ``b``.
+
+    Nodes of many edges do not meet theirs in one task: they are few, at most a ``HUB_EDGES``-th of all edges, so they
+    are broadcast, and only other edges are shuffled.  Beyond ``MOST_HUBS`` of them, all edges are.
+    """
+    hubs = least.where(F.col("n") > HUB_EDGES).select("a", F.col("m").alias("hub"))
+    if not 0 < hubs.count() <= MOST_HUBS:
+        return edges.join(least.select("a", "m"), "a").select(F.col("m").alias("x"), F.col("b").alias("y"))
+    told = edges.join(F.broadcast(hubs), "a", "left")
+    rest = told.where("hub is null").select("a", "b").join(least.where(F.col("n") <= HUB_EDGES).select("a", "m"), "a")
+    return told.where("hub is not null").select(F.col("hub").alias("x"), F.col("b").alias("y")).unionByName(rest.select(F.col("m").alias("x"), F.col("b").alias("y")))
+
+
 def block_links(nodes: np.ndarray, roots: np.ndarray, sides: np.ndarray, sequences: list[np.ndarray]) -> list[tuple[int, int]]:
     """Links between nodes of side 0 and nodes of side 1 that join components not joined in this block before."""
     sets = [labelled(x) for x in sequences]
@@ -357,7 +381,7 @@ def _linked(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> Da
     buckets = stored(cells.join(first, "key"), "buckets")
     if buckets.isEmpty():
         return None
-    texts = stored(_windows(docs, buckets.select("node").distinct(), id_col, text_col), "windows")
+    texts = stored(_windows(docs, nodes.select("node", "origin", "mark").join(buckets.select("node").distinct(), "node", "left_semi"), id_col, text_col), "windows")
     pairs = buckets.withColumn("b_size", F.col("size")).where("node <> a").where(_close()).select("a", F.col("node").alias("b")).distinct()
     links = stored(_verified(pairs, texts).where("linked").select("a", "b"), "links")
     roots = components(links)
@@ -365,25 +389,50 @@ def _linked(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> Da
     return roots if rest is None else components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest))
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, class_id)``: the smallest id of the documents that links connect with each document."""
+def _classed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """``doc_id, mark, root, class_id`` of every row, and whether an id has several texts.
+
+    Root is null where a text has no word; else it is a class's number, and its smallest id if no id has several texts.
+    """
     rows = stored(_sketched(docs, id_col, text_col), "sketches")
-    nodes = stored(rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("size").alias("size")), "nodes")
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "mark"))).alias("first")
+    nodes = rows.where("digest is not null").groupBy("digest").agg(first, F.first("bands").alias("bands"), F.first("size").alias("size"))
+    nodes = stored(nodes.select("digest", F.col("first.doc_id").alias("node"), F.col("first.doc_id").alias("origin"), F.col("first.mark").alias("mark"), "bands", "size"), "nodes")
+    shared = nodes.where("node is not null").groupBy("node").agg(F.min("digest").alias("keeps"), F.count(F.lit(1)).alias("n")).where("n > 1").select("node", "keeps")
+    several = not (shared := stored(shared, "shared-ids")).isEmpty()
+    if several:  # the id names the text of least digest; the others get numbers of their own
+        own = F.lit(-(1 << 62)) + F.pmod(F.xxhash64("digest"), F.lit(1 << 61))
+        nodes = stored(nodes.join(shared, "node", "left").withColumn("node", F.when(F.col("keeps").isNotNull() & (F.col("digest") != F.col("keeps")), own).otherwise(F.col("node"))).drop("keeps"), "nodes")
     roots = _linked(docs, nodes, id_col, text_col)
-    named = nodes.select("digest", F.col("node").alias("class_id"))
+    named = nodes.select("digest", F.col("node").alias("root"))
     if roots is not None:
-        named = nodes.select("digest", "node").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("class_id"))
-    return rows.select("doc_id", "digest").join(named, "digest", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+        named = nodes.select("digest", "node").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
+    out = rows.select("doc_id", "mark", "digest").join(named, "digest", "left").select("doc_id", "mark", "root")
+    if not several:
+        return out.withColumn("class_id", F.coalesce("root", "doc_id")), False
+    out = stored(out, "rooted")
+    least = out.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
+    return out.join(least, "root", "left").select("doc_id", "mark", "root", F.coalesce("least", "doc_id").alias("class_id")), True
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, class_id)``: the smallest id of the documents that links connect with each document, a row for each row of ``docs``."""
+    return _classed(docs, id_col, text_col)[0].select("doc_id", "class_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` without those of a class that has a smaller id; of rows that repeat an id one stays.
+    """Rows of ``docs`` without those of a class that has a smaller id.
 
+    Of rows that repeat an id and a text one stays; where an id repeats with texts of one class, the text of least hash.
     Texts are shuffled only where an id repeats or more ids go than may be broadcast.  Rows without an id stay.
     """
-    named = stored(classes(docs), "classes")
-    gone = named.where("doc_id <> class_id").select("doc_id").distinct()
-    kept = docs.join(F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone, "doc_id", "left_anti").select(docs.columns)
-    if named.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    classed, several = _classed(docs, "doc_id", "text")
+    named = stored(classed, "classes")
+    spread = lambda gone: F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone
+    if not several and named.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        gone = named.where("doc_id <> class_id").select("doc_id").distinct()
+        return docs.join(spread(gone), "doc_id", "left_anti").select(docs.columns)
+    first = named.where("root is not null and doc_id is not null").groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("first"))
+    gone = named.where("doc_id is not null").join(first, "root").where("first <> struct(doc_id, mark)").select(F.col("doc_id").alias("_gone"), F.col("mark").alias("_mark")).distinct()
+    kept = docs.join(spread(gone), (F.col("doc_id") == F.col("_gone")) & (F.xxhash64("text") == F.col("_mark")), "left_anti").select(docs.columns)
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(kept.where("doc_id is null"))
