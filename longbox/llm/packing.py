@@ -1,9 +1,11 @@
 """Best-fit packing of token pieces into sequences of a fixed length, improved by a swap-based local search.
 
 Pieces are dealt evenly into blocks of a bounded number of rows.  In a block, best fit by decreasing length opens the
-sequences; then documents move or change places one-for-one or two-for-one between the emptiest sequence and other
-underfull ones, each step raising the sum of squared fills, until sequences run empty or no step is left.  At most
-one sequence of a block is half full or less (two would have been joined); those are packed again across blocks.
+sequences; then documents move or change places one-for-one or two-for-one between underfull sequences, each step
+raising the sum of squared fills.  The emptiest sequence gives first; one that has no step is set aside until another
+step touches it.  The search ends when as many sequences are left as all tokens need at least, when no underfull
+sequence has a step, or after ``STEPS`` steps for each underfull sequence at the start.  At most one sequence of a block
+is half full or less (two would have been joined); those are packed again across blocks.
 
 Null and empty texts are one end id long.  Ties are broken by place; repeated rows are packed as rows of their own.
 """
@@ -23,8 +25,8 @@ from longbox.llm.shared import map_batches, stored
 
 #: Rows that one task packs together.
 BLOCK_ROWS = 20_000
-#: Emptiest sequences that the local search works on, and the steps it may take, in a block.
-NEIGHBOURS, STEPS = 192, 2000
+#: Steps of the local search in a block for each sequence that is underfull when it starts.
+STEPS = 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long, fill long"
 
@@ -71,53 +73,94 @@ def best_fit(lengths: list[int], limit: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: list[int], limit: int, neighbours: int = NEIGHBOURS, steps: int = STEPS) -> list[list[int]]:
-    """Moves and exchanges between the emptiest sequence and other underfull ones; empty sequences are left out.
-
-    Every step fills the other sequence further at the emptiest one's cost, so the sum of squared fills grows.
+class _Underfull:
+    """Underfull sequences with what they can give: single pieces and pairs, one of each size."""
+
+    def __init__(self, bins: list[list[int]], lengths: list[int], limit: int):
+        self.bins, self.lengths, self.limit = bins, lengths, limit
+        fill = [sum(lengths[i] for i in b) for b in bins]
+        self.open = [b for b in range(len(bins)) if fill[b] < limit]
+        self.fill = np.array(fill, np.int64)
+        self.single: dict[int, dict[int, int]] = {}
+        self.pair: dict[int, dict[int, tuple[int, int]]] = {}
+        self.stale = True
+        for b in self.open:
+            self.note(b)
+
+    def note(self, b: int) -> None:
+        """A sequence of ``limit`` tokens has pieces of at most about the square root of twice that many sizes."""
+        sizes: dict[int, list[int]] = {}
+        for i in self.bins[b]:
+            sizes.setdefault(self.lengths[i], []).append(i)
+        self.single[b] = {n: x[0] for n, x in sizes.items()}
+        order = sorted(sizes)
+        self.pair[b] = {n + m: (sizes[n][0], sizes[m][-1]) for k, n in enumerate(order) for m in order[k:] if n < m or len(sizes[n]) > 1}
+        self.stale = True
+
+    def table(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Owners and sizes of all singles, and of all pairs."""
+        if self.stale:
+            self.flat = []
+            for kind in (self.single, self.pair):
+                owner = np.repeat(np.array(self.open, np.int64), [len(kind[b]) for b in self.open])
+                self.flat.append((owner, np.array([n for b in self.open for n in kind[b]], np.int64)))
+            self.stale = False
+        return self.flat
+
+    def best(self, low: int) -> tuple[int, int, list[int], list[int]] | None:
+        """The step of most gain from ``low``: gain, other sequence, pieces that come to it, pieces that go.  Single pieces first, then pairs for one, then one for pairs."""
+        room = self.limit - self.fill
+        found: tuple[int, int, list[int], list[int]] | None = None
+        (own, size), (own2, size2) = self.table()
+        for come in (self.single[low], self.pair[low]):
+            for n, pieces in come.items():
+                pieces = [pieces] if isinstance(pieces, int) else list(pieces)
+                fits = [b for b in (self.open if len(pieces) == 1 else ()) if b != low and room[b] >= n]
+                if fits and (found is None or n > found[0]):
+                    found = n, min(fits, key=lambda b: (room[b], b)), pieces, []
+                for owner, sizes, kind in ((own, size, self.single), (own2, size2, self.pair)):
+                    if len(sizes) and (len(pieces) == 1 or kind is self.single):
+                        gain = n - sizes
+                        gain = np.where((gain > 0) & (gain <= room[owner]) & (owner != low), gain, 0)
+                        k = int(gain.argmax())
+                        if gain[k] > 0 and (found is None or gain[k] > found[0]):
+                            gone = kind[int(owner[k])][int(sizes[k])]
+                            found = int(gain[k]), int(owner[k]), pieces, [gone] if isinstance(gone, int) else list(gone)
+            if found is not None:
+                return found
+        return found
+
+    def take(self, low: int, gain: int, b: int, come: list[int], go: list[int]) -> None:
+        self.bins[b] = [i for i in self.bins[b] if i not in go] + come
+        self.bins[low] = [i for i in self.bins[low] if i not in come] + go
+        self.fill[b] += gain
+        self.fill[low] -= gain
+        for x in (b, low):
+            self.note(x)
+        self.open = [x for x in self.open if self.bins[x] and self.fill[x] < self.limit]
+
+
+def local_search(bins: list[list[int]], lengths: list[int], limit: int, steps: int = STEPS) -> list[list[int]]:
+    """Moves and exchanges between underfull sequences; empty sequences are left out.
+
+    Every step fills a sequence further at the cost of one that is no fuller, so the sum of squared fills grows.
     """
-    fill = [sum(lengths[i] for i in b) for b in bins]
-    work = sorted((b for b in range(len(bins)) if fill[b] < limit), key=lambda b: fill[b])[:neighbours]
-    for _ in range(steps):
-        work = [b for b in work if bins[b]]
-        if len(work) < 2 or sum(limit - fill[b] for b in work) < limit:
-            break  # not even all their room takes one sequence more
-        low = min(work, key=lambda b: (fill[b], b))
-        others = [b for b in work if b != low]
-        room = np.array([limit - fill[b] for b in others])
-        best: tuple[int, int, list[int], list[int]] | None = None  # gain, sequence, items that come, items that go
-
-        def offer(gain: int, b: int, come: list[int], go: list[int]) -> None:
-            nonlocal best
-            if gain > 0 and (best is None or gain > best[0]):
-                best = gain, b, come, go
-
-        owner = np.repeat(np.arange(len(others)), [len(bins[b]) for b in others])
-        items = np.array([i for b in others for i in bins[b]])
-        sizes = np.array([lengths[i] for i in items])
-        pairs = [(k, x, y) for k, b in enumerate(others) if len(bins[b]) <= 12 for n, x in enumerate(bins[b]) for y in bins[b][n + 1 :]]
-        pair_owner = np.array([p[0] for p in pairs], int)
-        pair_sizes = np.array([lengths[p[1]] + lengths[p[2]] for p in pairs], int)
-        mine = list({lengths[i]: i for i in bins[low]}.values())
-        groups = [[i] for i in mine] + [[x, y] for n, x in enumerate(bins[low][:24]) for y in bins[low][n + 1 : 24]]
-        for come in groups:
-            size = sum(lengths[i] for i in come)
-            if len(come) == 1 and (k := int(np.argmax(np.where(room >= size, -room, -(limit + 1))))) >= 0 and room[k] >= size:
-                offer(size, others[k], come, [])
-            for at, their, gone in ((owner, sizes, None), *(((pair_owner, pair_sizes, pairs),) if len(come) == 1 else ())):
-                if not len(their):
-                    continue
-                gain = size - their
-                gain = np.where((gain > 0) & (gain <= room[at]), gain, 0)
-                k = int(gain.argmax())
-                offer(int(gain[k]), others[at[k]], come, [int(items[k])] if gone is None else [gone[k][1], gone[k][2]])
-        if best is None:
+    least = -(-sum(lengths) // limit)
+    state = _Underfull(bins, lengths, limit)
+    aside: set[int] = set()
+    left = sum(map(bool, bins))
+    for _ in range(steps * len(state.open)):
+        able = [b for b in state.open if b not in aside]
+        if left <= least or not able or len(state.open) < 2:
             break
-        gain, b, come, go = best
-        bins[b] = [i for i in bins[b] if i not in go] + come
-        bins[low] = [i for i in bins[low] if i not in come] + go
-        fill[b] += gain
-        fill[low] -= gain
+        low = min(able, key=lambda b: (state.fill[b], b))
+        step = state.best(low)
+        if step is None or state.fill[step[1]] + step[0] <= state.fill[low]:  # squared fills would not grow
+            aside.add(low)
+            continue
+        state.take(low, *step)
+        aside -= {low, step[1]}
+        left -= not bins[low]
     return [b for b in bins if b]
 
 
