@@ -2,9 +2,11 @@
 
 Ids are packed Simple-8b fashion: each 64-bit word has a selector of 4 bits and 60 bits that hold as many ids as fit
 one width.  Widths end at 20 bits; a larger id is written as the escape (all ones of 20 bits) and stands in a list of
-exceptions of its block.  A block holds whole documents, in order, with their ids' counts, so that a block decodes
-alone and by whole arrays.  Files are Parquet tables of blocks written by Spark's committer: a retried or repeated
-task leaves one copy.  Parts follow document order, and ``part, seq`` order the blocks.
+exceptions of its block.  A block holds whole documents, in order, with their ids' counts and its own offset in its
+part, so that a block decodes alone and by whole arrays.  Files are Parquet tables of blocks written by Spark's
+committer: a retried or repeated task leaves one copy.  Parts follow document order, and ``part, seq`` order the blocks.
+Beside the blocks stands an index of the parts with the ids before each: any block can be placed by its offset and its
+part's.
 
 Null texts count as empty; an empty document holds the end id alone.  Null document ids sort first.
 """
@@ -21,14 +23,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from longbox.llm.byte_pairs import encoder
-from longbox.llm.shared import TEXT_BATCH_ROWS, map_batches, new_path
+from longbox.llm.shared import in_arrow, map_batches, new_path, slices
 
 #: Ids in a word, bits of each; the place in the list is the selector.
 LAYOUTS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20))
 ESCAPE = (1 << 20) - 1
 #: Ids after which a block is closed.
 BLOCK_IDS = 1 << 16
-BLOCKS = "part int, seq int, doc_ids array<long>, counts array<int>, n_ids long, words binary, escape_at array<int>, escape_ids array<long>"
+BLOCKS = "part int, seq int, start long, doc_ids array<long>, counts array<int>, n_ids long, words binary, escape_at array<int>, escape_ids array<long>"
+PARTS = "part int, part_start long, n_ids long, n_blocks long"
 
 
 @cache
@@ -95,16 +98,16 @@ def unpack(words: np.ndarray, n: int, escape_at: np.ndarray, escape_ids: np.ndar
     return out
 
 
-def _block(part: int, seq: int, doc_ids: list, pieces: list[bytes]) -> pa.RecordBatch:
+def _block(part: int, seq: int, start: int, doc_ids: list, pieces: list[bytes]) -> pa.RecordBatch:
     ids = np.frombuffer(b"".join(pieces), "<u4")
     words, at, escaped = pack(ids)
-    columns = [[part], [seq], [doc_ids], [[len(p) // 4 for p in pieces]], [len(ids)], [words.astype("<u8").tobytes()], [at.tolist()], [escaped.tolist()]]
-    kinds = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64())]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["part", "seq", "doc_ids", "counts", "n_ids", "words", "escape_at", "escape_ids"])
+    columns = [[part], [seq], [start], [doc_ids], [[len(p) // 4 for p in pieces]], [len(ids)], [words.astype("<u8").tobytes()], [at.tolist()], [escaped.tolist()]]
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["part", "seq", "start", "doc_ids", "counts", "n_ids", "words", "escape_at", "escape_ids"])
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, parts: int | None = None, id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS) -> None:
-    """Write ids of each text and ``end_id``, in ascending order of ``id_col``, as blocks at ``path``.
+    """Write ids of each text and ``end_id``, in ascending order of ``id_col``: blocks and the index of parts, below ``path``.
 
     The one shuffle deals whole texts out by ranges of the document id; texts are encoded after it, so that the
     sample that finds the ranges does not tokenise.
@@ -117,23 +120,30 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, parts
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, seq, ids, pieces, size = TaskContext.get().partitionId(), 0, [], [], 0
+        part, seq, before, ids, pieces, size = TaskContext.get().partitionId(), 0, 0, [], [], 0
         tok = encoder(tokenizer)
         for whole in batches:
-            for start in range(0, whole.num_rows, TEXT_BATCH_ROWS):
-                batch = whole.slice(start, TEXT_BATCH_ROWS)
+            for batch in slices(whole):
                 found = tok.encode_bytes(batch.column(1))
                 for doc_id, piece in zip(batch.column(0).to_pylist(), found, strict=True):
                     ids.append(doc_id)
                     pieces.append(piece + end)
                     size += len(piece) // 4 + 1
                     if size >= block_ids:
-                        yield _block(part, seq, ids, pieces)
-                        seq, ids, pieces, size = seq + 1, [], [], 0
+                        yield _block(part, seq, before, ids, pieces)
+                        seq, before, ids, pieces, size = seq + 1, before + size, [], [], 0
         if ids:
-            yield _block(part, seq, ids, pieces)
+            yield _block(part, seq, before, ids, pieces)
 
-    dealt.mapInArrow(run, BLOCKS).write.parquet(path)
+    in_arrow(dealt, run, BLOCKS).write.parquet(f"{path}/blocks")
+    parts_of(docs.sparkSession.read.schema(BLOCKS).parquet(f"{path}/blocks")).write.parquet(f"{path}/parts")
+
+
+def parts_of(blocks: DataFrame) -> DataFrame:
+    """The index: a row for each part with the ids before it.  It has as many rows as files."""
+    sums = blocks.groupBy("part").agg(F.sum("n_ids").alias("n_ids"), F.count(F.lit(1)).alias("n_blocks"))
+    before = F.coalesce(F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return sums.select("part", before.alias("part_start"), "n_ids", "n_blocks").coalesce(1)
 
 
 def read_ids(df: DataFrame) -> DataFrame:
@@ -153,34 +163,26 @@ def read_ids(df: DataFrame) -> DataFrame:
 
 def _digests(df: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out: list[list] = [[], [], [], [], [], []]
+        out: list[list] = [[], [], [], []]
         for b in batch.to_pylist():
             ids = unpack(np.frombuffer(b["words"], "<u8"), b["n_ids"], np.array(b["escape_at"], np.int64), np.array(b["escape_ids"], np.uint64)).astype("<u4")
             ends = np.cumsum(b["counts"]).tolist()
-            start = 0
+            start, base = 0, b["start"] + b["part_start"]
             for doc_id, stop in zip(b["doc_ids"], ends, strict=True):
-                for column, value in zip(out, (b["part"], b["seq"], doc_id, start, stop - start, zlib.crc32(ids[start:stop])), strict=True):
+                for column, value in zip(out, (doc_id, base + start, stop - start, zlib.crc32(ids[start:stop])), strict=True):
                     column.append(value)
                 start = stop
-        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["part", "seq", "doc_id", "within", "n_tokens", "ids_crc32"])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return map_batches(df, run, "part int, seq int, doc_id long, within long, n_tokens long, ids_crc32 long")
+    return map_batches(df, run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def block_starts(df: DataFrame) -> DataFrame:
-    """``(part, seq, block_start)``: ids before each block.  Sums by part meet in one place; blocks do not."""
-    blocks = df.select("part", "seq", "n_ids")
-    parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = parts.select("part", before.alias("part_start"))
-    inner = F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return blocks.withColumn("inner", inner).join(parts, "part").select("part", "seq", (F.col("inner") + F.col("part_start")).alias("block_start"))
+def file_index(blocks: DataFrame, parts: DataFrame) -> DataFrame:
+    """Per document of a table of blocks: ``doc_id, start, n_tokens, ids_crc32``, from the decoded ids.
 
-
-def file_index(df: DataFrame) -> DataFrame:
-    """Per document of a table of blocks: ``doc_id, start, n_tokens, ids_crc32``, from the decoded ids."""
-    return _digests(df).join(block_starts(df), ["part", "seq"]).select("doc_id", (F.col("block_start") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
+    The index of parts is broadcast: it has a row for each file.
+    """
+    return _digests(blocks.join(F.broadcast(parts.select("part", "part_start")), "part"))
 
 
 def written_and_read(docs: DataFrame, tokenizer: str, end_id: int = 2, parts: int | None = None) -> DataFrame:
@@ -188,4 +190,4 @@ def written_and_read(docs: DataFrame, tokenizer: str, end_id: int = 2, parts: in
     spark = docs.sparkSession
     path = new_path(spark, "token-ids")
     write_ids(docs, path, tokenizer, end_id, parts)
-    return file_index(spark.read.schema(BLOCKS).parquet(path))
+    return file_index(spark.read.schema(BLOCKS).parquet(f"{path}/blocks"), spark.read.schema(PARTS).parquet(f"{path}/parts"))
