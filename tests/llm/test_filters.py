@@ -312,6 +312,20 @@ def test_top_k_of_few(spark):
     assert topk.top_k(vectors.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    """Whole-number scores beyond double precision, ties and other vector lengths among them."""
+    rows = [(0, [2.0**30, 1.0]), (1, [2.0**30, 0.5]), (2, [2.0**30, 0.484375]), (3, [1e300, -1e300]), (4, [0.25, 0.25]), (20, [-(2.0**31), 3.0]), (40, [1.0]), (41, [2.0]), (60, []), (None, [1.0, 1.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.top_k(vectors, F.col("vec_id") % 20 == 0).collect()}
+    limit = lambda x, most: max(-most, min(most, x))
+    whole = {i: [limit(int(np.floor(64 * x)), (1 << 63) - 1) if abs(x) < 1e17 else int(np.sign(x)) * (1 << 63) for x in v] for i, v in rows[:8]}
+    want = {}
+    for q in (0, 20, 40):
+        found = sorted((-limit(sum(a * b for a, b in zip(whole[q], v)), 1 << 61), i) for i, v in whole.items() if i != q and len(v) == len(whole[q]))
+        want |= {(q, k + 1): (i, -s) for k, (s, i) in enumerate(found)}
+    assert got == want
+
+
 def test_blocks_find_all_links_between_components():
     rnd = random.Random(9)
     base = [f"w{rnd.randrange(300)}" for _ in range(80)]

@@ -112,7 +112,7 @@ def test_round_trip_table(spark, docs):
 
 
 def test_chunks_equal_the_library():
-    coder, library = ChunkEncoder(tokenizer_path(BYTES), most_chunks=50), Tokenizer.from_file(tokenizer_path(BYTES))
+    coder, library = ChunkEncoder(tokenizer_path(BYTES), most_bytes=9000), Tokenizer.from_file(tokenizer_path(BYTES))
     texts = [*some_texts(400), None, "", "a <|endoftext|> b", "it's. we'll, 3.14 ..", "naïve. Ünü,\nZß"]
     for text, got in zip(texts, coder.encode_bytes(pa.array(texts)), strict=True):
         assert np.frombuffer(got, "<u4").tolist() == (library.encode(text, add_special_tokens=False).ids if text else [])
@@ -146,7 +146,12 @@ def test_token_file(spark, docs):
 def test_blocks_read_ids_back(spark, docs, tmp_path):
     path = f"file://{tmp_path}/ids"
     token_file.write_ids(docs, path, tokenizer_path(BYTES), 2, 2, block_ids=100)
-    blocks = spark.read.schema(token_file.BLOCKS).parquet(path)
+    blocks = spark.read.schema(token_file.BLOCKS).parquet(f"{path}/blocks")
+    parts = {r.part: r for r in spark.read.schema(token_file.PARTS).parquet(f"{path}/parts").collect()}
+    at = 0
+    for b in blocks.select("part", "seq", "start", "n_ids").orderBy("part", "seq").collect():
+        assert parts[b.part].part_start + b.start == at
+        at += b.n_ids
     library = Tokenizer.from_file(tokenizer_path(BYTES))
     by_id = {r.doc_id: r.ids for r in token_file.read_ids(blocks).where("doc_id is not null").collect()}
     for r in docs.where("doc_id is not null").collect():

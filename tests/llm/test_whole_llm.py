@@ -65,3 +65,45 @@ def test_families_are_split_by_rows(spark, monkeypatch):
     got = {r.doc_id: r.class_id for r in order_minhash.classes(docs).collect()}
     assert got == {i: 3 if i in (7, 8) else i for i in range(30)}
     assert blocks and max(b.wide for b in blocks) == 3
+
+
+def test_ids_with_several_texts_are_told_apart(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(7, a), (7, a), (7, b), (3, b), (9, c), (9, None), (9, None), (None, a), (2, a.replace(" ", "  ")), (2, a)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, mark string")
+    got = sorted(((r.doc_id, r.class_id) for r in order_minhash.classes(docs).collect()), key=str)
+    assert got == sorted([(7, 2), (7, 2), (7, 3), (3, 3), (9, 9), (9, 9), (9, 9), (None, 2), (2, 2), (2, 2)], key=str)
+    kept = sorted(((r.doc_id, r.text is None, (r.text or "")[:2]) for r in order_minhash.keep_first(docs).collect()), key=str)
+    assert kept == sorted([(3, False, "b0"), (9, False, "c0"), (9, True, ""), (None, False, "a0"), (2, False, "a0")], key=str)
+
+
+def test_recall_on_the_generated_documents(spark):
+    """Every pair of the table that brute force aligns ends in one class."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.where("text is not null").collect()}
+    windows = {i: order_minhash.windows(order_minhash.words_of(t)) for i, t in texts.items()}
+    holders: dict = {}
+    for i, w in windows.items():
+        for x in set(w.tolist()):
+            holders.setdefault(x, []).append(i)
+    pairs = {(a, b) for h in holders.values() for k, a in enumerate(h) for b in h[k + 1 :]}
+    linked = [(a, b) for a, b in pairs if order_minhash.aligned(windows[a], windows[b])]
+    named = {r.doc_id: r.class_id for r in order_minhash.classes(docs).collect()}
+    assert len(linked) > 50 and sum(named[a] == named[b] for a, b in linked) >= 0.99 * len(linked)
+
+
+def test_short_texts_share_a_band():
+    rnd = random.Random(8)
+    missed = 0
+    for _ in range(1500):
+        words = [f"w{rnd.randrange(10**6)}" for _ in range(8)]
+        missed += not set(order_minhash.sketch(words).tolist()) & set(order_minhash.sketch([*words, "more"]).tolist())
+    assert missed <= 2
+
+
+def test_hubs_join_like_other_nodes(spark, monkeypatch):
+    monkeypatch.setattr(order_minhash, "HUB_EDGES", 3)
+    monkeypatch.setattr(order_minhash, "CHUNK_LINKS", 5)
+    links = [(50, 100 + i) for i in range(40)] + [(100 + i, 200 + i) for i in range(20)] + [(300, 301)]
+    got = {r.node: r.root for r in order_minhash.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: 300 if x >= 300 else 50 for link in links for x in link}
