@@ -17,6 +17,9 @@ from longbox.functions.text import MOST_EXPANDED
 _START = re.compile(r"(?i)\bcollect(?:s|ing)\b:?\s*")
 _RUN = re.compile(r"(?P<title>[A-Za-z][^()#]*?)\s*(?:#(?P<inner>[\w.]+(?:\s*-\s*[\w.]+)?)\s+(?P<rest>[^()#]+?)\s*)?\((?P<year>\d{4})\)")
 _ISSUES = re.compile(r"#\s*(?P<first>[\w.]+(?:\s*-\s*[\w.]+)?)(?P<more>(?:\s*(?:,|&|and)\s*#?\s*\d[\w.]*(?:\s*-\s*[\w.]+)?(?![\w(]))*)")
+#: What ends a collecting text on a page (fixed values).
+STOP_MARKS = ("DIGITAL ISSUE", "MORE DETAILS", "EXTENDED CREDITS AND INFO", "EXTENDED CREDITS", "Rating:", "Format:", "FOC Date:", "Price:", "ISBN", "STORIES", "COVER INFORMATION", "MORE ", "RECOMMENDED SERIES", "ABOUT MARVEL", "Terms of Use", "Privacy Policy", "©")
+_END = re.compile("|".join(map(re.escape, STOP_MARKS)) + r"|\.(?:\s|$)", re.IGNORECASE)
 _LEAD = re.compile(r"(?i)^(?:[\s,;&.]+|and\s+|material from\s+|issues?\s+|plus\s+)+")
 
 SCHEMA = "ref long, position int, kind string, title string, year string, expressions array<string>, numbers array<string>"
@@ -35,7 +38,10 @@ def collected(text: str | None) -> list[tuple[str, str, str, list[str], list[str
     start = _START.search(body)
     if not start:
         return []
-    body, at, found, last = body[start.end() :].strip(" ."), 0, [], ""
+    body = body[start.end() :]
+    if end := _END.search(body):  # page furniture, or the end of the first sentence
+        body = body[: end.start()]
+    body, at, found, last = body.strip(" ."), 0, [], ""
     while m := _RUN.search(body, at):
         title = _LEAD.sub("", m["title"]).strip(" ,;:")
         if m["rest"]:

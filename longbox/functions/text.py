@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 NBSP = " "
 #: Longest range of issue numbers that is written out.
 MOST_EXPANDED = 300
+#: Numbers that one mention of a range in a text may have.
+MOST_MENTIONED = 100_000
 
 
 def clean(c: Column) -> Column:
@@ -138,11 +140,15 @@ def expanded_range(c: Column) -> Column:
 
 
 def expanded_mentions(c: Column) -> Column:
-    """All numbers of ``#a to #b`` mentions in a text, up or down; single numbers are not ranges."""
-    pattern = r"(?i)#\s*(\d+)\s*(?:-|–|to|through)\s*#?\s*(\d+)"
+    """All numbers of ``#a to #b`` mentions in a text, up or down, each once; single numbers are not ranges.
+
+    A mention of more than ``MOST_MENTIONED`` numbers, or of numbers beyond a long, is no range and is left out.
+    """
+    pattern = r"(?i)#\s*(\d+)\s*(?:-|–|—|to|through)\s*#?\s*(\d+)"
     found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(pattern), F.lit(0))
-    ends = F.transform(found, lambda m: F.transform(F.regexp_extract_all(m, F.lit(r"\d+"), F.lit(0)), lambda d: d.cast("bigint")))
-    return F.flatten(F.transform(ends, lambda e: F.sequence(e[0], e[1])))
+    ends = F.transform(found, lambda m: F.transform(F.regexp_extract_all(m, F.lit(r"\d+"), F.lit(0)), lambda d: d.try_cast("bigint")))
+    able = F.filter(ends, lambda e: e[0].isNotNull() & e[1].isNotNull() & (F.abs(e[0] / 2 - e[1] / 2) < MOST_MENTIONED / 2))
+    return F.array_distinct(F.flatten(F.transform(able, lambda e: F.sequence(e[0], e[1]))))
 
 
 def compacted(numbers: Column, distinct: bool = True) -> Column:
@@ -167,17 +173,34 @@ def volume_number_in(c: Column) -> Column:
 
 
 MARKED_VOLUME = r"(?i)^\s*(volume|vol\.?)(\s|\d|\.|$)"
-SPECIAL_MARKS = ("annual", "special", "variant", "facsimile", "preview", "sketchbook", "free comic book day")
+#: Marks of special issues in numbers, and in labels of links (fixed values).
+SPECIAL_MARKS = (" annual ", " annual #", " noir edition ", " noir edition #", " ark m ", " ark m #", ": ark ", ": ark m", " special ", " special #")
+SPECIAL_LABEL_MARKS = (" annual ", " annual #", " noir edition ", " noir edition #", ": ark ", ": ark m", " special ", " special #", " director's cut", " directors cut", " deluxe edition", ": uncovered ", ": uncovered #")
 
 
-def looks_special(c: Column) -> Column:
-    padded = F.concat(F.lit(" "), F.lower(clean(c)), F.lit(" "))
+def _holds(text: Column, marks: tuple[str, ...]) -> Column:
     out = F.lit(False)
-    for mark in SPECIAL_MARKS:
-        out = out | F.contains(padded, F.lit(mark))
+    for mark in marks:
+        out = out | F.contains(text, F.lit(mark))
     return out
 
 
+def looks_special(c: Column) -> Column:
+    """Whether a number or title, set between spaces, holds the mark of a special issue."""
+    return _holds(F.concat(F.lit(" "), folded(clean(c)), F.lit(" ")), SPECIAL_MARKS)
+
+
+def looks_special_label(c: Column) -> Column:
+    """Whether a link's label, as it stands, holds the mark of a special issue."""
+    return _holds(folded(clean(c)), SPECIAL_LABEL_MARKS)
+
+
+def mainline_first(c: Column) -> Column:
+    """Whether a number is 1, with or without "issue", "no." and "#" before it, and not that of a special."""
+    bare = F.regexp_replace(F.regexp_replace(clean(c), r"(?i)^\s*issue\s*", ""), r"(?i)^\s*no\.?\s*", "")
+    return ~looks_special(c) & (F.regexp_replace(bare, r"^[#\s]*(?=.*$)", "") == "1")
+
+
 # Dates ---------------------------------------------------------------------------------------------------------
 
 

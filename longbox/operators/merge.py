@@ -50,12 +50,14 @@ def after_sync(existing: DataFrame, plan: DataFrame, keys: list[str]) -> DataFra
 def resolved_runs(catalogue: DataFrame, wanted: DataFrame) -> DataFrame:
     """``wanted (ref, key, title, year, publisher_id)`` with the run that it means: by source key, by exact title and
     year, or by normalised title and year.  The best tier decides and the smallest id in it wins; publishers must agree.
+    A row without a year takes runs of any year.
     """
     runs = catalogue.select(F.col("id").alias("run_id"), "publisher_id", "title", "start_year", "source_key")
+    same_year = ~usable(F.col("year")) | (F.col("year") == F.col("start_year"))
     tiers = [
         (1, wanted.where(usable(F.col("key"))).join(runs, [F.col("key") == F.col("source_key"), wanted["publisher_id"] == runs["publisher_id"]])),
-        (2, wanted.join(runs, [F.lower(wanted["title"]) == F.lower(runs["title"]), F.col("year") == F.col("start_year"), wanted["publisher_id"] == runs["publisher_id"]])),
-        (3, wanted.join(runs, [title_key(wanted["title"]) == title_key(runs["title"]), F.col("year") == F.col("start_year"), wanted["publisher_id"] == runs["publisher_id"]])),
+        (2, wanted.join(runs, [F.lower(wanted["title"]) == F.lower(runs["title"]), same_year, wanted["publisher_id"] == runs["publisher_id"]])),
+        (3, wanted.join(runs, [title_key(wanted["title"]) == title_key(runs["title"]), same_year, wanted["publisher_id"] == runs["publisher_id"]])),
     ]
     hits = None
     for tier, rows in tiers:

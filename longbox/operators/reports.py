@@ -41,18 +41,27 @@ def contiguous_back(days: DataFrame, day: str, done: str) -> DataFrame:
     return days.withColumn("_gaps", F.sum(F.when(F.col(done), 0).otherwise(1)).over(newest)).where("_gaps = 0").drop("_gaps")
 
 
-def missing_ranges(issues: DataFrame) -> DataFrame:
-    """``run_id, first, last``: unbroken ranges of whole numbers from 1 below a run's highest that no issue has."""
-    have = issues.where(F.col("issue_number").rlike(r"^\d+$")).select("run_id", F.col("issue_number").cast("long").alias("n")).where("n > 0").distinct()
+def missing_ranges(issues: DataFrame, current: DataFrame | None = None) -> DataFrame:
+    """``run_id, first, last``: unbroken ranges of whole numbers from 1 below a run's current one that no issue has.
+
+    ``current (run_id, number)`` says how far runs have come, say on a release calendar: the highest of a run counts, runs
+    without one are left out, and a run that has no issue yet misses all numbers below.  Without it, a run has come as
+    far as the highest number that an issue of it has.
+    """
+    have = issues.where(F.col("issue_number").rlike(r"^\d+$")).select("run_id", F.col("issue_number").cast("long").alias("n")).where("n > 0")
+    if current is not None:
+        tops = current.groupBy("run_id").agg(F.max(F.col("number").cast("long")).alias("n")).where("n > 1")
+        have = have.join(tops.withColumnRenamed("n", "_top"), "run_id").where("n < _top").drop("_top").unionByName(tops)
+    have = have.distinct()
     before = F.lag("n", 1, 0).over(Window.partitionBy("run_id").orderBy("n"))
     return have.withColumn("_before", before).where("n - _before > 1").select("run_id", (F.col("_before") + 1).alias("first"), (F.col("n") - 1).alias("last"))
 
 
-def missing_counts(issues: DataFrame) -> DataFrame:
+def missing_counts(issues: DataFrame, current: DataFrame | None = None) -> DataFrame:
     """``run_id, n_missing, missing_sum`` of runs that miss numbers; no number is written out."""
     n = F.col("last") - F.col("first") + 1
     total = n.cast("decimal(20,0)") * (F.col("first") + F.col("last")).cast("decimal(18,0)") / 2
-    return missing_ranges(issues).groupBy("run_id").agg(F.sum(n).alias("n_missing"), F.sum(total).cast("long").alias("missing_sum"))
+    return missing_ranges(issues, current).groupBy("run_id").agg(F.sum(n).alias("n_missing"), F.sum(total).cast("long").alias("missing_sum"))
 
 
 def missing_numbers(issues: DataFrame) -> DataFrame:
@@ -62,8 +71,6 @@ def missing_numbers(issues: DataFrame) -> DataFrame:
     return starts.select("run_id", F.explode(F.sequence("_at", F.least(F.col("_at") + step - 1, "last"))).alias("missing"))
 
 
-def budgeted(rows: DataFrame, group: str, cost: str, budget: int) -> DataFrame:
-    """Rows of groups in order, as long as the running cost stays in the budget."""
-    per = rows.groupBy(group).agg(F.sum(cost).alias("_cost"))
-    per = per.withColumn("_run", F.sum("_cost").over(Window.orderBy(group).rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.join(F.broadcast(per.where(F.col("_run") <= budget).select(group)), group, "left_semi")
+def budgeted(rows: DataFrame, order: list[str], budget: int, used: int = 0) -> DataFrame:
+    """The first rows in order that the rest of a budget allows; a group that crosses it keeps the part that fits."""
+    return rows.orderBy(*order).limit(max(0, budget - used))

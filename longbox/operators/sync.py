@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from longbox.functions.text import clean, integer_number, usable
+from longbox.functions.text import clean, mainline_first, usable
 from longbox.operators.merge import merged_value
 from longbox.sources.tables import Catalog
 
@@ -63,7 +63,7 @@ def guarded(candidates: DataFrame, fresh: DataFrame) -> DataFrame:
 
 def first_issue_descriptions(runs: DataFrame, issues: DataFrame) -> DataFrame:
     """Runs with a blank description filled from their issue number 1."""
-    ones = issues.where((integer_number(F.col("issue_number")) == 1) & usable(F.col("description"))).groupBy("run_id").agg(F.min_by("description", "id").alias("d"))
+    ones = issues.where(mainline_first(F.col("issue_number")) & usable(F.col("description"))).groupBy("run_id").agg(F.min_by("description", "id").alias("d"))
     rows = runs.join(ones, runs["id"] == ones["run_id"], "left")
     return rows.select(runs["id"], merged_value(runs["description"], F.col("d"), overwrite=False).alias("description"))
 

@@ -9,11 +9,18 @@ from longbox.functions.text import natural_number_key
 from longbox.sources.tables import Catalog
 
 
-def era_runs(c: Catalog, hidden_prefixes: tuple[str, ...] = (), first_year: int | None = None, this_year: int | None = None) -> DataFrame:
+#: Titles that a reader must ask for (fixed values): beginnings for one publisher, whole titles for the other.
+HIDDEN_PREFIXES = ("STAR WARS", "ALIEN", "ALIENS", "PREDATOR", "GODZILLA", "PLANET OF THE APES", "ULTRAMAN", "MARVEL & DISNEY", "MARVEL DISNEY", "DISNEY", "CONAN", "FORTNITE", "MARVEL X FORTNITE", "HALO", "WARHAMMER")
+HIDDEN_TITLES = ("Action Comics", "Detective Comics")
+
+
+def era_runs(c: Catalog, hidden_prefixes: tuple[str, ...] = (), first_year: int | None = None, this_year: int | None = None, hidden_titles: tuple[str, ...] = ()) -> DataFrame:
     """Runs that belong to the present era, less hidden titles and years outside the range."""
     rows = c.runs.join(c.era_runs, c.runs["id"] == c.era_runs["run_id"], "left_semi")
     for prefix in hidden_prefixes:
         rows = rows.where(~F.startswith(F.lower("title"), F.lit(prefix.lower())))
+    if hidden_titles:
+        rows = rows.where(~F.lower("title").isin([t.lower() for t in hidden_titles]))
     if first_year is not None:
         rows = rows.where(F.col("start_year").isin([str(y) for y in range(first_year, (this_year or first_year) + 1)]))
     return rows

@@ -1,7 +1,8 @@
 """All registered queries, and the SQL of each."""
 
 from longbox.plans import jobs as _jobs  # registers its queries
+from longbox.plans import source_jobs as _source_jobs  # registers its queries
 from longbox.plans.queries import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
-assert _jobs
+assert _jobs and _source_jobs

@@ -110,7 +110,8 @@ def _relations(spark: SparkSession, sf: str) -> DataFrame:
     return records.relations(raw).select("issue_id", "entity", "relation", "entity_id")
 
 
-@query("key_presence", """SELECT 'k' AS key, 'shared' AS "where" UNION ALL SELECT 'v', 'right'""", catalog=False)
+@query("key_presence", """WITH l AS (SELECT DISTINCT unnest(regexp_extract_all(props, '"([^"]*)"\\s*:', 1)) AS key FROM events), r AS (SELECT key FROM l UNION SELECT 'v')
+    SELECT COALESCE(l.key, r.key) AS key, CASE WHEN l.key IS NULL THEN 'right' WHEN r.key IS NULL THEN 'left' ELSE 'shared' END AS "where" FROM l FULL JOIN r ON l.key = r.key""", catalog=False)
 def _key_presence(spark: SparkSession, sf: str) -> DataFrame:
     left = table(spark, sf, "events").select(F.col("props").alias("json"))
     right = left.select(F.regexp_replace("json", r"\}$", ', "v": 1}').alias("json"))
@@ -161,7 +162,7 @@ def _natural_order(c: Catalog) -> DataFrame:
     return c.issues.select("run_id", "id", F.row_number().over(order).alias("position"))
 
 
-@query("description_fill", """, i AS (SELECT run_id, first('From issue ' || CAST(id AS VARCHAR) ORDER BY id) AS d FROM issues WHERE ltrim(issue_number, '#') = '1' GROUP BY 1)
+@query("description_fill", """, i AS (SELECT run_id, first('From issue ' || CAST(id AS VARCHAR) ORDER BY id) AS d FROM issues WHERE ltrim(issue_number, '#') = '1' AND NOT contains(' ' || lower(issue_number) || ' ', ' annual ') GROUP BY 1)
     SELECT r.id, CASE WHEN r.id % 2 = 0 THEN 'own' ELSE COALESCE(d, '') END AS description FROM runs r LEFT JOIN i ON run_id = r.id""")
 def _description_fill(c: Catalog) -> DataFrame:
     runs = c.runs.select("id", F.when(F.col("id") % 2 == 0, "own").otherwise("").alias("description"))

@@ -310,7 +310,7 @@ def _run_progress(c: Catalog) -> DataFrame:
     every AS (SELECT *, 0 AS rank FROM changes
       UNION ALL SELECT user_id, 'issue', issue_id, 'read', max(seen), 1 FROM changes JOIN volume_issues ON volume_id = object_id WHERE kind = 'volume' AND status = 'read' GROUP BY ALL
       UNION ALL SELECT user_id, kind, object_id, status, updated_at, 2 FROM progress
-      UNION ALL SELECT user_id, 'run', run_id, 'reading', max(seen), 3 FROM changes JOIN issues i ON i.id = object_id WHERE kind = 'issue' AND status IS NOT NULL GROUP BY ALL)
+      UNION ALL SELECT user_id, 'run', run_id, 'planned', max(seen), 3 FROM changes JOIN issues i ON i.id = object_id WHERE kind = 'issue' AND status IS NOT NULL GROUP BY ALL)
     SELECT user_id, kind, object_id, status FROM (SELECT *, row_number() OVER (PARTITION BY user_id, kind, object_id ORDER BY rank) AS n FROM every) WHERE n = 1 AND status IS NOT NULL""",
 )
 def _progress_after_changes(c: Catalog) -> DataFrame:
@@ -339,15 +339,15 @@ def _dense_days(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("missing_numbers", """, have AS (SELECT run_id, list(DISTINCT CAST(issue_number AS INTEGER)) AS h, max(CAST(issue_number AS INTEGER)) AS top FROM issues WHERE regexp_matches(issue_number, '^\\d+$') GROUP BY 1),
-    gone AS (SELECT run_id, list_filter(generate_series(1, top), lambda n: NOT list_contains(h, CAST(n AS INTEGER))) AS m FROM have WHERE top BETWEEN 1 AND 300)
+    gone AS (SELECT run_id, list_filter(generate_series(1, top), lambda n: NOT list_contains(h, CAST(n AS INTEGER))) AS m FROM have WHERE top >= 1)
     SELECT run_id, len(m) AS n_missing, CAST(list_sum(m) AS BIGINT) AS missing_sum FROM gone WHERE len(m) > 0""")
 def _missing_numbers(c: Catalog) -> DataFrame:
     return reports.missing_counts(c.issues)
 
 
-@query("budget", ", cost AS (SELECT run_id, count(*) AS n FROM issues GROUP BY 1), upto AS (SELECT run_id, sum(n) OVER (ORDER BY run_id) AS r FROM cost) SELECT i.id, i.run_id FROM issues i JOIN upto USING (run_id) WHERE r <= 500")
+@query("budget", " SELECT id, run_id FROM issues ORDER BY run_id, id LIMIT 457")
 def _budget(c: Catalog) -> DataFrame:
-    return reports.budgeted(c.issues.withColumn("cost", F.lit(1)), "run_id", "cost", 500).select("id", "run_id")
+    return reports.budgeted(c.issues, ["run_id", "id"], 500, used=43).select("id", "run_id")
 
 
 # Classification ------------------------------------------------------------------------------------------------
@@ -453,8 +453,8 @@ def _overwrite(c: Catalog) -> DataFrame:
 @query("resolved_runs", """, cat AS (SELECT id, publisher_id, title, start_year, CASE WHEN id % 4 = 0 THEN 'key-' || CAST(id AS VARCHAR) ELSE '' END AS source_key FROM runs),
     wanted AS (SELECT id AS ref, CASE WHEN id % 8 = 0 THEN 'key-' || CAST(id AS VARCHAR) ELSE '' END AS key, CASE WHEN id % 2 = 0 THEN upper(title) ELSE replace(title, '#', ' - ') END AS title, start_year AS year, publisher_id FROM runs WHERE id % 3 = 0),
     hits AS (SELECT ref, 1 AS tier, id FROM wanted JOIN cat ON key = source_key AND wanted.publisher_id = cat.publisher_id WHERE key <> ''
-      UNION ALL SELECT ref, 2, id FROM wanted JOIN cat ON lower(wanted.title) = lower(cat.title) AND year = start_year AND wanted.publisher_id = cat.publisher_id
-      UNION ALL SELECT ref, 3, id FROM wanted JOIN cat ON trim(regexp_replace(lower(wanted.title), '[^a-z0-9]+', ' ', 'g')) = trim(regexp_replace(lower(cat.title), '[^a-z0-9]+', ' ', 'g')) AND year = start_year AND wanted.publisher_id = cat.publisher_id)
+      UNION ALL SELECT ref, 2, id FROM wanted JOIN cat ON lower(wanted.title) = lower(cat.title) AND (year = '' OR year = start_year) AND wanted.publisher_id = cat.publisher_id
+      UNION ALL SELECT ref, 3, id FROM wanted JOIN cat ON trim(regexp_replace(lower(wanted.title), '[^a-z0-9]+', ' ', 'g')) = trim(regexp_replace(lower(cat.title), '[^a-z0-9]+', ' ', 'g')) AND (year = '' OR year = start_year) AND wanted.publisher_id = cat.publisher_id)
     SELECT w.ref, CAST(min(tier) AS INTEGER) AS tier, first(id ORDER BY tier, id) AS run_id FROM wanted w LEFT JOIN hits USING (ref) GROUP BY 1""")
 def _resolved_runs(c: Catalog) -> DataFrame:
     n = F.col("id")
@@ -482,7 +482,7 @@ def _title_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("issue_numbers", """ SELECT id, regexp_replace(ltrim(issue_number, '#'), '\\s+', '', 'g') AS bare, TRY_CAST(NULLIF(regexp_extract(issue_number, '(?i)^#?\\s*(\\d+)(?:[a-z]|\\.[a-z0-9]+)?$', 1), '') AS BIGINT) AS standard,
-    regexp_replace(lower(issue_number), '[^a-z0-9]+', '', 'g') AS alnum, contains(' ' || lower(issue_number) || ' ', 'annual') AS special FROM issues""")
+    regexp_replace(lower(issue_number), '[^a-z0-9]+', '', 'g') AS alnum, contains(' ' || lower(issue_number) || ' ', ' annual ') AS special FROM issues""")
 def _issue_numbers(c: Catalog) -> DataFrame:
     n = F.col("issue_number")
     return c.issues.select("id", x.bare_number(n).alias("bare"), x.standard_number(n).alias("standard"), x.alnum_number(n).alias("alnum"), x.looks_special(n).alias("special"))

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from longbox.functions.text import alnum_number, canonical_number, clean, display_date, folded, looks_special, number_in_title, slug_title, split_names, squeezed, title_key, url_key
+from longbox.functions.text import alnum_number, canonical_number, clean, display_date, folded, looks_special_label, number_in_title, slug_title, split_names, squeezed, title_key, url_key
 
 KINDS = ("issue", "series", "collection")
 #: Role names that pages spell otherwise (fixed values), and the order in which roles are shown.
-ROLE_ALIASES = {"writers": "Writer", "written by": "Writer", "artists": "Artist", "art by": "Artist", "pencilers": "Penciller", "penciler": "Penciller", "pencillers": "Penciller", "inkers": "Inker", "colorists": "Colorist", "colourist": "Colorist", "letterers": "Letterer", "cover by": "Cover Artist", "cover artists": "Cover Artist", "editors": "Editor"}
+ROLE_ALIASES = {"writers": "Writer", "written by": "Writer", "artists": "Artist", "art by": "Artist", "pencilers": "Penciller", "penciler": "Penciller", "pencillers": "Penciller", "inkers": "Inker", "colorists": "Colorist", "colourist": "Colorist", "colourists": "Colorist", "letterers": "Letterer", "cover by": "Cover Artist", "cover": "Cover Artist", "cover artists": "Cover Artist", "editors": "Editor"}
 ROLE_ORDER = ("Writer", "Artist", "Penciller", "Inker", "Colorist", "Letterer", "Cover Artist", "Editor")
 
 
@@ -45,7 +45,8 @@ def status_from_end(found: Column, end: Column) -> Column:
 
 def role_name(c: Column) -> Column:
     """Role as it is stored: known spellings by a fixed map, others in title case."""
-    key = folded(F.regexp_replace(squeezed(c), r"[:\s]+$", ""))
+    bare = F.regexp_replace(squeezed(F.translate(c, "_-", "  ")), r"^[ :;,.]+|[ :;,.]+$", "")
+    key = folded(F.trim(F.regexp_replace(bare, r"\s*\([^)]*\)\s*", " ")))
     aliases = F.create_map(*[F.lit(x) for pair in ROLE_ALIASES.items() for x in pair])
     return F.coalesce(F.try_element_at(aliases, key), F.initcap(key))
 
@@ -107,7 +108,7 @@ def collected_links(wanted: DataFrame, links: DataFrame) -> DataFrame:
     """``wanted (ref, number, series_title)`` with the link ``(ref, position, label, href)`` that each number means: of
     the same series before others, specials last, the first in the page among equals; null where none has the number."""
     number = F.coalesce(F.nullif(number_in_title(F.col("label")), F.lit("")), F.regexp_extract("href", r"-(\d+[A-Za-z]?)/?(?:[?#].*)?$", 1))
-    rows = links.select("ref", "position", "href", alnum_number(number).alias("n"), title_key(F.regexp_replace("label", r"\s*#.*$", "")).alias("base"), looks_special(F.col("label")).alias("special"))
+    rows = links.select("ref", "position", "href", alnum_number(number).alias("n"), title_key(F.regexp_replace("label", r"\s*#.*$", "")).alias("base"), looks_special_label(F.col("label")).alias("special"))
     asked = wanted.select("ref", "number", alnum_number(F.col("number")).alias("n"), title_key(F.col("series_title")).alias("series"))
     hits = asked.join(rows, ["ref", "n"])
     rank = F.when((F.col("series") != "") & (F.col("base") == F.col("series")), 0).when(F.col("special"), 2).otherwise(1)

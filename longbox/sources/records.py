@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from longbox.functions.text import clean, first_non_empty, plain_html, usable
 
-#: Image fields of a record, in order of preference for display.
+#: Image fields of a record (fixed values), in order of preference for display.
 IMAGE_FIELDS = ("original_url", "super_url", "screen_large_url", "medium_url", "small_url", "thumb_url")
-#: Relationship fields of an issue record: (field, entity, relation).
+#: Relationship fields of an issue record (fixed values): (field, entity, relation).
 RELATIONS = (
     ("character_credits", "character", "credit"),
-    ("characters_died_in", "character", "died_in"),
+    ("character_died_in", "character", "died_in"),
     ("concept_credits", "concept", "credit"),
     ("first_appearance_characters", "character", "first_appearance"),
     ("first_appearance_concepts", "concept", "first_appearance"),
