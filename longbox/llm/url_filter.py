@@ -4,6 +4,9 @@ A filter file holds the sorted 64-bit xxhash keys of all rules, their full strin
 keys, probe them for all candidate rules of a batch of URLs by vectorised binary search, and confirm each hit against
 the stored string, so that a colliding digest never decides.  Spark distributes the file to the executors.
 
+A larger table of rules is dealt out by key into such arrays of bounded size, which are built where they are probed:
+candidates of each distinct host and path go to the array that can hold them.  The answers are the same.
+
 A rule is a host and a path prefix.  It fits its host and all subdomains where the URL's path starts with the rule's;
 the longest rule that fits wins, the longer host among equals, and a blocking rule among repeats of one rule.  Null
 URLs and those without ``://`` have an empty host and path, which no rule fits; what no rule fits is allowed.
@@ -11,6 +14,7 @@ URLs and those without ``://`` have an empty host and path, which no rule fits;
 
 from __future__ import annotations
 
+import math
 import mmap
 import os
 import struct
@@ -27,8 +31,10 @@ from pyspark.sql import functions as F
 
 from longbox.llm.shared import map_batches
 
-#: Rules that one filter file may hold; a larger table is matched by ``join_verdicts``.
-MOST_RULES = 5_000_000
+#: Rules that one array may hold; a larger table makes several.
+MOST_RULES = 200_000
+#: Distinct URLs whose candidates are probed in one task.
+PROBED_URLS = 500_000
 HEADER = struct.Struct("<8sQQ")
 #: Word breaks of a URL; the path ends before a query or fragment.
 _AFTER = r"(?s)^.*?://"
@@ -45,8 +51,8 @@ def path_of(url: Column) -> Column:
     return F.when(url.contains("://"), F.regexp_extract(F.regexp_replace(rest, r"^[^/?#]*", ""), r"^[^?#]*", 0)).otherwise("")
 
 
-def write_filter(rules: list[tuple[str, str, str]], path: str) -> None:
-    """Write ``(host, path, verdict)`` rules: header, sorted keys, string ends, verdict bytes, lengths of paths, strings."""
+def filter_bytes(rules: list[tuple[str, str, str]]) -> bytes:
+    """A filter of ``(host, path, verdict)`` rules: header, sorted keys, string ends, lengths of paths, verdict bytes, strings."""
     best: dict[str, str] = {}
     for host, prefix, verdict in rules:
         key = f"{host}{prefix}" if prefix.startswith("/") else f"{host}\0{prefix}"
@@ -54,21 +60,32 @@ def write_filter(rules: list[tuple[str, str, str]], path: str) -> None:
     items = sorted((xxhash.xxh64_intdigest(k), k, v) for k, v in best.items())
     texts = [k.encode() for _, k, _ in items]
     sizes = sorted({len(p) for _, p, _ in rules})
+    return b"".join(
+        [
+            HEADER.pack(b"URLRULE1", len(items), len(sizes)),
+            np.array([d for d, _, _ in items], "<u8").tobytes(),
+            np.cumsum([len(t) for t in texts], dtype="<u8").astype("<u8").tobytes(),
+            np.array(sizes, "<u8").tobytes(),
+            bytes(1 if v == "block" else 0 for _, _, v in items),
+            *texts,
+        ]
+    )
+
+
+def write_filter(rules: list[tuple[str, str, str]], path: str) -> None:
     with open(path, "wb") as f:
-        f.write(HEADER.pack(b"URLRULE1", len(items), len(sizes)))
-        f.write(np.array([d for d, _, _ in items], "<u8").tobytes())
-        f.write(np.cumsum([len(t) for t in texts], dtype="<u8").astype("<u8").tobytes())
-        f.write(np.array(sizes, "<u8").tobytes())
-        f.write(bytes(1 if v == "block" else 0 for _, _, v in items))
-        f.write(b"".join(texts))
+        f.write(filter_bytes(rules))
 
 
 class UrlFilter:
-    """A filter file, mapped into memory."""
-
-    def __init__(self, path: str):
-        with open(path, "rb") as f:
-            self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+    """A filter: a file, mapped into memory, or the bytes of one."""
+
+    def __init__(self, source: str | bytes):
+        if isinstance(source, bytes):
+            self.map = source
+        else:
+            with open(source, "rb") as f:
+                self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
         magic, n, m = HEADER.unpack_from(self.map)
         if magic != b"URLRULE1":
             raise ValueError("not a filter file")
@@ -128,17 +145,18 @@ def _mapped(name: str) -> UrlFilter:
 def verdicts(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """``(page_id, host, path, rule, verdict)`` of each URL.  ``rules`` has columns host, path and verdict.
 
-    Up to ``MOST_RULES`` rules, counted first, make a file that each executor maps; more are joined.
+    Up to ``MOST_RULES`` rules, counted first, make one file that each executor maps; more make several arrays.
     """
     spark = pages.sparkSession
     urls = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"))
     urls = urls.select("page_id", F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"), F.coalesce(path_of(F.col("url")), F.lit("")).alias("path"))
     usable = rules.select("host", F.coalesce("path", F.lit("")).alias("path"), "verdict").where("host is not null and host <> '' and verdict is not null")
-    if usable.count() > MOST_RULES:
-        return join_verdicts(urls, usable)
+    n = usable.count()
+    if n > MOST_RULES:
+        return dealt_verdicts(urls, usable, math.ceil(n / MOST_RULES))
     name = f"url-rules-{uuid.uuid4().hex}.bin"
     local = os.path.join(tempfile.mkdtemp(prefix="longbox-"), name)
-    write_filter([(r.host, r.path, r.verdict) for r in usable.collect()], local)
+    write_filter(list(usable.toPandas().itertuples(index=False, name=None)), local)
     spark.sparkContext.addFile(local)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -148,19 +166,33 @@ def verdicts(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_co
     return map_batches(urls, run, "page_id long, host string, path string, rule string, verdict string")
 
 
-def join_verdicts(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """The same for rule tables of any size: candidates of each distinct host and path are joined with the rules by digest and string.
+def dealt_verdicts(urls: DataFrame, rules: DataFrame, shards: int) -> DataFrame:
+    """The same for rule tables of any size, in ``shards`` arrays by a hash of the rules' keys.
 
-    Distinct hosts with paths are matched once, so that one common URL costs a row a task.
+    Distinct hosts with paths are matched once, so that one common URL costs a row a task; their candidates for an array
+    are dealt into as many tasks as there are ``PROBED_URLS``, each with its copy of the array.
     """
-    table = rules.groupBy("host", "path").agg(F.max(F.when(F.col("verdict") == "block", 1).otherwise(0)).alias("blocks"))
-    sizes = table.select(F.array_sort(F.collect_set(F.length("path"))).alias("sizes"))
+    table = rules.groupBy("host", "path").agg(F.max(F.when(F.col("verdict") == "block", "block").otherwise("allow")).alias("verdict"))
+    sizes = table.select(F.length("path").alias("n")).distinct().agg(F.array_sort(F.collect_list("n")).alias("sizes"))
     distinct = urls.select("host", "path").where("host <> ''").distinct()
+    tasks = max(1, math.ceil(distinct.count() / PROBED_URLS))
     parts = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
     spread = distinct.join(F.broadcast(sizes)).select("host", "path", F.explode(suffixes).alias("s"), "sizes")
     spread = spread.select("host", "path", "s", F.explode("sizes").alias("n")).where(F.length("path") >= F.col("n")).withColumn("p", F.expr("left(path, n)"))
-    hits = spread.join(table.select(F.col("host").alias("s"), F.col("path").alias("p"), "blocks"), ["s", "p"])
+    shard = F.pmod(F.xxhash64("s", "p"), F.lit(shards))
+    asked = spread.select("host", "path", "s", "p", shard.alias("shard"), F.pmod(F.xxhash64("host", "path", F.lit(1)), F.lit(tasks)).alias("task"))
+    held = table.select(F.col("host").alias("s"), F.col("path").alias("p"), "verdict").withColumn("shard", shard).withColumn("task", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tasks - 1).cast("long"))))
+
+    def probe(left: pa.Table, right: pa.Table) -> pa.Table:
+        rules = UrlFilter(filter_bytes(list(zip(*(right.column(c).to_pylist() for c in ("s", "p", "verdict")), strict=True))))
+        hosts, prefixes = left.column("s").to_pylist(), left.column("p").to_pylist()
+        rows = rules.look_up([f"{h}{p}".encode() if p.startswith("/") else f"{h}\0{p}".encode() for h, p in zip(hosts, prefixes, strict=True)])
+        hit = np.flatnonzero(rows >= 0)
+        found = left.select(["host", "path", "s", "p"]).take(pa.array(hit))
+        return found.append_column("block", pa.array(rules.verdicts[rows[hit]] == 1, pa.bool_()))
+
+    hits = asked.groupBy("shard", "task").cogroup(held.groupBy("shard", "task")).applyInArrow(probe, "host string, path string, s string, p string, block boolean")
     rank = F.struct(F.length("s") + F.length("p"), F.length("s"))
-    best = hits.groupBy("host", "path").agg(F.max_by(F.struct(F.concat("s", "p").alias("rule"), "blocks"), rank).alias("best"))
-    return urls.join(best, ["host", "path"], "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.when(F.col("best.blocks") == 1, "block").otherwise("allow").alias("verdict"))
+    best = hits.groupBy("host", "path").agg(F.max_by(F.struct(F.concat("s", "p").alias("rule"), "block"), rank).alias("best"))
+    return urls.join(best, ["host", "path"], "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.when(F.col("best.block"), "block").otherwise("allow").alias("verdict"))
