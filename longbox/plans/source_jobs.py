@@ -63,12 +63,12 @@ def _link_counts(spark: SparkSession, sf: str) -> DataFrame:
     return planning.link_counts(pages, keyed.where("position % 3 = 0").select("url", "key"), keyed.where("position % 5 = 0").select("key"))
 
 
-@query("selected_sources", " SELECT id, row_number() OVER (ORDER BY lower(title), start_year, id) AS position FROM (SELECT * FROM runs JOIN (SELECT id AS pid, name FROM publishers) ON pid = publisher_id WHERE lower(name) = 'france' ORDER BY lower(title), start_year, id LIMIT 40)")
+@query("selected_sources", " SELECT id, row_number() OVER (ORDER BY lower(title), start_year, id) AS position FROM (SELECT * FROM runs JOIN (SELECT id AS pid, name FROM publishers) ON pid = publisher_id WHERE lower(name) = 'nation_7' ORDER BY lower(title), start_year, id LIMIT 40)")
 def _selected_sources(c: Catalog) -> DataFrame:
     from pyspark.sql import Window
 
     named = c.runs.join(c.publishers.select(F.col("id").alias("publisher_id"), F.col("name").alias("publisher")), "publisher_id").withColumnRenamed("title", "name")
-    rows, _ = planning.selected_sources(named, publisher="France", limit=40)
+    rows, _ = planning.selected_sources(named, publisher="Nation_7", limit=40)
     return rows.select("id", F.row_number().over(Window.orderBy(F.lower("name"), "start_year", "id")).cast("long").alias("position"))
 
 
