@@ -14,17 +14,19 @@ def merged_value(target: Column, source: Column, overwrite: bool) -> Column:
     return F.when(take, source).otherwise(target)
 
 
-def upsert(target: DataFrame, source: DataFrame, key: str, fields: list[str], overwrite: bool = False) -> DataFrame:
+def upsert(target: DataFrame, source: DataFrame, key: str, fields: list[str], overwrite: bool = False, as_stated: bool = False) -> DataFrame:
     """Next rows with ``outcome`` (created, updated, unchanged or kept) and the names of ``changed_fields``.
 
     Source rows that repeat a key are reduced to the one that sorts last, so that a batch cannot create a key twice.
+    A blank text of a new row is null, or stays blank where ``as_stated``.
     """
     packed = source.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*fields)).alias("s"), F.lit(True).alias("_source"))
     both = target.select(key, F.struct(*fields).alias("t"), F.lit(True).alias("_target")).join(packed, key, "full")
     new = {f: merged_value(F.col("t")[f], F.col("s")[f], overwrite) for f in fields}
     changed = F.filter(F.array(*[F.when(~F.col("t")[f].eqNullSafe(v), F.lit(f)) for f, v in new.items()]), lambda x: x.isNotNull())
     outcome = F.when(F.col("_target").isNull(), "created").when(F.col("_source").isNull(), "kept").when(F.size("changed_fields") > 0, "updated").otherwise("unchanged")
-    return both.withColumn("changed_fields", F.when(F.col("_source"), changed).otherwise(F.array().cast("array<string>"))).select(key, *[v.alias(f) for f, v in new.items()], "changed_fields", outcome.alias("outcome"))
+    stated = {f: F.when(F.lit(as_stated) & F.col("_target").isNull(), F.col("s")[f]).otherwise(v) for f, v in new.items()}
+    return both.withColumn("changed_fields", F.when(F.col("_source"), changed).otherwise(F.array().cast("array<string>"))).select(key, *[v.alias(f) for f, v in stated.items()], "changed_fields", outcome.alias("outcome"))
 
 
 def sync_plan(existing: DataFrame, desired: DataFrame, keys: list[str], scope: list[str] | None = None, scopes: DataFrame | None = None) -> DataFrame:
