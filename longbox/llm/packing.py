@@ -2,10 +2,9 @@
 
 Pieces are dealt evenly into blocks of a bounded number of rows.  In a block, best fit by decreasing length opens the
 sequences; then documents move or change places one-for-one or two-for-one between underfull sequences, each step
-raising the sum of squared fills.  The emptiest sequence gives first; one that has no step is set aside until another
-step touches it.  The search ends when as many sequences are left as all tokens need at least, when no underfull
-sequence has a step, or after ``STEPS`` steps for each underfull sequence at the start.  At most one sequence of a block
-is half full or less (two would have been joined); those are packed again across blocks.
+raising the sum of squared fills.  The emptiest sequence gives first, as many tokens as it can.  The search ends when as
+many sequences are left as all tokens need at least, or when no two underfull sequences of the block have such a step.
+At most one sequence of a block is half full or less (two would have been joined); those are packed again across blocks.
 
 Null and empty texts are one end id long.  Ties are broken by place; repeated rows are packed as rows of their own.
 """
@@ -14,6 +13,9 @@ from __future__ import annotations
 
 import math
 import zlib
+from functools import reduce
+from heapq import heapify, heappop, heappush
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +27,6 @@ from longbox.llm.shared import map_batches, stored
 
 #: Rows that one task packs together.
 BLOCK_ROWS = 20_000
-#: Steps of the local search in a block for each sequence that is underfull when it starts.
-STEPS = 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long, fill long"
 
@@ -74,93 +74,99 @@ def best_fit(lengths: list[int], limit: int) -> list[list[int]]:
 
 
 class _Underfull:
-    """Underfull sequences with what they can give: single pieces and pairs, one of each size."""
+    """Underfull sequences and what they can give: nothing, a piece or a pair of pieces, one of each size.
+
+    ``sums[kind][t]`` has bit s set where a sequence can give size s of that kind and would then have t tokens of room,
+    ``owners[kind, s, t]`` names those sequences.
+    """
 
     def __init__(self, bins: list[list[int]], lengths: list[int], limit: int):
         self.bins, self.lengths, self.limit = bins, lengths, limit
-        fill = [sum(lengths[i] for i in b) for b in bins]
-        self.open = [b for b in range(len(bins)) if fill[b] < limit]
-        self.fill = np.array(fill, np.int64)
-        self.single: dict[int, dict[int, int]] = {}
-        self.pair: dict[int, dict[int, tuple[int, int]]] = {}
-        self.stale = True
-        for b in self.open:
-            self.note(b)
-
-    def note(self, b: int) -> None:
-        """A sequence of ``limit`` tokens has pieces of at most about the square root of twice that many sizes."""
+        self.room = [limit - sum(lengths[i] for i in b) for b in bins]
+        self.sums = [[0] * (2 * limit + 1) for _ in range(2)]
+        self.owners: dict[tuple[int, int, int], dict[int, None]] = {}
+        self.gives: dict[int, tuple[dict[int, list[int]], dict[int, list[int]]]] = {}
+        for b in range(len(bins)):
+            self.enter(b)
+
+    def enter(self, b: int) -> None:
+        """Note what ``b`` can give, unless it is empty or full.  It has at most about the square root of twice ``limit`` sizes."""
+        if not self.bins[b] or not self.room[b]:
+            return
         sizes: dict[int, list[int]] = {}
         for i in self.bins[b]:
             sizes.setdefault(self.lengths[i], []).append(i)
-        self.single[b] = {n: x[0] for n, x in sizes.items()}
         order = sorted(sizes)
-        self.pair[b] = {n + m: (sizes[n][0], sizes[m][-1]) for k, n in enumerate(order) for m in order[k:] if n < m or len(sizes[n]) > 1}
-        self.stale = True
-
-    def table(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Owners and sizes of all singles, and of all pairs."""
-        if self.stale:
-            self.flat = []
-            for kind in (self.single, self.pair):
-                owner = np.repeat(np.array(self.open, np.int64), [len(kind[b]) for b in self.open])
-                self.flat.append((owner, np.array([n for b in self.open for n in kind[b]], np.int64)))
-            self.stale = False
-        return self.flat
-
-    def best(self, low: int) -> tuple[int, int, list[int], list[int]] | None:
-        """The step of most gain from ``low``: gain, other sequence, pieces that come to it, pieces that go.  Single pieces first, then pairs for one, then one for pairs."""
-        room = self.limit - self.fill
-        found: tuple[int, int, list[int], list[int]] | None = None
-        (own, size), (own2, size2) = self.table()
-        for come in (self.single[low], self.pair[low]):
-            for n, pieces in come.items():
-                pieces = [pieces] if isinstance(pieces, int) else list(pieces)
-                fits = [b for b in (self.open if len(pieces) == 1 else ()) if b != low and room[b] >= n]
-                if fits and (found is None or n > found[0]):
-                    found = n, min(fits, key=lambda b: (room[b], b)), pieces, []
-                for owner, sizes, kind in ((own, size, self.single), (own2, size2, self.pair)):
-                    if len(sizes) and (len(pieces) == 1 or kind is self.single):
-                        gain = n - sizes
-                        gain = np.where((gain > 0) & (gain <= room[owner]) & (owner != low), gain, 0)
-                        k = int(gain.argmax())
-                        if gain[k] > 0 and (found is None or gain[k] > found[0]):
-                            gone = kind[int(owner[k])][int(sizes[k])]
-                            found = int(gain[k]), int(owner[k]), pieces, [gone] if isinstance(gone, int) else list(gone)
-            if found is not None:
-                return found
-        return found
-
-    def take(self, low: int, gain: int, b: int, come: list[int], go: list[int]) -> None:
-        self.bins[b] = [i for i in self.bins[b] if i not in go] + come
-        self.bins[low] = [i for i in self.bins[low] if i not in come] + go
-        self.fill[b] += gain
-        self.fill[low] -= gain
+        pairs = {n + m: [sizes[n][0], sizes[m][-1]] for k, n in enumerate(order) for m in order[k:] if n < m or len(sizes[n]) > 1}
+        self.gives[b] = {0: [], **{n: x[:1] for n, x in sizes.items()}}, pairs
+        for kind, give in enumerate(self.gives[b]):
+            for s in give:
+                self.owners.setdefault((kind, s, s + self.room[b]), {})[b] = None
+                self.sums[kind][s + self.room[b]] |= 1 << s
+
+    def leave(self, b: int) -> None:
+        for kind, give in enumerate(self.gives.pop(b, ())):
+            for s in give:
+                there = self.owners[kind, s, t := s + self.room[b]]
+                del there[b]
+                if not there:
+                    del self.owners[kind, s, t]
+                    self.sums[kind][t] ^= 1 << s
+
+    def step(self, low: int) -> int | None:
+        """Take the step from ``low`` that moves most tokens among those that raise the sum of squared fills, and of those the one to the fullest sequence; the other sequence, or None if there is no step.
+
+        With n tokens coming to a sequence and s going from it, it must have room for n - s, and end fuller than ``low``
+        is now: its room and s add up to at least n, and to less than n and the room of ``low``.
+        """
+        mine, room = self.gives[low], self.room[low]
+        self.leave(low)
+        gain, found = 0, None
+        for come, goes in ((0, 0), (0, 1), (1, 0)):
+            for n in mine[come]:
+                if n > gain:
+                    able = reduce(or_, self.sums[goes][n : n + room], 0) & ((1 << (n - gain)) - 1)
+                    if able:
+                        s = (able & -able).bit_length() - 1
+                        gain, found = n - s, (come, goes, n, s)
+        if found is None:
+            self.enter(low)
+            return None
+        come, goes, n, s = found
+        t = next(t for t in range(n, n + room) if self.sums[goes][t] >> s & 1)
+        b = next(iter(self.owners[goes, s, t]))
+        brought, gone = mine[come][n], self.gives[b][goes][s]
+        self.leave(b)
+        self.bins[b] = [i for i in self.bins[b] if i not in gone] + brought
+        self.bins[low] = [i for i in self.bins[low] if i not in brought] + gone
+        self.room[b] -= gain
+        self.room[low] += gain
         for x in (b, low):
-            self.note(x)
-        self.open = [x for x in self.open if self.bins[x] and self.fill[x] < self.limit]
+            self.enter(x)
+        return b
 
 
-def local_search(bins: list[list[int]], lengths: list[int], limit: int, steps: int = STEPS) -> list[list[int]]:
-    """Moves and exchanges between underfull sequences; empty sequences are left out.
+def local_search(bins: list[list[int]], lengths: list[int], limit: int) -> list[list[int]]:
+    """Moves and exchanges between underfull sequences until none raises the sum of squared fills, or as few sequences are left as all tokens need; empty sequences are left out.
 
-    Every step fills a sequence further at the cost of one that is no fuller, so the sum of squared fills grows.
+    The emptiest sequence gives first.  One without a step waits until others have changed.
     """
     least = -(-sum(lengths) // limit)
     state = _Underfull(bins, lengths, limit)
-    aside: set[int] = set()
     left = sum(map(bool, bins))
-    for _ in range(steps * len(state.open)):
-        able = [b for b in state.open if b not in aside]
-        if left <= least or not able or len(state.open) < 2:
-            break
-        low = min(able, key=lambda b: (state.fill[b], b))
-        step = state.best(low)
-        if step is None or state.fill[step[1]] + step[0] <= state.fill[low]:  # squared fills would not grow
-            aside.add(low)
-            continue
-        state.take(low, *step)
-        aside -= {low, step[1]}
-        left -= not bins[low]
+    changed = True
+    while changed and left > least:
+        changed = False
+        waiting = [(-state.room[b], b) for b in state.gives]
+        heapify(waiting)
+        while waiting and left > least:
+            room, low = heappop(waiting)
+            if low in state.gives and -room == state.room[low] and (b := state.step(low)) is not None:
+                changed = True
+                left -= not bins[low]
+                for x in (low, b):
+                    if x in state.gives:
+                        heappush(waiting, (-state.room[x], x))
     return [b for b in bins if b]
 
 

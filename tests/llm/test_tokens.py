@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -234,3 +235,37 @@ def test_token_counts(spark, docs):
     ordered = sorted(sizes)
     assert all(found[q] == ordered[max(1, int(np.ceil(q * len(sizes)))) - 1] for q in shares)
     assert lengths.length_table(lengths.histogram(counts.where(F.lit(False)))).count() == 0
+
+
+def _raising_step(done: list[list[int]], sizes: list[int], limit: int) -> bool:
+    """Whether any move or exchange, one-for-one or two-for-one, between underfull sequences raises the sum of squared fills."""
+    fill = [sum(sizes[i] for i in b) for b in done]
+    under = [k for k in range(len(done)) if fill[k] < limit]
+    for a in under:
+        for b in under:
+            ones, others = ([sizes[i] for i in done[k]] for k in (a, b))
+            give = [(x,) for x in ones] + list(itertools.combinations(ones, 2))
+            take = [()] + [(x,) for x in others] + list(itertools.combinations(others, 2))
+            for come, go in itertools.product(give, take) if a != b else ():
+                gain = sum(come) - sum(go)
+                if len(come) + len(go) < 4 and not (len(come) == 2 and not go) and 0 < gain <= limit - fill[b] and fill[b] + gain > fill[a]:
+                    return True
+    return False
+
+
+@pytest.mark.parametrize(("n", "low", "high", "most"), [(1000, 300, 1000, 324), (300, 300, 1000, 98), (600, 400, 1100, 225)])
+def test_local_search_beats_best_fit(n, low, high, most):
+    rnd = random.Random(1)
+    sizes = [rnd.randint(low, high) for _ in range(n)]
+    start = packing.best_fit(sizes, 2048)
+    done = packing.local_search([list(b) for b in start], sizes, 2048)
+    assert sorted(i for b in done for i in b) == list(range(n)) and all(sum(sizes[i] for i in b) <= 2048 for b in done)
+    assert len(done) <= most < len(start)
+
+
+def test_no_step_is_left_at_the_end():
+    rnd = random.Random(4)
+    for _ in range(40):
+        sizes = [rnd.randint(20, 70) for _ in range(rnd.randint(2, 40))]
+        done = packing.local_search(packing.best_fit(sizes, 100), sizes, 100)
+        assert len(done) == -(-sum(sizes) // 100) or not _raising_step(done, sizes, 100)
