@@ -3,19 +3,23 @@
 A text's symbols are its words' windows of five, each labelled with how often it occurred before in the text.  For
 each of several hash functions the few windows of smallest hash are taken and put back into text order; a digest of
 such a tuple agrees between texts that share those windows in that order, which follows edit similarity rather than
-set similarity.  Texts that agree in all tuples of a band are candidates.
+set similarity.  Texts that agree in all tuples of a band are candidates.  Texts of few words have few windows, and one
+changed word breaks most of them: they get a second set of bands, of one tuple each, from windows of three words.
 
-A candidate pair is verified by a banded alignment of its window sequences: the pair is linked if the longest common
-subsequence L satisfies L >= 0.8 * (n + m - L).  The band holds every alignment that can reach this, so it loses none.
+A candidate pair is verified by a banded alignment of its words: the pair is linked if the longest common subsequence L
+of texts of n and m words satisfies L >= 0.8 * (n + m - L).  The band holds every alignment that can reach this, so it
+loses none.  Five-word windows alone would count each changed word five times.  Of copies with each word replaced at a
+chance of one in thirty or less, bands find 99 in 100, at one in twenty 98, at one in twelve 82, at one in nine, about the
+least similarity linked, 63 (measured on the generated documents; ``tests/llm`` hold the first three to it).
 
 Equal texts are one node from the start.  In a bucket of candidates, all are aligned with one leader, and links make
 components.  Buckets that then hold several components are taken together where they overlap: nodes outside the
-largest component meet all nodes in blocks of bounded windows and rows.  A block counts shared windows for all its pairs by one
-matrix product, which bounds the alignment from above, and aligns only pairs that can pass and are not connected yet;
+largest component meet all nodes in blocks of bounded words and rows.  A block counts shared word pairs for all its pairs
+of texts by one matrix product, which bounds the alignment from above, and aligns only those that can pass and are not connected yet;
 links alone leave it.  Every pair of a bucket is thus ruled out, aligned or connected, without caps, and no table of
 pairs is made.
 
-Words are ``[^\\x20\\x09-\\x0D]+`` as they stand.  A text of one to four words is one window; null texts and texts
+Words are ``[^\\x20\\x09-\\x0D]+`` as they stand.  A text of fewer words than a window has is one window; null texts and texts
 without a word form classes of their own row.  Rows that repeat an id are told apart by their texts: each is compared
 as what it says, and a class is named by its smallest id.  Rows without an id are in the class of an equal text.
 """
@@ -35,15 +39,17 @@ from pyspark.sql import functions as F
 from longbox.llm.shared import Store, in_arrow, map_batches, stored
 
 WORDS, SIMILARITY = 5, 0.8
-#: Bands, tuples in a band, windows in a tuple: a pair of long texts at the threshold is missed about once in 1500.
-BANDS, ROWS, TAKEN = 24, 2, 3
-#: Texts of at most so many windows get a second set of bands from tuples of two windows: pairs of texts of few windows
-#: seldom share all three, and are then missed less than once in 2000.
-FEW_WINDOWS, FEW_TAKEN = 25, 2
-#: Windows of a block of texts that are compared together.
-BLOCK_WINDOWS = 400_000
+#: Bands, tuples in a band, windows in a tuple.
+BANDS, ROWS, TAKEN = 40, 2, 2
+#: Texts of at most so many words get a second set of bands, of one tuple of windows of so many words.  A linked text is
+#: at most a quarter longer, so pairs with a text of 30 words or fewer have the set on both sides.
+FEW_WORDS, FEW_BANDS, FEW_WINDOW = 38, 24, 3
+#: Words of a block of texts that are compared together.
+BLOCK_WORDS = 400_000
 #: Texts of a side of such a block, which bounds its pairs when texts are short.
 BLOCK_ROWS = 4_000
+#: Places of a text that stand in one number, in an alignment.
+PART = 8192
 #: Cells of a block's matrices that are held at once.
 MATRIX_CELLS = 8_000_000
 #: Ids that may be broadcast to pick rows; more are joined by a shuffle.
@@ -77,20 +83,24 @@ def words_of(text: str | None) -> list[str]:
     return [w for w in text.translate(_SPLIT).split(" ") if w] if text else []
 
 
-def windows(words: list[str]) -> np.ndarray:
-    """64-bit hashes of a text's windows of five words in text order; one window if there are fewer words."""
-    if not words:
-        return np.zeros(0, np.uint64)
+def hashed(words: list[str]) -> np.ndarray:
+    """64-bit hashes of a text's words in text order."""
     known = _words.open()
     found = list(map(known.get, words))
     if None in found:
         for i, w in enumerate(words):
             if found[i] is None:
                 found[i] = _words.keep(w, xxhash.xxh64_intdigest(w), 2 * len(w))
-    h = np.array(found, np.uint64)
-    n, powers = max(1, len(h) - WORDS + 1), _powers()
-    out = np.full(n, len(h) if len(h) < WORDS else WORDS, np.uint64) * powers[WORDS]
-    for k in range(min(WORDS, len(h))):
+    return np.array(found, np.uint64)
+
+
+def windows(h: np.ndarray, width: int = WORDS) -> np.ndarray:
+    """64-bit hashes of the windows of ``width`` words of a text's hashed words; one window if there are fewer words."""
+    if not len(h):
+        return np.zeros(0, np.uint64)
+    n, powers = max(1, len(h) - width + 1), _powers()
+    out = np.full(n, min(len(h), width), np.uint64) * powers[WORDS]
+    for k in range(min(width, len(h))):
         out += h[k : k + n] * powers[k]
     return _mixed(out)
 
@@ -109,38 +119,39 @@ def labelled(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def _digests(x: np.ndarray, picked: list[np.ndarray], salt: int) -> np.ndarray:
-    """A digest for each band of the picked windows, put back into text order."""
+def _bands(x: np.ndarray, bands: int, rows: int, salt: int) -> np.ndarray:
+    """A digest for each band: of each of its tuples, the windows of smallest hash in text order."""
+    hashes = _multipliers()[: bands * rows, None] * x[None, :]
+    every = np.arange(bands * rows)
+    picked = []
+    for _ in range(min(TAKEN, len(x))):
+        at = hashes.argmin(1)
+        picked.append(at)
+        hashes[every, at] = np.uint64(0xFFFFFFFFFFFFFFFF)
     places = np.sort(np.stack(picked, 1), 1)
     digest = np.full(len(places), len(picked), np.uint64)
     for k in range(places.shape[1]):
         digest = _mixed(digest * np.uint64(0x9E3779B97F4A7C15) + x[places[:, k]])
-    bands = digest.reshape(BANDS, ROWS)
-    out = np.arange(salt, salt + BANDS, dtype=np.uint64)
-    for k in range(ROWS):
-        out = _mixed(out * np.uint64(0x9E3779B97F4A7C15) + bands[:, k])
+    tuples = digest.reshape(bands, rows)
+    out = np.arange(salt, salt + bands, dtype=np.uint64)
+    for k in range(rows):
+        out = _mixed(out * np.uint64(0x9E3779B97F4A7C15) + tuples[:, k])
     return out
 
 
 def sketch(words: list[str]) -> np.ndarray:
-    """One digest for each band, and for each of the second set where windows are few."""
-    x = labelled(windows(words))
-    hashed = _multipliers()[:, None] * x[None, :]
-    rows = np.arange(len(hashed))
-    picked = []
-    for _ in range(min(TAKEN, len(x))):
-        at = hashed.argmin(1)
-        picked.append(at)
-        hashed[rows, at] = np.uint64(0xFFFFFFFFFFFFFFFF)
-    out = _digests(x, picked, 0)
-    return np.concatenate([out, _digests(x, picked[:FEW_TAKEN], BANDS)]) if len(x) <= FEW_WINDOWS else out
+    """One digest for each band, and for each of the second set where words are few."""
+    h = hashed(words)
+    out = _bands(labelled(windows(h)), BANDS, ROWS, 0)
+    return np.concatenate([out, _bands(labelled(windows(h, FEW_WINDOW)), FEW_BANDS, 1, BANDS)]) if len(h) <= FEW_WORDS else out
 
 
 def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
-    """Whether an alignment of two window sequences reaches the similarity.
+    """Whether an alignment of two word sequences reaches the similarity.
 
-    Bit-parallel longest common subsequence, a row for each window of ``b`` and a bit for each of ``a``, kept to the
-    band of places that an alignment with enough matches can pass.
+    Bit-parallel longest common subsequence, a row for each word of ``b`` and a bit for each of ``a``.  Only bits of the
+    band of places that an alignment with enough matches can pass are kept: those before it can change no more, and
+    those after it are not met yet.
     """
     n, m = len(a), len(b)
     least = int(np.ceil(similarity * (n + m) / (1 + similarity) - 1e-9))
@@ -161,19 +172,30 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
     if need > min(n, m) or np.isin(b, a).sum() < need:
         return False
     left, right = n - need, m - need  # how far a's place may run ahead of b's, and fall behind
-    ones = (1 << n) - 1
-    marks: dict[int, int] = {}
+    places: dict[int, dict[int, int]] = {}  # of each word, bits in parts of a, so that a row reads its band only
     for i, x in enumerate(a.tolist()):
-        marks[x] = marks.get(x, 0) | 1 << i
-    v = ones
+        parts = places.setdefault(x, {})
+        parts[i // PART] = parts.get(i // PART, 0) | 1 << i % PART
+    low, high = 0, min(n, left + 1)
+    v, matches = (1 << high) - 1, 0
     for j, x in enumerate(b.tolist()):
-        mark = marks.get(x)
-        if mark:
-            low = max(0, j - right)
-            mark = (mark >> low << low) & ((1 << min(n, j + left + 1)) - 1)
-            u = v & mark
+        if j > right:
+            matches += 1 - (v & 1)
+            v >>= 1
+            low += 1
+        if j and high < n:
+            v |= 1 << (high - low)
+            high += 1
+        parts = places.get(x)
+        if parts:
+            mark = 0
+            for k in range(low // PART, (high - 1) // PART + 1):
+                bits = parts.get(k, 0)
+                mark |= bits << k * PART - low if k * PART >= low else bits >> low - k * PART
+            ones = (1 << (high - low)) - 1
+            u = v & mark & ones
             v = ((v + u) | (v - u)) & ones
-    return n - v.bit_count() >= need
+    return matches + high - low - v.bit_count() >= need
 
 
 # Tables --------------------------------------------------------------------------------------------------------
@@ -188,16 +210,16 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             words = words_of(text)
             digests.append(xxhash.xxh3_128_digest(" ".join(words)) if words else None)
             bands.append(sketch(words).view(np.int64) if words else None)
-            sizes.append(max(1, len(words) - WORDS + 1))
+            sizes.append(max(1, len(words)))
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sizes, pa.int32())], ["doc_id", "mark", "digest", "bands", "size"])
 
     return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text")), run, "doc_id long, mark long, digest binary, bands array<long>, size int")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``pairs (a, b)`` that align; texts of both are joined in, as hashes of their windows."""
-    left = texts.select(F.col("node").alias("a"), F.col("windows").alias("wa"))
-    right = texts.select(F.col("node").alias("b"), F.col("windows").alias("wb"))
+    """``pairs (a, b)`` that align; texts of both are joined in, as hashes of their words."""
+    left = texts.select(F.col("node").alias("a"), F.col("words").alias("wa"))
+    right = texts.select(F.col("node").alias("b"), F.col("words").alias("wb"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         wa, wb = batch.column(2), batch.column(3)
@@ -208,17 +230,17 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_batches(joined, run, "a long, b long, linked boolean")
 
 
-def _windows(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``node, windows`` of the documents that stand for a candidate node; ``nodes`` has ``node, origin, mark``."""
+def _hashed(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``node, words`` of the documents that stand for a candidate node; ``nodes`` has ``node, origin, mark``."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        packed = [windows(words_of(t)).astype("<u8").tobytes() for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["node", "windows"])
+        packed = [hashed(words_of(t)).astype("<u8").tobytes() for t in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["node", "words"])
 
     small = nodes.count() <= MOST_BROADCAST
     texts = docs.select(F.col(id_col).cast("long").alias("origin"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
     mine = texts.join(F.broadcast(nodes) if small else nodes, ["origin", "mark"]).select("node", "text")
-    return map_batches(mine, run, "node long, windows binary").dropDuplicates(["node"])
+    return map_batches(mine, run, "node long, words binary").dropDuplicates(["node"])
 
 
 def _contracted(links: DataFrame) -> DataFrame:
@@ -296,9 +318,14 @@ def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
 
 
 def block_links(nodes: np.ndarray, roots: np.ndarray, sides: np.ndarray, sequences: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links between nodes of side 0 and nodes of side 1 that join components not joined in this block before."""
-    sets = [labelled(x) for x in sequences]
-    sizes = np.array([len(x) for x in sequences])
+    """Links between nodes of side 0 and nodes of side 1 that join components not joined in this block before.
+
+    A word that an alignment of L words leaves out of one text breaks two of its pairs of neighbours, and one left out of
+    the other breaks one more, so texts of n and m words share at least 3 L - n - m - 1 pairs.
+    """
+    sets = [labelled(windows(x, 2)) for x in sequences]
+    lengths = np.array([len(x) for x in sequences])
+    sizes = np.array([len(x) for x in sets])
     left, right = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
     owner = np.repeat(np.arange(len(sets)), sizes)
     values, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -326,8 +353,8 @@ def block_links(nodes: np.ndarray, roots: np.ndarray, sides: np.ndarray, sequenc
             m = np.zeros((len(rows), min(step, width - start)), np.float32)
             m[place[owner[inside]], column[inside] - start] = 1
             shared += m[: len(strip)] @ m[len(strip) :].T
-        total = sizes[strip][:, None] + sizes[right][None, :]
-        able = (shared >= SIMILARITY * (total - shared) - 1e-3) & (roots[strip][:, None] != roots[right][None, :])
+        total = lengths[strip][:, None] + lengths[right][None, :]
+        able = (shared >= (3 * SIMILARITY / (1 + SIMILARITY) - 1) * total - 1 - 1e-3) & (roots[strip][:, None] != roots[right][None, :])
         for i, j in zip(*np.nonzero(able), strict=True):
             a, b = strip[i], right[j]
             x, y = find(int(roots[a])), find(int(roots[b]))
@@ -348,7 +375,7 @@ def _rest_links(buckets: DataFrame, roots: DataFrame, texts: DataFrame) -> DataF
     members = held.select("node", "size", "root").distinct().join(family, "node")
     parts = members.groupBy("family", "root").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows"))
     facts = parts.groupBy("family").agg(F.max(F.struct("n", "root", "rows")).alias("top"), F.sum("n").alias("all"), F.sum("rows").alias("rows"))
-    blocks = lambda n, rows: F.ceil(F.greatest(n / BLOCK_WINDOWS, rows / BLOCK_ROWS))
+    blocks = lambda n, rows: F.ceil(F.greatest(n / BLOCK_WORDS, rows / BLOCK_ROWS))
     facts = facts.select("family", F.col("top.root").alias("largest"), blocks(F.col("all"), F.col("rows")).alias("wide"), blocks(F.col("all") - F.col("top.n"), F.col("rows") - F.col("top.rows")).alias("high"))
     members = stored(members.join(facts.where("high > 0"), "family"), "families")
     number = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
@@ -357,7 +384,7 @@ def _rest_links(buckets: DataFrame, roots: DataFrame, texts: DataFrame) -> DataF
     rows = rows.unionByName(members.select("family", every("high").alias("i"), number("wide").alias("j"), "node", "root", F.lit(1).alias("side")))
 
     def run(table: pa.Table) -> pa.Table:
-        sequences = [np.frombuffer(x.as_py(), "<u8") for x in table.column("windows")]
+        sequences = [np.frombuffer(x.as_py(), "<u8") for x in table.column("words")]
         found = block_links(table.column("node").to_numpy(), table.column("root").to_numpy(), table.column("side").to_numpy(), sequences)
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
@@ -381,7 +408,7 @@ def _linked(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> Da
     buckets = stored(cells.join(first, "key"), "buckets")
     if buckets.isEmpty():
         return None
-    texts = stored(_windows(docs, nodes.select("node", "origin", "mark").join(buckets.select("node").distinct(), "node", "left_semi"), id_col, text_col), "windows")
+    texts = stored(_hashed(docs, nodes.select("node", "origin", "mark").join(buckets.select("node").distinct(), "node", "left_semi"), id_col, text_col), "words")
     pairs = buckets.withColumn("b_size", F.col("size")).where("node <> a").where(_close()).select("a", F.col("node").alias("b")).distinct()
     links = stored(_verified(pairs, texts).where("linked").select("a", "b"), "links")
     roots = components(links)
@@ -433,6 +460,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
         gone = named.where("doc_id <> class_id").select("doc_id").distinct()
         return docs.join(spread(gone), "doc_id", "left_anti").select(docs.columns)
     first = named.where("root is not null and doc_id is not null").groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("first"))
-    gone = named.where("doc_id is not null").join(first, "root").where("first <> struct(doc_id, mark)").select(F.col("doc_id").alias("_gone"), F.col("mark").alias("_mark")).distinct()
-    kept = docs.join(spread(gone), (F.col("doc_id") == F.col("_gone")) & (F.xxhash64("text") == F.col("_mark")), "left_anti").select(docs.columns)
+    gone = named.where("doc_id is not null").join(first, "root").where("first <> struct(doc_id, mark)").select(F.col("doc_id").alias("id"), "mark").distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("mark"))
+    kept = rows.join(spread(gone), ["id", "mark"], "left_anti").select("row.*")
     return kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(kept.where("doc_id is null"))

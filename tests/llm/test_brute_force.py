@@ -139,7 +139,7 @@ def test_pipeline_equals_its_stages_by_hand(spark, sf_dir, tmp_path):
     left = [i for i, (name, score) in told.items() if name != "und" and score >= 0.5]
     good = plain_quality(docs.where(F.col("doc_id").isin(left)))
     left = sorted(i for i in left if good[i][1])
-    windows = {i: order_minhash.windows(order_minhash.words_of(rows[i].text)) for i in left}
+    windows = {i: order_minhash.hashed(order_minhash.words_of(rows[i].text)) for i in left}
     root = {i: i for i in left}
 
     def find(i):

@@ -114,7 +114,7 @@ def test_classes_equal_brute_force(spark):
     texts += [None, "", " ", "one two", "one two", "one two three", "z " * 3000]
     docs = spark.createDataFrame([(i * 3, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, node int")
     got = {r.doc_id: r.class_id for r in order_minhash.classes(docs).collect()}
-    wins = [order_minhash.windows(order_minhash.words_of(t)).tolist() for t in texts]
+    wins = [order_minhash.words_of(t) for t in texts]
     root = list(range(len(texts)))
 
     def find(i):
@@ -133,12 +133,42 @@ def test_classes_equal_brute_force(spark):
     assert order_minhash.classes(docs.limit(0)).count() == 0
 
 
+def test_alignment_of_long_texts_keeps_to_its_band():
+    rnd = np.random.default_rng(4)
+    for n, changed in ((400, 40), (400, 43), (400, 50), (20_000, 2000), (20_000, 2300)):
+        a = rnd.integers(0, 50 if n == 400 else 10**6, n).astype(np.uint64)
+        b = a.copy()
+        b[rnd.choice(np.arange(1, n - 1), changed, replace=False)] = 10**7
+        b = np.concatenate([b[:50], a[:3], b[50:]])
+        same = lcs(a.tolist(), b.tolist()) if n == 400 else n - changed
+        assert order_minhash.aligned(a, b) == order_minhash.aligned(b, a) == (same >= 0.8 * (len(a) + len(b) - same))
+
+
+@pytest.mark.parametrize("text", ["gone", "row", "_gone", "_mark", "id", "mark", "class_id"])
+def test_repeated_ids_beside_any_column(spark, text):
+    docs = spark.createDataFrame([(1, "a b c d e f g", "p"), (1, "h i j k l m n", "q"), (2, "a b c d e f g", "r"), (None, "a b", "s")], f"doc_id long, text string, {text} string")
+    kept = order_minhash.keep_first(docs)
+    assert kept.columns == docs.columns and sorted(r[2] for r in kept.collect()) == ["p", "q", "s"]
+
+
+@pytest.mark.parametrize(("rate", "least"), [(0.01, 0.99), (0.02, 0.99), (1 / 30, 0.98), (0.05, 0.95)])
+def test_near_copies_are_found(rate, least):
+    rnd = random.Random(12)
+    found = 0
+    for _ in range(400):
+        words = [f"w{int(rnd.paretovariate(0.7))}" for _ in range(rnd.choice([12, 40, 100, 400]))]
+            copy = [f"other{rnd.randrange(99)}" if rnd.random() < rate else w for w in words]
+        shares = set(order_minhash.sketch(words).tolist()) & set(order_minhash.sketch(copy).tolist())
+        found += bool(shares) and order_minhash.aligned(order_minhash.hashed(words), order_minhash.hashed(copy))
+    assert found >= least * 400
+
+
 def test_order_matters(spark):
     words = [f"w{i}" for i in range(120)]
     turned = [w for k in range(115, -1, -5) for w in words[k : k + 5]]
     docs = spark.createDataFrame([(0, " ".join(words)), (1, " ".join(turned)), (1, " ".join(words))], "doc_id long, text string")
     assert {(r.doc_id, r.class_id) for r in order_minhash.classes(docs).collect()} >= {(0, 0)}
-    assert not order_minhash.aligned(order_minhash.windows(words), order_minhash.windows(turned))
+    assert not order_minhash.aligned(order_minhash.hashed(words), order_minhash.hashed(turned))
 
 
 def test_components(spark):
@@ -329,8 +359,8 @@ def test_top_k_of_large_components(spark):
 def test_blocks_find_all_links_between_components():
     rnd = random.Random(9)
     base = [f"w{rnd.randrange(300)}" for _ in range(80)]
-    words = [edited(base, rnd, rnd.choice([0, 1, 2, 3, 4])) for _ in range(40)]
-    sequences = [order_minhash.windows(w) for w in words]
+    words = [edited(base, rnd, rnd.choice([0, 3, 6, 9, 14])) for _ in range(40)]
+    sequences = [order_minhash.hashed(w) for w in words]
     nodes = np.arange(40)
     found = order_minhash.block_links(np.concatenate([nodes, nodes]), np.concatenate([nodes, nodes]), np.repeat([0, 1], 40), sequences * 2)
 

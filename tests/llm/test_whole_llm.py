@@ -36,7 +36,7 @@ def test_blocks_of_short_texts_stay_small(monkeypatch):
     monkeypatch.setattr(order_minhash, "MATRIX_CELLS", 1_000_000)
     words = family(2000)
     words[7], words[1999] = words[3][:-1] + ["x"], words[1500][:-1] + ["y"]
-    sequences = [order_minhash.windows(w) for w in words]
+    sequences = [order_minhash.hashed(w) for w in words]
     nodes = np.arange(2000)
     tracemalloc.start()
     found = order_minhash.block_links(np.tile(nodes, 2), np.tile(nodes, 2), np.repeat([0, 1], 2000), sequences * 2)
@@ -81,10 +81,10 @@ def test_recall_on_the_generated_documents(spark):
     """Every pair of the table that brute force aligns ends in one class."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.where("text is not null").collect()}
-    windows = {i: order_minhash.windows(order_minhash.words_of(t)) for i, t in texts.items()}
+    windows = {i: order_minhash.hashed(order_minhash.words_of(t)) for i, t in texts.items()}
     holders: dict = {}
     for i, w in windows.items():
-        for x in set(w.tolist()):
+        for x in set(order_minhash.windows(w).tolist()):
             holders.setdefault(x, []).append(i)
     pairs = {(a, b) for h in holders.values() for k, a in enumerate(h) for b in h[k + 1 :]}
     linked = [(a, b) for a, b in pairs if order_minhash.aligned(windows[a], windows[b])]
