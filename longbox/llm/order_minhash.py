@@ -14,8 +14,8 @@ least similarity linked, 63 (measured on the generated documents; ``tests/llm``
 
 Equal texts are one node from the start.  In a bucket of candidates, all are aligned with one leader, and links make
 components.  Buckets that then hold several components are taken together where they overlap: nodes outside the
-largest component meet all nodes in blocks of bounded words and rows.  A block counts shared word pairs for all its pairs
-of texts by one matrix product, which bounds the alignment from above, and aligns only those that can pass and are not connected yet;
+largest component meet all nodes in blocks of bounded words and rows.  A block counts shared words and pairs of
+neighbours for all its pairs of texts by matrix products, which bound the alignment from above, and aligns only those that can pass and are not connected yet;
 links alone leave it.  Every pair of a bucket is thus ruled out, aligned or connected, without caps, and no table of
 pairs is made.
 
@@ -317,21 +317,39 @@ def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
     return told.where("hub is not null").select(F.col("hub").alias("x"), F.col("b").alias("y")).unionByName(rest.select(F.col("m").alias("x"), F.col("b").alias("y")))
 
 
+class _Shared:
+    """How many symbols two texts of a block share, for many pairs of texts at once."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        kept = count[column] > 1  # a symbol of one text is shared by none
+        self.owner, self.column = owner[kept], np.searchsorted(np.flatnonzero(count > 1), column[kept])
+        self.width, self.step = int((count > 1).sum()), max(1, MATRIX_CELLS // max(1, len(sets)))
+        self.place = np.full(len(sets), -1)
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        shared = np.zeros((len(left), len(right)), np.float32)
+        rows = np.concatenate([left, right])
+        self.place[:] = -1
+        self.place[rows] = np.arange(len(rows))
+        for start in range(0, self.width, self.step):
+            inside = (self.column >= start) & (self.column < start + self.step) & (self.place[self.owner] >= 0)
+            m = np.zeros((len(rows), min(self.step, self.width - start)), np.float32)
+            m[self.place[self.owner[inside]], self.column[inside] - start] = 1
+            shared += m[: len(left)] @ m[len(left) :].T
+        return shared
+
+
 def block_links(nodes: np.ndarray, roots: np.ndarray, sides: np.ndarray, sequences: list[np.ndarray]) -> list[tuple[int, int]]:
     """Links between nodes of side 0 and nodes of side 1 that join components not joined in this block before.
 
-    A word that an alignment of L words leaves out of one text breaks two of its pairs of neighbours, and one left out of
-    the other breaks one more, so texts of n and m words share at least 3 L - n - m - 1 pairs.
+    Texts of n and m words with an alignment of L share L words at least.  A word that it leaves out of one text breaks two
+    of its pairs of neighbours, and one left out of the other breaks one more, so they share 3 L - n - m - 1 pairs at least.
     """
-    sets = [labelled(windows(x, 2)) for x in sequences]
     lengths = np.array([len(x) for x in sequences])
-    sizes = np.array([len(x) for x in sets])
+    words, twos = _Shared([labelled(x) for x in sequences]), _Shared([labelled(windows(x, 2)) for x in sequences])
     left, right = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    values, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    kept = count[column] > 1  # a window of one text is shared by none
-    owner, column = owner[kept], np.searchsorted(np.flatnonzero(count > 1), column[kept])
-    width, step = int((count > 1).sum()), max(1, MATRIX_CELLS // max(1, len(sets)))
     high = max(1, MATRIX_CELLS // (2 * max(1, len(right))))  # left texts whose pairs are held at once
     group = {r: r for r in roots.tolist()}
 
@@ -342,19 +360,11 @@ def block_links(nodes: np.ndarray, roots: np.ndarray, sides: np.ndarray, sequenc
         return x
 
     out = []
-    place = np.full(len(sets), -1)
     for strip in (left[i : i + high] for i in range(0, len(left), high)):
-        shared = np.zeros((len(strip), len(right)), np.float32)
-        rows = np.concatenate([strip, right])
-        place[:] = -1
-        place[rows] = np.arange(len(rows))
-        for start in range(0, width, step):
-            inside = (column >= start) & (column < start + step) & (place[owner] >= 0)
-            m = np.zeros((len(rows), min(step, width - start)), np.float32)
-            m[place[owner[inside]], column[inside] - start] = 1
-            shared += m[: len(strip)] @ m[len(strip) :].T
-        total = lengths[strip][:, None] + lengths[right][None, :]
-        able = (shared >= (3 * SIMILARITY / (1 + SIMILARITY) - 1) * total - 1 - 1e-3) & (roots[strip][:, None] != roots[right][None, :])
+        least = SIMILARITY / (1 + SIMILARITY) * (lengths[strip][:, None] + lengths[right][None, :])
+        able = (words(strip, right) >= least - 1e-3) & (roots[strip][:, None] != roots[right][None, :])
+        if able.any():
+            able &= twos(strip, right) >= 3 * least - lengths[strip][:, None] - lengths[right][None, :] - 1 - 1e-3
         for i, j in zip(*np.nonzero(able), strict=True):
             a, b = strip[i], right[j]
             x, y = find(int(roots[a])), find(int(roots[b]))
