@@ -26,7 +26,6 @@ as what it says, and a class is named by its smallest id.  Rows without an id ar
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -58,14 +57,12 @@ MOST_BROADCAST = 2_000_000
 CHUNK_LINKS = 200_000
 #: Edges above which a node is joined by a broadcast of such nodes, and the most of them that are.
 HUB_EDGES, MOST_HUBS = 1_000, 1_000_000
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_SPLIT = str.maketrans("\t\n\v\f\r", "     ")
 _words = Store()
 
 
 @cache
 def _multipliers() -> np.ndarray:
-    return np.random.Generator(np.random.PCG64(20)).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+    return np.random.Generator(np.random.PCG64(20)).integers(0, 1 << 31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 @cache
@@ -80,7 +77,9 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def words_of(text: str | None) -> list[str]:
-    return [w for w in text.translate(_SPLIT).split(" ") if w] if text else []
+    for space in "\t\n\v\f\r":
+        text = text and text.replace(space, " ")
+    return [w for w in text.split(" ") if w] if text else []
 
 
 def hashed(words: list[str]) -> np.ndarray:
@@ -90,8 +89,8 @@ def hashed(words: list[str]) -> np.ndarray:
     if None in found:
         for i, w in enumerate(words):
             if found[i] is None:
-                found[i] = _words.keep(w, xxhash.xxh64_intdigest(w), 2 * len(w))
-    return np.array(found, np.uint64)
+                found[i] = _words.keep(w, xxhash.xxh64_digest(w), 2 * len(w))
+    return np.frombuffer(b"".join(found), np.uint64)
 
 
 def windows(h: np.ndarray, width: int = WORDS) -> np.ndarray:
@@ -121,13 +120,13 @@ def labelled(shingles: np.ndarray) -> np.ndarray:
 
 def _bands(x: np.ndarray, bands: int, rows: int, salt: int) -> np.ndarray:
     """A digest for each band: of each of its tuples, the windows of smallest hash in text order."""
-    hashes = _multipliers()[: bands * rows, None] * x[None, :]
+    hashes = _multipliers()[: bands * rows, None] * (x >> np.uint64(32)).astype(np.uint32)[None, :]
     every = np.arange(bands * rows)
     picked = []
     for _ in range(min(TAKEN, len(x))):
         at = hashes.argmin(1)
         picked.append(at)
-        hashes[every, at] = np.uint64(0xFFFFFFFFFFFFFFFF)
+        hashes[every, at] = 0xFFFFFFFF
     places = np.sort(np.stack(picked, 1), 1)
     digest = np.full(len(places), len(picked), np.uint64)
     for k in range(places.shape[1]):
