@@ -148,13 +148,24 @@ def _image_records(spark: SparkSession, sf: str) -> DataFrame:
 # Collecting texts ----------------------------------------------------------------------------------------------
 
 
-@query("collected_texts", """WITH p AS (SELECT p_partkey AS ref, p_partkey % 5 + 1 AS a, p_partkey % 5 + 1 + p_partkey % 4 AS b, CAST(1990 + p_partkey % 12 AS VARCHAR) AS y, p_partkey % 9 AS s FROM part)
-    SELECT ref, 'run' AS kind, 'Alpha Tales' AS title, y AS year, array_to_string(list_transform(generate_series(a, b), lambda n: CAST(n AS VARCHAR)), ',') AS numbers FROM p
-    UNION ALL SELECT ref, 'run', 'Beta Saga', '2001', CAST(s AS VARCHAR) FROM p UNION ALL SELECT ref, 'one_shot', 'Gamma Annual', '2002', '1' FROM p WHERE ref % 2 = 0""", catalog=False)
+@query("collected_texts", """WITH p AS (SELECT p_partkey AS ref, p_partkey % 5 + 1 AS a, p_partkey % 5 + 1 + p_partkey % 4 AS b, CAST(1990 + p_partkey % 12 AS VARCHAR) AS y, p_partkey % 9 AS s, p_partkey % 6 AS k FROM part),
+    alpha AS (SELECT ref, y, array_to_string(list_transform(generate_series(a, CASE WHEN k = 5 THEN greatest(b, a + 2) ELSE b END), lambda n: CAST(n AS VARCHAR)), ',') AS numbers FROM p)
+    SELECT ref, 'run' AS kind, 'Alpha Tales' AS title, y AS year, numbers FROM alpha
+    UNION ALL SELECT ref, CASE WHEN s IN (0, 1) THEN 'one_shot' ELSE 'run' END, 'Beta Saga', '2001', CAST(s AS VARCHAR) FROM p
+    UNION ALL SELECT ref, 'one_shot', CASE WHEN s IN (0, 1) THEN 'Alpha Tales Annual' ELSE 'Beta Saga Annual' END, '2002', '1' FROM p WHERE k = 0
+    UNION ALL SELECT ref, 'run', 'Special', '2002', '4' FROM p WHERE k = 1
+    UNION ALL SELECT ref, 'run', '2099 Unlimited', '1993', '5,6' FROM p WHERE k = 2
+    UNION ALL SELECT ref, 'run', 'Gamma: Omega', '2003', '2,3' FROM p WHERE k = 3
+    UNION ALL SELECT ref, 'one_shot', 'Gamma: Omega', '2003', '1' FROM p WHERE k = 4""", catalog=False)
 def _collected_texts(spark: SparkSession, sf: str) -> DataFrame:
     n = F.col("p_partkey")
     word = lambda v: v.cast("string")
-    text = F.concat(F.lit("Heroes meet.  Collecting Alpha Tales ("), word(1990 + n % 12), F.lit(") #"), word(n % 5 + 1), F.lit("–"), word(n % 5 + 1 + n % 4), F.lit(", Beta Saga (2001) #"), word(n % 9), F.when(n % 2 == 0, ", and Gamma Annual (2002) #1").otherwise(""), F.when(n % 3 == 0, ". Then Delta (2005) #9.").when(n % 3 == 1, " MORE DETAILS Delta (2005) #9").otherwise(" Rating: T Delta (2005) #9"))
+    low, year = n % 5 + 1, word(1990 + n % 12)
+    more = [", and Annual (2002) #1", ", plus Special (2002) #4", ", 2099 Unlimited (1993) #5-6", ", Gamma #1 Omega (2003) #2-3", ", Gamma #1 Omega (2003)"]
+    last = F.concat(F.lit(", ALPHA TALES ("), year, F.lit(") #"), word(low + 1), F.lit("-"), word(low + 2))
+    for k, text in enumerate(more):
+        last = F.when(n % 6 == k, text).otherwise(last)
+    text = F.concat(F.lit("Heroes meet.  Collecting Alpha Tales ("), year, F.lit(") #"), word(low), F.lit("–"), word(low + n % 4), F.lit(", Beta Saga (2001) #"), word(n % 9), last, F.when(n % 4 == 0, ". Then Delta (2005) #9.").when(n % 4 == 1, " MORE DETAILS Delta (2005) #9").otherwise(" Rating: T Delta (2005) #9"))
     rows = collected.collected_items(table(spark, sf, "part").select(n.alias("ref"), text.alias("text")), "ref", "text")
     return rows.select("ref", "kind", "title", "year", F.array_join("numbers", ",").alias("numbers"))
 

@@ -90,9 +90,17 @@ def test_collected_texts(spark):
     six = [str(n) for n in range(1, 7)]
     assert collected("Collecting Avengers (2018) #1-6.") == [("run", "Avengers", "2018", ["1-6"], six)]
     assert collected("COLLECTING: A (2018) #1-6, B (2019) #2-3") == [("run", "A", "2018", ["1-6"], six), ("run", "B", "2019", ["2-3"], ["2", "3"])]
-    assert collected("Collects Thor (2014) #1, 3 and #5; Giant-Size (1999)") == [("run", "Thor", "2014", ["1", "3", "5"], ["1", "3", "5"]), ("one_shot", "Thor Giant-Size", "1999", [], [])]
+    assert collected("Collects Thor (2014) #1, #3 and #5; Giant-Size (1999)") == [("run", "Thor", "2014", ["1", "3", "5"], ["1", "3", "5"]), ("one_shot", "Giant-Size", "1999", [], [])]
+    assert collected("Collecting Alpha (1990) #1-3, Beta Saga (2001) #1") == [("run", "Alpha", "1990", ["1-3"], ["1", "2", "3"]), ("one_shot", "Beta Saga", "2001", ["1"], ["1"])]
+    assert collected("Collecting Alpha Annual (1990) #1") == [("run", "Alpha Annual", "1990", ["1"], ["1"])]
+    assert collected("Collecting Alpha (1990) #2 and Special (1991) #4") == [("run", "Alpha", "1990", ["2"], ["2"]), ("run", "Special", "1991", ["4"], ["4"])]
+    assert collected("Collecting 2099 Unlimited (1993) #1-3") == [("run", "2099 Unlimited", "1993", ["1-3"], ["1", "2", "3"])]
+    assert collected("Collecting Zeta (1990) #2, 2099 Unlimited (1993) #4") == [("run", "2099 Unlimited", "1993", ["4"], ["4"]), ("run", "Zeta", "1990", ["2"], ["2"])]
+    assert collected("Collecting Alpha #1 Omega (1990) #2-3") == [("run", "Alpha: Omega", "1990", ["2-3"], ["2", "3"])]
+    assert collected("Collecting Alpha #1 Omega (1990)") == [("one_shot", "Alpha: Omega", "1990", ["1"], ["1"])]
+    assert collected("Collecting Alpha (1990) #1-2, ALPHA (1990) #2-3, and Annual (1991) #0") == [("run", "Alpha", "1990", ["1-2", "2-3"], ["1", "2", "3"]), ("one_shot", "ALPHA Annual", "1991", ["0"], ["0"])]
     assert collected("no such text") == [] and collected(None) == []
-    rows = spark.createDataFrame([(1, "Collecting A (2018) #1-2, 4"), (2, None)], "id long, t string")
+    rows = spark.createDataFrame([(1, "Collecting A (2018) #1-2, #4"), (2, None)], "id long, t string")
     got = collected_items(rows, "id", "t").collect()
     assert [(r.ref, r.title, r.numbers) for r in got] == [(1, "A", ["1", "2", "4"])]
 
