@@ -11,7 +11,8 @@ from longbox.functions import collected, source
 from longbox.functions import text as x
 from longbox.operators import listing, planning, reports, timeline, tracking
 from longbox.plans.queries import _REACH, _page_sql, query
-from longbox.sources import records
+from longbox.session import shared_path
+from longbox.sources import paged, records
 from longbox.sources.tables import Catalog, table
 
 _NUMBER = "regexp_replace(regexp_replace(lower(trim(issue_number)), '^\\s*(issue|no\\.?)\\s*', ''), '[^a-z0-9]+', '', 'g')"
@@ -170,6 +171,35 @@ def _collected_texts(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("ref", "kind", "title", "year", F.array_join("numbers", ",").alias("numbers"))
 
 
+# Paged source --------------------------------------------------------------------------------------------------
+
+
+def _order_pages(spark: SparkSession, sf: str) -> str:
+    """All orders as pages of JSON items."""
+    path = shared_path(spark, "order-pages")
+    day = F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")
+    paged.store_pages(table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("run_id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"), day.alias("date_added")), path)
+    return path
+
+
+@query("paged_list", "SELECT o_orderkey AS id, o_custkey AS run_id, CAST(o_orderdate AS DATE) AS date_added FROM orders WHERE o_orderdate >= DATE '1995-06-01' AND o_orderkey > 50 AND o_custkey % 3 <> 0", catalog=False)
+def _paged_list(spark: SparkSession, sf: str) -> DataFrame:
+    rows = paged.read_list(spark, _order_pages(spark, sf), "id long, run_id long, date_added date")
+    return rows.where("date_added >= DATE '1995-06-01' AND id > 50 AND run_id % 3 <> 0")
+
+
+@query("paged_days", "SELECT o_orderkey AS id, o_orderstatus AS status FROM orders WHERE CAST(o_orderdate AS DATE) = (SELECT CAST(max(o_orderdate) AS DATE) FROM orders)", catalog=False)
+def _paged_days(spark: SparkSession, sf: str) -> DataFrame:
+    last = table(spark, sf, "orders").agg(F.max(F.to_date("o_orderdate"))).first()[0]
+    return paged.read_list(spark, _order_pages(spark, sf), "id long, status string, date_added string", filter=paged.day_filter("date_added", last)).select("id", "status")
+
+
+@query("paged_details", "SELECT o_orderkey AS id, o_orderstatus AS status, o_totalprice AS price FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100", catalog=False)
+def _paged_details(spark: SparkSession, sf: str) -> DataFrame:
+    top = table(spark, sf, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").select("o_orderkey").limit(paged.MOST_ITEMS).collect()
+    return paged.read_details(spark, _order_pages(spark, sf), [r[0] for r in top], "id long, status string, price double")
+
+
 # Scalars -------------------------------------------------------------------------------------------------------
 
 

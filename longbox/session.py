@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -17,6 +18,7 @@ SETTINGS = {
     "spark.ui.enabled": "false",
 }
 _shipped: set[str] = set()
+_made: dict[str, str] = {}
 
 
 def local_session(cpus: int | str = "*", memory: str = "8g", partitions: int = 8) -> SparkSession:
@@ -39,3 +41,15 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(path)
         _shipped.add(context.applicationId)
     return spark
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share, ``spark.checkpoint.dir``; a temporary one where that is unset on one machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = _made.setdefault(context.applicationId, "") or f"file://{tempfile.mkdtemp(prefix='longbox-')}"
+        _made[context.applicationId] = folder
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
