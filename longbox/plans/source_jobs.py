@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from longbox.functions import collected, source
+from longbox.functions import collected, json_search, source
 from longbox.functions import text as x
 from longbox.operators import listing, planning, reports, timeline, tracking
 from longbox.plans.queries import _REACH, _page_sql, query
@@ -200,6 +200,32 @@ def _paged_details(spark: SparkSession, sf: str) -> DataFrame:
     return paged.read_details(spark, _order_pages(spark, sf), [r[0] for r in top], "id long, status string, price double")
 
 
+# Search in JSON ------------------------------------------------------------------------------------------------
+
+_NESTED_SQL = """WITH RECURSIVE docs AS (SELECT event_id AS ref, CAST(json_object('type', event_type, 'deep', json_object('list', json_array(json_object('user', 'U' || user_id, 'props', CAST(props AS JSON)), event_type))) AS JSON) AS doc FROM events),
+    walk AS (SELECT ref, 'root' AS path, CAST(NULL AS VARCHAR) AS key, doc AS value FROM docs
+      UNION ALL SELECT w.ref, CASE json_type(w.value) WHEN 'OBJECT' THEN w.path || '.' || e.key ELSE w.path || '[' || e.key || ']' END, CASE json_type(w.value) WHEN 'OBJECT' THEN e.key ELSE w.key END, e.value
+        FROM walk w, json_each(w.value) e WHERE json_type(w.value) IN ('OBJECT', 'ARRAY')),
+    leaf AS (SELECT ref, path, key, json_type(value) AS kind, value ->> '$' AS value FROM walk)
+    """
+
+
+def _nested_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as JSON of depth four."""
+    inner = F.concat(F.lit('{"type":"'), "event_type", F.lit('","deep":{"list":[{"user":"U'), F.col("user_id").cast("string"), F.lit('","props":'), "props", F.lit('},"'), "event_type", F.lit('"]}}'))
+    return table(spark, sf, "events").select(F.col("event_id").alias("ref"), inner.alias("doc"))
+
+
+@query("json_values", _NESTED_SQL + """SELECT ref, path, key, value, needle FROM leaf, (VALUES ('CLICK'), ('u1'), ('7')) n(needle) WHERE kind NOT IN ('OBJECT', 'ARRAY') AND contains(lower(value), lower(needle))""", catalog=False)
+def _json_values(spark: SparkSession, sf: str) -> DataFrame:
+    return json_search.search(_nested_events(spark, sf), "ref", "doc", ["CLICK", "u1", "7"], any_case=True)
+
+
+@query("json_keys", _NESTED_SQL + """SELECT ref, path, key, needle FROM leaf, (VALUES ('user'), ('k'), ('type')) n(needle) WHERE contains(key, needle) AND ends_with(path, '.' || key)""", catalog=False)
+def _json_keys(spark: SparkSession, sf: str) -> DataFrame:
+    return json_search.search(_nested_events(spark, sf), "ref", "doc", ["user", "k", "type"], in_keys=True).drop("value")
+
+
 # Scalars -------------------------------------------------------------------------------------------------------
 
 

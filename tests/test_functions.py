@@ -109,3 +109,17 @@ def test_dates_are_carried_forward(spark):
     text = "Thor (2020) #1 ON SALE June 5, 2024 Hulk (2021) #2 Ms. Marvel (2022) #3A On Sale: June 12, 2024 Loki (2023) #4"
     got = {r.title: (r.number, r.on_sale and str(r.on_sale)) for r in dated_mentions(spark.createDataFrame([(1, text)], "id long, t string"), "id", "t").collect()}
     assert got == {"Thor": ("1", None), "Hulk": ("2", "2024-06-05"), "Ms. Marvel": ("3A", "2024-06-05"), "Loki": ("4", "2024-06-12")}
+
+
+def test_json_search(spark):
+    from longbox.functions.json_search import matches, search
+
+    text = '{"a": {"B": ["Xy", 12, null, {"c": "axY", "xy": [true]}]}, "e": {}}'
+    assert list(matches(text, ["xY", "1"])) == [("root.a.B[1]", "B", "12", "1"), ("root.a.B[3].c", "c", "axY", "xY")]
+    assert [m[0] for m in matches(text, ["xy", "xy", "TRUE", "none"], any_case=True)] == ["root.a.B[0]", "root.a.B[2]", "root.a.B[3].c", "root.a.B[3].xy[0]"]
+    assert list(matches(text, ["b"], in_keys=True, any_case=True)) == [("root.a.B", "B", '["Xy", 12, null, {"c": "axY", "xy": [true]}]', "b")]
+    deep = "[" * 900 + '"needle"' + "]" * 900
+    assert [m[2] for m in matches(deep, ["eed"])] == ["needle"]
+    rows = spark.createDataFrame([(1, text), (2, None), (3, "{broken"), (4, ""), (5, '"Xy"')], "id long, t string")
+    assert sorted((r.ref, r.path) for r in search(rows, "id", "t", ["Xy"]).collect()) == [(1, "root.a.B[0]"), (5, "root")]
+    assert search(rows, "id", "t", []).count() == 0
