@@ -1,10 +1,11 @@
-"""Registered queries of pages read line by line."""
+"""Registered queries of pages: read line by line, and followed from one to another."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from longbox.operators import traversal
 from longbox.plans.queries import query
 from longbox.sources import page_lines
 from longbox.sources.tables import table
@@ -90,3 +91,28 @@ def _item_page_texts(spark: SparkSession, sf: str) -> DataFrame:
     texts = page_lines.item_texts(pages, "id", "text").withColumnRenamed("ref", "id")
     marked = pages.select("id", page_lines.ongoing_marker(F.concat(F.lit("Saga ("), F.when(n % 2 == 0, "2020 - )").otherwise("2020)")), F.lit("2020")).alias("ongoing"))
     return texts.join(marked, "id")
+
+
+# Traversal -----------------------------------------------------------------------------------------------------
+
+
+@query("one_hop_pages", """WITH RECURSIVE p AS (SELECT c_custkey AS key, CASE WHEN c_custkey % 17 = 5 THEN NULL WHEN c_custkey % 10 = 0 THEN c_custkey + 1 ELSE c_custkey END AS final FROM customer),
+    f AS (SELECT DISTINCT final AS key, final AS page FROM p WHERE final IS NOT NULL UNION ALL SELECT key, final FROM p WHERE final IS NOT NULL AND key NOT IN (SELECT final FROM p WHERE final IS NOT NULL)),
+    l AS (SELECT a.page, b.page AS target, min(o.o_orderkey) AS position FROM orders o JOIN orders n ON n.o_orderkey = o.o_orderkey + 1 JOIN f a ON a.key = o.o_custkey JOIN f b ON b.key = n.o_custkey WHERE o.o_orderpriority <> '1-URGENT' GROUP BY 1, 2),
+    adj AS (SELECT page, list(target) AS targets FROM l GROUP BY 1),
+    d AS (SELECT page, min({'nth': -c_acctbal, 'key': 'c' || c_custkey}) AS o FROM customer JOIN f ON key = c_custkey GROUP BY 1),
+    s AS (SELECT d.page, COALESCE(targets, []) AS targets, row_number() OVER (ORDER BY o) AS n FROM d LEFT JOIN adj ON adj.page = d.page),
+    w(n, page, taken, stored) AS (SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), false, CAST([] AS BIGINT[])
+      UNION ALL SELECT s.n, s.page, NOT list_contains(w.stored, s.page), CASE WHEN list_contains(w.stored, s.page) THEN w.stored ELSE list_distinct(w.stored || [s.page] || s.targets) END FROM w JOIN s ON s.n = w.n + 1),
+    r AS (SELECT page AS page, page AS seed, n, 0 AS hop, CAST(0 AS BIGINT) AS position FROM w WHERE taken UNION ALL SELECT l.target, w.page, n, 1, l.position FROM w JOIN l ON l.page = w.page WHERE taken)
+    SELECT 'c' || page AS page, 'c' || arg_min(seed, {'n': n, 'hop': hop, 'position': position}) AS seed, arg_min(hop, {'n': n, 'hop': hop, 'position': position}) AS hop, arg_min(position, {'n': n, 'hop': hop, 'position': position}) AS position FROM r GROUP BY page""", catalog=False)
+def _one_hop_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as pages, every tenth one moved and every seventeenth lost; an order links its customer to the next order's."""
+    customers, orders = table(spark, sf, "customer"), table(spark, sf, "orders")
+    name = lambda c: F.concat(F.lit("c"), c.cast("string"))
+    n = F.col("c_custkey")
+    seeds = customers.select(name(n).alias("key"), (-F.col("c_acctbal")).alias("nth"))
+    pages = customers.select(name(n).alias("key"), F.when(n % 17 == 5, "").when(n % 10 == 0, name(n + 1)).otherwise(name(n)).alias("final"))
+    following = orders.select((F.col("o_orderkey") - 1).alias("o_orderkey"), name(F.col("o_custkey")).alias("target"))
+    links = orders.join(following, "o_orderkey").select(name(F.col("o_custkey")).alias("key"), F.col("o_orderkey").alias("position"), "target", F.col("o_orderpriority").alias("kind"))
+    return traversal.one_hop(seeds, links, pages, skip=("1-URGENT",))
