@@ -1,14 +1,19 @@
-"""Registered queries of pages: read line by line, and followed from one to another."""
+"""Registered queries of pages: read line by line, and followed from one to another,
+and scanned day by day."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import datetime as dt
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from longbox.operators import traversal
 from longbox.plans.queries import query
+from longbox.session import shared_path
 from longbox.sources import page_lines
 from longbox.sources.tables import table
+from longbox.streaming import scans
 
 
 def _order_texts(spark: SparkSession, sf: str, chunk, head: Column, tail: Column) -> DataFrame:
@@ -116,3 +121,27 @@ def _one_hop_pages(spark: SparkSession, sf: str) -> DataFrame:
     following = orders.select((F.col("o_orderkey") - 1).alias("o_orderkey"), name(F.col("o_custkey")).alias("target"))
     links = orders.join(following, "o_orderkey").select(name(F.col("o_custkey")).alias("key"), F.col("o_orderkey").alias("position"), "target", F.col("o_orderpriority").alias("kind"))
     return traversal.one_hop(seeds, links, pages, skip=("1-URGENT",))
+
+
+# Day scans -----------------------------------------------------------------------------------------------------
+
+
+@query("day_scans", """WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, row_number() OVER (PARTITION BY CAST(o_orderdate AS DATE) ORDER BY o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY CAST(o_orderdate AS DATE)) AS n, o_custkey FROM orders),
+    p AS (SELECT phase, o.* FROM o, (VALUES ('added'), ('updated')) v(phase) WHERE day <= DATE '1997-12-31'),
+    cut AS (SELECT phase, day, n, CASE WHEN phase = 'updated' AND day(day) % 5 = 0 THEN least(n, 2) ELSE n END AS reached, o_orderkey, i FROM p)
+    SELECT phase, day AS scan_date, max(reached) AS next_offset, max(n) AS total, max(reached) = max(n) AS completed, count(*) FILTER (WHERE i < reached) AS n_rows, CAST(sum(o_orderkey) FILTER (WHERE i < reached) AS BIGINT) AS key_sum FROM cut GROUP BY 1, 2""", catalog=False)
+def _day_scans(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders in pages of two by day and phase, some sent twice; from every fifth day's updates the second page never comes."""
+    day = F.col("o_orderdate").cast("date").alias("scan_date")
+    place = Window.partitionBy("scan_date").orderBy("o_orderkey")
+    rows = table(spark, sf, "orders").select(day, "o_orderkey").withColumns({"i": F.row_number().over(place) - 1, "total": F.count(F.lit(1)).over(Window.partitionBy("scan_date"))})
+    pages = rows.groupBy("scan_date", (F.col("i") - F.col("i") % 2).cast("long").alias("offset"), "total").agg(F.sort_array(F.collect_list("o_orderkey")).alias("items"))
+    pages = pages.withColumn("phase", F.explode(F.array(*[F.lit(p) for p in scans.PHASES]))).where("not (phase = 'updated' and day(scan_date) % 5 = 0 and offset = 2)")
+    pages = pages.withColumn("times", F.explode(F.sequence(F.lit(1), F.when(F.col("offset") == 0, 2).otherwise(1)))).drop("times")
+    path = shared_path(spark, "day-scans")
+    pages.repartition(4, "phase", "scan_date").write.parquet(f"{path}/pages")
+    stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/pages")
+    scans.run_available(stream, scans.scan_batch(path, dt.date(1990, 1, 1), dt.date(1997, 12, 31)), f"{path}/checkpoint")
+    read = scans.scanned_rows(spark, path, pages.schema).select("phase", "scan_date", F.explode("items").alias("item"))
+    sums = read.groupBy("phase", "scan_date").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("item").alias("key_sum"))
+    return scans.scan_state(spark, path).join(sums, ["phase", "scan_date"])
