@@ -57,7 +57,7 @@ def written_date(c: Column) -> Column:
 
 
 def _label(c: Column) -> Column:
-    return F.upper(F.trim(F.regexp_replace(squeezed(c), r"^:+|:+$", "")))
+    return F.upper(F.trim(F.regexp_replace(F.trim(c), r"^:+|:+$", "")))
 
 
 def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -109,7 +109,7 @@ def issue_details(pages: DataFrame, ref: str, text: str, title: str, number: str
 
         colon = F.instr(line, ":")
         value = F.when(colon > 0, F.trim(F.substr(line, colon + 1))).otherwise("")
-        return _bound(F.struct(at.alias("at"), line.alias("line"), _label(line).alias("whole"), _label(F.substring_index(line, ":", 1)).alias("label"), value.alias("value"), F.regexp_extract(line, _ISSUE, 3).alias("number")), fields)
+        return _bound(F.struct(at.alias("at"), line.alias("line"), _label(line).alias("whole"), _label(F.substring_index(line, ":", 1)).alias("label"), value.alias("value"), F.when(F.contains(line, F.lit("#")), F.regexp_extract(line, _ISSUE, 3)).otherwise("").alias("number")), fields)
 
     def begun(v: Column) -> dict[str, Column]:
         exact = _first(v["rows"], lambda r: (r["number"] != "") & (alnum_number(r["number"]) == v["n"]) & (title_key(F.regexp_extract(r["line"], _ISSUE, 1)) == v["t"]))["at"]
@@ -163,7 +163,8 @@ def issue_details(pages: DataFrame, ref: str, text: str, title: str, number: str
 
 def page_credits(details: DataFrame) -> DataFrame:
     """``ref, nth, role, name`` of ``issue_details``, numbered from 1 in the order of the page."""
-    return details.select("ref", F.posexplode("credits").alias("nth", "credit")).select("ref", (F.col("nth") + 1).alias("nth"), "credit.role", "credit.name")
+    rows = details.select("ref", F.posexplode_outer("credits").alias("nth", "credit")).where("nth is not null")  # an inner one would filter by size first, reading pages again
+    return rows.select("ref", (F.col("nth") + 1).alias("nth"), "credit.role", "credit.name")
 
 
 # Item pages ----------------------------------------------------------------------------------------------------
@@ -225,8 +226,8 @@ def _distinct(lines: Column) -> Column:
 
 def block_entries(blocks: DataFrame) -> DataFrame:
     """``ref, label, nth, value``: a row for each line of each label."""
-    rows = blocks.select("ref", F.explode("block").alias("label", "lines")).select("ref", "label", F.posexplode("lines").alias("nth", "value"))
-    return rows.withColumn("nth", F.col("nth") + 1)
+    rows = blocks.select("ref", F.explode_outer("block").alias("label", "lines")).where("label is not null")
+    return rows.select("ref", "label", F.posexplode("lines").alias("nth", "value")).withColumn("nth", F.col("nth") + 1)
 
 
 def item_texts(pages: DataFrame, ref: str, text: str) -> DataFrame:
