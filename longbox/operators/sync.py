@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from longbox.functions.text import clean, mainline_first, usable
 from longbox.operators.merge import merged_value
+from longbox.session import shared_path
 from longbox.sources.tables import Catalog
 
 #: Status words of the source and what they become (fixed values); others are unknown.
@@ -23,12 +24,18 @@ def hydration_due(rows: DataFrame, refreshed: str, updated: str, ids: list[int]
 
 
 def batches(rows: DataFrame, order: str, size: int = 100) -> DataFrame:
-    """``rows`` with ``batch``: numbers of at most ``size`` rows in order of a key, counted by ranges of it, not in one place."""
-    spread = rows.repartitionByRange(F.col(order)).withColumn("_p", F.spark_partition_id())
-    counts = spread.groupBy("_p").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.withColumn("before", F.sum("n").over(Window.orderBy("_p")) - F.col("n")).select("_p", "before")
-    nth = F.row_number().over(Window.partitionBy("_p").orderBy(order))
-    return spread.withColumn("_nth", nth).join(F.broadcast(before), "_p").withColumn("batch", F.floor((F.col("_nth") + F.col("before") - 1) / size)).drop("_p", "_nth", "before")
+    """``rows`` with ``batch``: numbers of at most ``size`` rows in order of a key, counted by ranges of it, not in one place.
+
+    The ranges are stored before they are counted: made a second time, from other columns or another sample, they would
+    be other ranges, and numbers would repeat.
+    """
+    spark, path = rows.sparkSession, shared_path(rows.sparkSession, "batches")
+    placed = rows.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_at", F.monotonically_increasing_id())
+    placed.write.parquet(path)
+    stored = spark.read.schema(placed.schema).parquet(path).withColumns({"_p": F.shiftright("_at", 33), "_nth": F.col("_at").bitwiseAND((1 << 33) - 1)})
+    counts = stored.groupBy("_p").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("_p", (F.sum("n").over(Window.orderBy("_p")) - F.col("n")).alias("before"))
+    return stored.join(F.broadcast(before), "_p").withColumn("batch", F.floor((F.col("_nth") + F.col("before")) / size)).drop("_at", "_p", "_nth", "before")
 
 
 def refreshed(requested: DataFrame, returned: DataFrame) -> DataFrame:

@@ -29,6 +29,8 @@ from longbox.operators.sync import batches
 MOST_ITEMS = 100
 #: Pages that a task asks for.
 PAGES_A_TASK = 64
+#: Bytes of a row group of stored pages, about those that a task asks for.
+GROUP_BYTES = 2 << 20
 _TESTS = {"=": lambda a, b: a == b, "in": lambda a, b: a in b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, "set": lambda a, b: a is not None}
 _PUSHED = {EqualTo: "=", In: "in", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<=", IsNotNull: "set"}
 
@@ -120,7 +122,8 @@ class StoredPages:
         import pyarrow.dataset as ds
 
         by_offset = {r.offset: r for r in requests}
-        for batch in self.table.to_batches(["offset", "body"], filter=ds.field("offset").isin(list(by_offset))):
+        offset = ds.field("offset")
+        for batch in self.table.to_batches(["offset", "body"], filter=(offset >= min(by_offset)) & (offset <= max(by_offset)) & offset.isin(list(by_offset))):
             for offset, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 yield self._reply(by_offset[offset], json.loads(body))
 
@@ -186,11 +189,14 @@ class PagedList(DataSource):
 
 
 def store_pages(items: DataFrame, path: str, limit: int = MOST_ITEMS) -> None:
-    """Write ``items`` (with ``id``) as pages in order of id: ``offset, first_id, last_id, body``.  A page is one row, so a group has ``limit`` rows at most."""
+    """Write ``items`` (with ``id``) as pages in order of id: ``offset, first_id, last_id, body``.  A page is one row, so a group has ``limit`` rows at most.
+
+    Files and row groups hold ranges of offsets, so that a task reads no more than about its own pages.
+    """
     total = items.count()
     pages = batches(items, "id", checked_limit(limit)).groupBy((F.col("batch") * limit).alias("offset")).agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.array_sort(F.collect_list(F.struct("id", F.to_json(F.struct(*items.columns)).alias("json")))).alias("items"))
     body = F.concat(F.lit(f'{{"status_code":1,"error":"OK","number_of_total_results":{total},"offset":'), F.col("offset").cast("string"), F.lit(',"results":['), F.array_join("items.json", ","), F.lit("]}"))
-    pages.select("offset", "first_id", "last_id", body.alias("body")).write.parquet(path)
+    pages.select("offset", "first_id", "last_id", body.alias("body")).repartitionByRange("offset").sortWithinPartitions("offset").write.option("parquet.block.size", GROUP_BYTES).parquet(path)
 
 
 def read_list(spark: SparkSession, path: str, schema: str, **options: str) -> DataFrame:

@@ -90,3 +90,24 @@ def test_values_and_days():
     assert paged._value("x", LongType()) is None and paged._value("", LongType()) is None and paged._value("7", LongType()) == 7
     assert paged._value("2024-05-01 10:00:00", DateType()) == dt.date(2024, 5, 1) and paged._value({"b": 1, "a": [2]}, StringType()) == '{"a": [2], "b": 1}'
     assert paged._value("1.5", DoubleType()) == 1.5 and paged._value(1, BooleanType()) is True
+
+
+def test_pages_of_several_ranges_hold_every_item_once(spark, tmp_path):
+    """Ranges are uneven in bytes, so that Spark joins other ones where only ids are counted."""
+    small = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "200k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        items = spark.range(1, 60_001, numPartitions=6).selectExpr("id", "sha2(cast(id as string), 512) as name")
+        paged.store_pages(items, f"file://{tmp_path}/pages")
+        heads = spark.read.parquet(f"file://{tmp_path}/pages").select("offset", "first_id", "last_id").orderBy("offset").collect()
+        assert [tuple(h) for h in heads] == [(k, k + 1, k + 100) for k in range(0, 60_000, 100)]
+        assert paged.read_list(spark, f"file://{tmp_path}/pages", "id long").distinct().count() == 60_000
+        found = paged.read_details(spark, f"file://{tmp_path}/pages", list(range(600, 60_001, 600)), "id long, name string")
+        assert found.count() == 100
+        days = paged.read_list(spark, f"file://{tmp_path}/pages", "id long, name string").where("id > 29950 and id <= 30050")
+        assert days.count() == 100
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
