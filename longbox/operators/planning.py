@@ -54,9 +54,13 @@ def resolved_items(items: DataFrame, wanted: DataFrame, date: str) -> DataFrame:
     ``items`` has ``id, publisher_id, source_key, title`` and the column named by ``date``.
     """
     rows = items.select(F.col("id").alias("item_id"), F.col("publisher_id").alias("_p"), F.col("source_key").alias("_key"), F.lower("title").alias("_title"), F.col(date).alias("_date"))
-    by_key = wanted.where(usable(F.col("key"))).join(rows, (F.col("publisher_id") == F.col("_p")) & (F.col("key") == F.col("_key"))).select("ref", F.lit(1).alias("tier"), "item_id")
-    by_title = wanted.join(rows, (F.col("publisher_id") == F.col("_p")) & (F.lower("title") == F.col("_title"))).select("ref", F.when(F.col("date") == F.col("_date"), 2).otherwise(3).alias("tier"), "item_id")
-    best = by_key.unionByName(by_title).groupBy("ref").agg(F.min(F.struct("tier", "item_id")).alias("b"))
+    # Each tier keeps one item of a key before it meets what is wanted, so titles that many share cost a row each.
+    least = F.min("item_id").alias("item_id")
+    by_key = wanted.where(usable(F.col("key"))).join(rows.groupBy("_p", "_key").agg(least), (F.col("publisher_id") == F.col("_p")) & (F.col("key") == F.col("_key"))).select("ref", F.lit(1).alias("tier"), "item_id")
+    titled = (F.col("publisher_id") == F.col("_p")) & (F.lower("title") == F.col("_title"))
+    by_date = wanted.join(rows.where("_date is not null").groupBy("_p", "_title", "_date").agg(least), titled & (F.col("date") == F.col("_date"))).select("ref", F.lit(2).alias("tier"), "item_id")
+    by_title = wanted.join(rows.groupBy("_p", "_title").agg(least), titled).select("ref", F.lit(3).alias("tier"), "item_id")
+    best = by_key.unionByName(by_date).unionByName(by_title).groupBy("ref").agg(F.min(F.struct("tier", "item_id")).alias("b"))
     return wanted.select("ref").join(best, "ref", "left").select("ref", "b.tier", "b.item_id")
 
 

@@ -164,3 +164,22 @@ def test_lineage_conflicts(spark):
     new = spark.createDataFrame([(1, 10), (2, 21), (3, 20), (4, 40)], "source_id long, matched long").withColumnRenamed("matched", "catalogue_id")
     got = {r.source_id: r.verdict for r in merge.lineage_matches(old, new).collect()}
     assert got == {1: "same", 2: "conflict: source is linked elsewhere", 3: "conflict: target is taken", 4: "new"}
+
+
+def test_resolution_keeps_one_item_of_a_shared_title(spark):
+    """Titles that many items share: no pairs of items and wanted rows are made, tiers and least ids stay."""
+    from longbox.operators import planning
+
+    d = [None, D(2024, 1, 1), D(2024, 1, 2)]
+    items = [(k, k % 2, f"k{k % 5}" if k % 3 == 0 else "", "Red Ring" if k % 4 else "Blue", d[k % 3]) for k in range(1, 400)]
+    wanted = [(r, r % 3, f"k{r % 7}" if r % 5 == 0 else " ", "RED ring" if r % 2 else "none", d[r % 3] if r % 4 else D(2025, 1, 1)) for r in range(300)]
+    rows = planning.resolved_items(spark.createDataFrame(items, "id long, publisher_id long, source_key string, title string, release_date date"), spark.createDataFrame(wanted, "ref long, publisher_id long, key string, title string, date date"), "release_date")
+
+    def brute(ref, p, key, title, date):
+        hits = [(1, i) for i, q, k, _, _ in items if q == p and key.strip() and k == key]
+        hits += [(2 if date is not None and date == e else 3, i) for i, q, _, t, e in items if q == p and t.lower() == title.lower()]
+        return (ref, *min(hits, default=(None, None)))
+
+    assert sorted(tuple(r) for r in rows.collect()) == [brute(*w) for w in wanted]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [_p#") == 3 or plan.count("Aggregate [publisher_id#") == 3, plan
