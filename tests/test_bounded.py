@@ -39,3 +39,14 @@ def test_readers_meet_classes_of_volumes_not_pairs(spark, sf_dir):
         brute |= {(p.user_id, v) for v in of}
     got = [tuple(r) for r in rows.collect()]
     assert len(got) == len(set(got)) and set(got) == brute
+
+
+def test_requests_without_a_key_are_dealt_out(spark, sf_dir):
+    c = star_catalog(spark, sf_dir)
+    with settings(spark, adaptive__enabled="false", autoBroadcastJoinThreshold="-1", shuffle__partitions="8"):
+        none = F.lit(None).cast("long")
+        asked = c.issues.select(F.col("id").alias("request"), *[none.alias(f"{k}_id") for k in ("publisher", "run", "issue", "volume", "one_shot")])
+        rows = listing.selection(asked, c)
+        sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+        assert rows.where("selected <> 'none' or selected_publisher_id is not null").count() == 0
+    assert sum(sizes) == c.issues.count() and max(sizes) < sum(sizes) / 2
