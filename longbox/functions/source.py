@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,22 +31,35 @@ def choice_label(choices: dict[str, str], value: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in choices.items() for x in pair]), value), value)
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once: written out for each use, nested patterns outgrow what Spark compiles."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def without_marker(label: Column, number: Column) -> Column:
     """A label without the first ``#number``; a longer number that starts alike is another one."""
-    text, wanted = squeezed(label), clean(number)
+    wanted = clean(number)
     escaped = F.regexp_replace(wanted, r"([^A-Za-z0-9])", r"\\$1")
-    pattern = F.concat(F.lit(r"(?is)^(.*?)#\s*"), escaped, F.lit(r"(?![A-Za-z0-9_])(.*)$"))
-    part = lambda k: F.call_function("regexp_extract", text, pattern, F.lit(k))
-    return F.when((wanted != "") & F.rlike(text, pattern), F.concat(part(1), part(2))).otherwise(text)
+    pattern = F.when(wanted != "", F.concat(F.lit(r"(?is)^(.*?)#\s*"), escaped, F.lit(r"(?![A-Za-z0-9_])(.*)$")))
+
+    def cut(v: Column) -> Column:
+        part = lambda k: F.call_function("regexp_extract", v["text"], v["pattern"], F.lit(k))
+        return F.when(F.rlike(v["text"], v["pattern"]), F.concat(part(1), part(2))).otherwise(v["text"])
+
+    return _bound(F.struct(squeezed(label).alias("text"), pattern.alias("pattern")), cut)
 
 
 def issue_key(title: Column, number: Column) -> Column:
     """Key of an issue in its series: the number, or the whole label with it for specials."""
-    text, wanted = clean(title), clean(number)
-    bare = F.when((wanted == "0") & text.rlike(r"#\s*$"), F.regexp_replace(text, r"#\s*$", "")).otherwise(without_marker(text, wanted))
-    base = F.regexp_replace(squeezed(F.regexp_replace(bare, r"\(\d{4}\s*-?\s*\)", "")), r"^[ :\-]+|[ :\-]+$", "")
-    special = (text != "") & (wanted != "") & (base != "") & looks_special_label(text)
-    return F.when(special, F.concat(base, F.lit(" #"), wanted)).otherwise(wanted)
+    def bare(v: Column) -> Column:
+        return F.when((v["wanted"] == "0") & v["text"].rlike(r"#\s*$"), F.regexp_replace(v["text"], r"#\s*$", "")).otherwise(without_marker(v["text"], v["wanted"]))
+
+    def keyed(v: Column) -> Column:
+        base = F.regexp_replace(squeezed(F.regexp_replace(bare(v), r"\(\d{4}\s*-?\s*\)", "")), r"^[ :\-]+|[ :\-]+$", "")
+        special = (v["text"] != "") & (v["wanted"] != "") & looks_special_label(v["text"])
+        return F.when(special, _bound(base, lambda w: F.when(w != "", F.concat(w, F.lit(" #"), v["wanted"])).otherwise(v["wanted"]))).otherwise(v["wanted"])
+
+    return _bound(F.struct(clean(title).alias("text"), clean(number).alias("wanted")), keyed)
 
 
 def slug(c: Column) -> Column:
@@ -53,12 +68,15 @@ def slug(c: Column) -> Column:
 
 def short_key(key: Column, number: Column) -> Column:
     """A key of at most ``MOST_KEY`` characters: its words as a slug, and its number in full."""
-    text, wanted = clean(key), clean(number)
-    mark = F.concat(F.lit("#"), wanted)
-    cut = F.when(F.endswith(F.lower(text), F.lower(mark)), F.left(text, F.length(text) - F.length(mark))).otherwise(text)
-    base = F.coalesce(F.nullif(slug(F.regexp_replace(clean(cut), r"^[ #:,\-]+|[ #:,\-]+$", "")), F.lit("")), F.lit("special"))
-    short = F.concat(F.regexp_replace(F.left(base, F.lit(MOST_KEY) - F.length(mark)), r"^-+|-+$", ""), mark)
-    return F.when(wanted == "", F.left(text, F.lit(MOST_KEY))).when(F.length(mark) >= MOST_KEY, F.left(wanted, F.lit(MOST_KEY))).otherwise(short)
+    def shortened(v: Column) -> Column:
+        text, mark = v["text"], v["mark"]
+        cut = F.when(F.endswith(F.lower(text), F.lower(mark)), F.left(text, F.length(text) - F.length(mark))).otherwise(text)
+        words = slug(F.regexp_replace(clean(cut), r"^[ #:,\-]+|[ #:,\-]+$", ""))
+        base = _bound(words, lambda w: F.coalesce(F.nullif(w, F.lit("")), F.lit("special")))
+        short = F.concat(F.regexp_replace(F.left(base, F.lit(MOST_KEY) - F.length(mark)), r"^-+|-+$", ""), mark)
+        return F.when(mark == "#", F.left(text, F.lit(MOST_KEY))).when(F.length(mark) >= MOST_KEY, F.left(F.substr(mark, F.lit(2)), F.lit(MOST_KEY))).otherwise(short)
+
+    return _bound(F.struct(clean(key).alias("text"), F.concat(F.lit("#"), clean(number)).alias("mark")), shortened)
 
 
 def valid_expression(c: Column) -> Column:
