@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -17,6 +18,10 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
 }
+#: Most bytes that a task reads at once, from files or from a shuffle; smaller values of the caller's stand.
+TASK_BYTES = 16 << 20
+TASK_LIMITS = ("spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+_UNITS = {"": 1, "b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
 _shipped: set[str] = set()
 _made: dict[str, str] = {}
 
@@ -40,9 +45,27 @@ def ship(spark: SparkSession) -> SparkSession:
                 z.write(p, p.relative_to(root.parent))
         context.addPyFile(path)
         _shipped.add(context.applicationId)
+    return bounded_tasks(spark)
+
+
+def _bytes(text: str) -> int:
+    number, unit = re.fullmatch(r"(\d+)([bkmgt]?)b?", text.strip().lower()).groups()
+    return int(number) * _UNITS[unit]
+
+
+def bounded_tasks(spark: SparkSession) -> SparkSession:
+    """Tasks of at most ``TASK_BYTES`` of input: rows of a few columns are ten to thirty times as large in a hash table or a sort."""
+    for key in TASK_LIMITS:
+        if _bytes(spark.conf.get(key)) > TASK_BYTES:
+            spark.conf.set(key, str(TASK_BYTES))
     return spark
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt out to all cores several times over, where each row takes long: small files hold many of them."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share, ``spark.checkpoint.dir``; a temporary one where that is unset on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
