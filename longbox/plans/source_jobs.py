@@ -11,7 +11,7 @@ from longbox.functions import collected, json_search, source
 from longbox.functions import text as x
 from longbox.operators import listing, planning, reports, timeline, tracking
 from longbox.plans.queries import _REACH, _page_sql, query
-from longbox.session import shared_path
+from longbox.session import shared_path, spread
 from longbox.sources import paged, records
 from longbox.sources.tables import Catalog, table
 
@@ -132,7 +132,7 @@ def _all_relations(spark: SparkSession, sf: str) -> DataFrame:
     n = F.col("o_orderkey")
     item = lambda k, f: F.struct((n % (k + 3)).alias("id"), F.lit(f).alias("name"))
     lists = [F.array(item(k, f), item(k, f)).alias(f) for k, (f, _, _) in enumerate(records.RELATIONS)]
-    return records.relations(table(spark, sf, "orders").select(n.alias("source_id"), F.to_json(F.struct(*lists)).alias("json")))
+    return records.relations(spread(table(spark, sf, "orders").select("o_orderkey")).select(n.alias("source_id"), F.to_json(F.struct(*lists)).alias("json")))
 
 
 @query("image_records", "SELECT o_orderkey AS id, 'i' || CAST(o_orderkey AS VARCHAR) AS comic_icon_url, 'a,b' AS comic_tags, '' AS comic_tiny_url, 0 AS position, 'o1' AS original_url, CASE o_orderkey % 3 WHEN 0 THEN 'cap' WHEN 1 THEN 'nam' ELSE 'tit' END AS caption FROM orders", catalog=False)
@@ -167,7 +167,7 @@ def _collected_texts(spark: SparkSession, sf: str) -> DataFrame:
     for k, text in enumerate(more):
         last = F.when(n % 6 == k, text).otherwise(last)
     text = F.concat(F.lit("Heroes meet.  Collecting Alpha Tales ("), year, F.lit(") #"), word(low), F.lit("–"), word(low + n % 4), F.lit(", Beta Saga (2001) #"), word(n % 9), last, F.when(n % 4 == 0, ". Then Delta (2005) #9.").when(n % 4 == 1, " MORE DETAILS Delta (2005) #9").otherwise(" Rating: T Delta (2005) #9"))
-    rows = collected.collected_items(table(spark, sf, "part").select(n.alias("ref"), text.alias("text")), "ref", "text")
+    rows = collected.collected_items(spread(table(spark, sf, "part").select("p_partkey")).select(n.alias("ref"), text.alias("text")), "ref", "text")
     return rows.select("ref", "kind", "title", "year", F.array_join("numbers", ",").alias("numbers"))
 
 
@@ -236,7 +236,7 @@ def _issue_keys(c: Catalog) -> DataFrame:
     base = F.when(n == 0, "Saga Annual (2020) # x").when(n == 1, "Saga: Ark M").when(n == 2, "Saga").otherwise("Saga Special")
     label = F.concat(F.when(n == 0, "Saga Annual (2020) #").when(n == 1, "Saga: Ark M #").when(n == 2, "Saga #").otherwise("Saga Special #"), number)
     key = source.issue_key(label, number)
-    return c.issues.select("id", base.alias("base"), key.alias("key"), source.short_key(key, number).alias("short"))
+    return spread(c.issues.select("id")).select("id", base.alias("base"), key.alias("key"), source.short_key(key, number).alias("short"))
 
 
 @query("source_scalars", """SELECT p_partkey AS id, p_name || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE ' (' || CAST(p_size AS VARCHAR) || ')' END AS label, CASE p_partkey % 3 WHEN 0 THEN 10 WHEN 1 THEN 20 ELSE 90 END AS priority, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE 'Ann ' || p_brand END AS person,
