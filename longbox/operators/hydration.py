@@ -87,8 +87,8 @@ def stated_credits(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def complete_details(raw: DataFrame, fields: tuple[str, ...] = DETAIL_FIELDS) -> DataFrame:
     """``(id, missing)``: the required fields that a detail record lacks or that are no list."""
-    lacks = [F.when(~records.field_state(F.col("json"), f).isin("null", "list"), F.lit(f)) for f in fields]
-    return raw.select("id", F.array_compact(F.array(*lacks)).alias("missing"))
+    states = records.field_states(F.col("json"), fields)
+    return raw.select("id", F.array_compact(F.zip_with(F.array(*[F.lit(f) for f in fields]), states, lambda f, s: F.when(~s.isin("null", "list"), f))).alias("missing"))
 
 
 def hydrated(issues: DataFrame, raw: DataFrame, fields: list[str], credits: DataFrame, relations: DataFrame, images: DataFrame) -> dict[str, DataFrame]:

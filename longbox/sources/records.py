@@ -66,24 +66,38 @@ def volume_records(raw: DataFrame, column: str = "json") -> DataFrame:
 
 def field_state(json: Column, name: str) -> Column:
     """``absent``, ``null``, ``list`` or ``invalid``: what a field says about a relationship."""
-    v = F.try_parse_json(json)
-    keys = F.json_object_keys(json)
+    return F.get(field_states(json, (name,)), F.lit(0))
+
+
+def field_states(json: Column, names: tuple[str, ...]) -> Column:
+    """``field_state`` of each of ``names``, as an array; a record is parsed once for all of them."""
+    parsed = F.array(F.struct(F.try_parse_json(json).alias("v"), F.json_object_keys(json).alias("keys")))
+    return F.get(F.transform(parsed, lambda p: F.array(*[_state(p["v"], p["keys"], f) for f in names])), F.lit(0))
+
+
+def _state(v: Column, keys: Column, name: str) -> Column:
     kind = F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant"))
     return F.when(~F.array_contains(keys, name), "absent").when(F.is_variant_null(F.try_variant_get(v, f"$.{name}", "variant")), "null").when(F.startswith(kind, F.lit("ARRAY")), "list").otherwise("invalid")
 
 
 def relations(raw: DataFrame, id_column: str = "source_id", column: str = "json") -> DataFrame:
     """``(issue_id, entity, relation, entity_id, name)`` of all relationship lists of issue records, a row once."""
-    one = "array<struct<id:bigint,name:string>>"
-    lists = F.array(*[F.struct(F.lit(e).alias("entity"), F.lit(r).alias("relation"), F.from_json(F.get_json_object(column, f"$.{f}"), one).alias("items")) for f, e, r in RELATIONS])
-    rows = raw.select(F.col(id_column).alias("issue_id"), F.explode(lists).alias("l")).select("issue_id", "l.entity", "l.relation", F.explode("l.items").alias("i"))
-    return rows.where("i.id is not null").groupBy("issue_id", "entity", "relation", F.col("i.id").alias("entity_id")).agg(F.max("i.name").alias("name"))
+    one, names = "array<struct<id:bigint,name:string>>", [f for f, _, _ in RELATIONS]
+    # Lists are numbered until rows are single: a number is less to move and to compare than two names.
+    texts = raw.select(F.col(id_column).alias("issue_id"), F.json_tuple(column, *names).alias(*[f"_{k}" for k in range(len(names))]))
+    lists = F.array(*[F.when(F.length(f"_{k}") > 2, F.array_distinct(F.from_json(f"_{k}", one))) for k in range(len(names))])
+    rows = texts.select("issue_id", F.posexplode(lists).alias("k", "items")).select("issue_id", "k", F.explode("items").alias("i"))
+    rows = rows.where("i.id is not null").groupBy("issue_id", "k", F.col("i.id").alias("entity_id")).agg(F.max("i.name").alias("name"))
+    entity, relation = (F.get(F.array(*[F.lit(r[n]) for r in RELATIONS]), F.col("k")) for n in (1, 2))
+    return rows.select("issue_id", entity.alias("entity"), relation.alias("relation"), "entity_id", "name")
 
 
 def stated_relations(raw: DataFrame, id_column: str = "source_id", column: str = "json") -> DataFrame:
     """``(issue_id, entity, relation)`` that a record states, empty or not: only these may lose rows in a sync."""
-    states = F.array(*[F.struct(F.lit(e).alias("entity"), F.lit(r).alias("relation"), field_state(F.col(column), f).alias("state")) for f, e, r in RELATIONS])
-    return raw.select(F.col(id_column).alias("issue_id"), F.explode(states).alias("s")).where("s.state in ('null', 'list')").select("issue_id", "s.entity", "s.relation").distinct()
+    states = F.posexplode(field_states(F.col(column), tuple(f for f, _, _ in RELATIONS))).alias("k", "state")
+    rows = raw.select(F.col(id_column).alias("issue_id"), states).where("state in ('null', 'list')").select("issue_id", "k").distinct()
+    entity, relation = (F.get(F.array(*[F.lit(r[n]) for r in RELATIONS]), F.col("k")) for n in (1, 2))
+    return rows.select("issue_id", entity.alias("entity"), relation.alias("relation"))
 
 
 def page_links(pages: DataFrame, id_column: str = "page_id", html: str = "html") -> DataFrame:
