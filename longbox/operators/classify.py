@@ -15,9 +15,11 @@ from longbox.functions.text import MARKED_VOLUME, alnum_number, bare_number, cle
 def longest_streak(rows: DataFrame, group: str, number: str) -> DataFrame:
     """``(group, longest_streak)``: most consecutive whole numbers; repeats count once."""
     numbers = rows.where(F.col(number).isNotNull()).select(group, F.col(number).alias("n")).distinct()
+    # Places of a run's first number are carried forward in the window's own order: no table of runs is built.
     order = Window.partitionBy(group).orderBy("n")
-    islands = numbers.withColumn("island", F.col("n") - F.row_number().over(order))
-    return islands.groupBy(group, "island").agg(F.count(F.lit(1)).alias("size")).groupBy(group).agg(F.max("size").alias("longest_streak"))
+    placed = numbers.select(group, "n", F.row_number().over(order).alias("place"), F.coalesce(F.lag("n").over(order) + 1 == F.col("n"), F.lit(False)).alias("follows"))
+    first = F.max(F.when(~F.col("follows"), F.col("place"))).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return placed.select(group, (F.col("place") - first + 1).cast("long").alias("size")).groupBy(group).agg(F.max("size").alias("longest_streak"))
 
 
 def date_facts(store: Column, cover: Column) -> list[Column]:

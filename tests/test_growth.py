@@ -36,3 +36,12 @@ def test_shuffles_follow_the_size_of_tables(spark, tmp_path):
             assert spark.conf.get(session.PARTS) == "3"  # the caller's own stands
     finally:
         spark.conf.unset(session.PARTS) if before is None else spark.conf.set(session.PARTS, before)
+
+
+def test_streaks_build_no_table_of_runs(spark):
+    most = 2**63 - 1
+    rows = spark.createDataFrame([("a", n) for n in (5, 6, 6, 7, 9, 10, -1, 0)] + [("b", most), ("b", -most - 1), ("b", most - 1), ("c", None)], "g string, n long")
+    got = classify.longest_streak(rows, "g", "n")
+    assert {tuple(r) for r in got.collect()} == {("a", 3), ("b", 2)}
+    text = executed(got)
+    assert text[: text.index("Window")].count("HashAggregate") == 2  # of groups alone
