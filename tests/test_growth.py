@@ -20,6 +20,14 @@ def executed(df) -> str:
     return out.getvalue()
 
 
+def test_pairs_of_readers_are_dealt_out_before_they_are_compared(spark, sf_dir):
+    c = star_catalog(spark, sf_dir)
+    for rows, other in ((tracking.tracked_runs(c), "run_id"), (tracking.tracked_issues(c), "issue_id")):
+        text = executed(rows).split("Union", 1)[0]
+        assert "hashpartitioning(user_id" in text and text.index("HashAggregate") < text.index("hashpartitioning(user_id")
+        assert "HashAggregate" not in text[text.index("hashpartitioning(user_id") :], other
+
+
 def test_shuffles_follow_the_size_of_tables(spark, tmp_path):
     def rows(name):
         path = f"{tmp_path}/{name}.parquet"
