@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from longbox.sources.tables import Catalog
 
+#: Most volumes of a list.
+MEMBERS = 1000
+
 
 def _named(c: Catalog, credits: DataFrame) -> DataFrame:
     people = c.people.select(F.col("id").alias("person_id"), F.col("name").alias("person"))
@@ -19,6 +22,12 @@ def _first(rows: DataFrame, key: str, order: list) -> DataFrame:
     return rows.groupBy(key, "role_id", "person_id").agg(F.min(F.struct(*order)).alias("best"))
 
 
+def _lists(pairs: DataFrame, key: str) -> DataFrame:
+    """``key, volumes``: volumes of each key in lists of at most ``MEMBERS``."""
+    nth = F.row_number().over(Window.partitionBy(key).orderBy("volume_id")) - 1
+    return pairs.select(key, "volume_id", F.floor(nth / MEMBERS).alias("part")).groupBy(key, "part").agg(F.collect_list("volume_id").alias("volumes")).drop("part")
+
+
 def run_credits(c: Catalog) -> DataFrame:
     """``run_id, role_id, person_id`` with the order of the first of each person's credits in a role over a run's issues."""
     issues = c.issues.select(F.col("id").alias("target_id"), "run_id")
@@ -33,16 +42,21 @@ def volume_credits(c: Catalog) -> DataFrame:
     own = credits.where("target_kind = 'volume'").select(F.col("target_id").alias("volume_id"), "role_id", "person_id", "credit_order")
     issue = credits.where("target_kind = 'issue'").select(F.col("target_id").alias("issue_id"), "role_id", "person_id", "credit_order")
     shot = credits.where("target_kind = 'one_shot'").select(F.col("target_id").alias("one_shot_id"), "role_id", "person_id", "credit_order")
-    runs = c.issues.select(F.col("id").alias("issue_id"), "run_id")
-    held = c.volume_issues.select("volume_id", "issue_id")
-    explicit = held.join(runs, "issue_id").select("volume_id", "run_id").distinct()
+    # Volumes of an issue go as a list: to the runs of linked issues, and with each credit to where its person is.  One
+    # shuffle serves the minima of pairs and the persons' names, with a row for each credit and list.
+    held = _lists(c.volume_issues.select("issue_id", "volume_id"), "issue_id")
     linked = c.volume_runs.select("volume_id", "run_id").unionByName(c.volumes.where("run_id is not null").select(F.col("id").alias("volume_id"), "run_id")).distinct()
-    fallback = linked.join(explicit, ["volume_id", "run_id"], "left_anti")
-    # A run's credits are reduced to one row a role and person before they are dealt out to its volumes.
+    runs = c.issues.select(F.col("id").alias("issue_id"), "run_id").join(linked.select("run_id").distinct(), "run_id", "left_semi")
+    explicit = held.join(runs, "issue_id").select("run_id", F.explode("volumes").alias("volume_id"))
+    fallback = _lists(linked.join(explicit, ["volume_id", "run_id"], "left_anti"), "run_id")
+    # A linked run's credits are reduced to one row a role and person before they are dealt out to its volumes.
     of_runs = issue.join(runs, "issue_id").groupBy("run_id", "role_id", "person_id").agg(F.min(F.coalesce("credit_order", F.lit(2**31))).alias("credit_order"))
-    every = own.unionByName(issue.join(held, "issue_id").select(own.columns)).unionByName(shot.join(c.volume_one_shots.select("volume_id", "one_shot_id"), "one_shot_id").select(own.columns))
-    every = every.select("volume_id", "role_id", "person_id", F.coalesce("credit_order", F.lit(2**31)).alias("credit_order")).unionByName(fallback.join(of_runs, "run_id").select("volume_id", "role_id", "person_id", "credit_order"))
-    best = every.groupBy("volume_id", "role_id", "person_id").agg(F.min("credit_order").alias("credit_order"))
+    given = ["role_id", "person_id", F.coalesce("credit_order", F.lit(2**31)).alias("credit_order")]
+    single = F.array("volume_id").alias("volumes")
+    every = own.select(*given, single).unionByName(issue.join(held, "issue_id").select(*given, "volumes"))
+    every = every.unionByName(shot.join(c.volume_one_shots.select("volume_id", "one_shot_id"), "one_shot_id").select(*given, single)).unionByName(of_runs.join(fallback, "run_id").select(*given, "volumes"))
+    pairs = every.repartition("person_id").select("role_id", "person_id", "credit_order", F.explode("volumes").alias("volume_id"))
+    best = pairs.groupBy("volume_id", "role_id", "person_id").agg(F.min("credit_order").alias("credit_order"))
     return _named(c, best).select("volume_id", "role", "person", "display_order", "show_by_default", F.nullif("credit_order", F.lit(2**31)).alias("credit_order"))
 
 

@@ -20,6 +20,16 @@ def executed(df) -> str:
     return out.getvalue()
 
 
+def test_pairs_of_credits_are_shuffled_once(spark, sf_dir, monkeypatch):
+    c = star_catalog(spark, sf_dir)
+    with settings(spark, autoBroadcastJoinThreshold="-1"):
+        text = executed(credits.volume_credits(c))
+        assert "hashpartitioning(volume_id" not in text.split("Union", 1)[0] and text.split("Union", 1)[0].count("hashpartitioning(person_id") == 1
+        want = sorted(map(repr, credits.volume_credits(c).collect()))
+        monkeypatch.setattr(credits, "MEMBERS", 2)  # lists of two give the same rows
+        assert sorted(map(repr, credits.volume_credits(c).collect())) == want and want
+
+
 def test_pairs_of_readers_are_dealt_out_before_they_are_compared(spark, sf_dir):
     c = star_catalog(spark, sf_dir)
     for rows, other in ((tracking.tracked_runs(c), "run_id"), (tracking.tracked_issues(c), "issue_id")):
