@@ -19,7 +19,7 @@ def clean(c: Column) -> Column:
 
 def squeezed(c: Column) -> Column:
     """Text with every run of white space as one space, none outside."""
-    return F.trim(F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"(?U)\s(?:\s+|(?<! ))", " "))  # single spaces stay untouched
 
 
 def lines_kept(c: Column) -> Column:
@@ -66,7 +66,7 @@ def plain_html(c: Column) -> Column:
 
 def title_key(c: Column) -> Column:
     """Key to compare titles by: ampersands spelled out, letters and digits lower-cased, all else one space."""
-    return F.trim(F.regexp_replace(F.replace(folded(squeezed(c)), F.lit("&"), F.lit(" and ")), r"[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(F.replace(folded(F.coalesce(c.cast("string"), F.lit(""))), F.lit("&"), F.lit(" and ")), r"[^a-z0-9](?:[^a-z0-9]+|(?<! ))", " "))
 
 
 def title_key_or_id(c: Column, fallback: Column) -> Column:
@@ -234,7 +234,7 @@ def glued_names(c: Column) -> Column:
 
 def split_names(c: Column) -> Column:
     """Names of a line: cut at commas, semicolons, ampersands and "and", and where two names are run together."""
-    text = F.regexp_replace(squeezed(c), r"(?<=[a-z])(?<!\bMc)(?<!\bMac)(?<!\bDe)(?<!\bLe)(?<!\bLa)(?<!\bVan)(?<!\bDi)(?=[A-Z][a-z])", ";")
+    text = F.regexp_replace(squeezed(c), r"(?=[A-Z][a-z])(?<=[a-z])(?<!\bMc)(?<!\bMac)(?<!\bDe)(?<!\bLe)(?<!\bLa)(?<!\bVan)(?<!\bDi)", ";")
     parts = F.transform(F.split(text, r"\s*[,;&]\s*|\s+and\s+"), lambda x: F.trim(x))
     return F.array_distinct(F.filter(parts, lambda x: x != ""))
 

@@ -57,7 +57,7 @@ def _issue_pages(spark: SparkSession, sf: str) -> DataFrame:
     SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE 1 END AS title_at, COALESCE(m.day, CAST(o_orderdate AS DATE)) AS published_date, COALESCE(d.description, '') AS description
     FROM orders LEFT JOIN m ON m.id = o_orderkey LEFT JOIN d ON d.id = o_orderkey""", catalog=False)
 def _issue_page_details(spark: SparkSession, sf: str) -> DataFrame:
-    details = page_lines.issue_details(_issue_pages(spark, sf), "id", "text", "title", "number", "stored")
+    details = page_lines.issue_details(_issue_pages(spark, sf), "id", "text", "title", "number", "stored", told=("title_at", "published_date", "description"))
     return details.select(F.col("ref").alias("id"), "title_at", "published_date", "description")
 
 
@@ -65,7 +65,7 @@ def _issue_page_details(spark: SparkSession, sf: str) -> DataFrame:
     f AS (SELECT id, role, name, min(b * 10 + j) AS spot FROM c JOIN orders ON o_orderkey = id GROUP BY 1, 2, 3)
     SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY spot) AS INTEGER) AS nth, role, name FROM f""", catalog=False)
 def _issue_page_credits(spark: SparkSession, sf: str) -> DataFrame:
-    details = page_lines.issue_details(_issue_pages(spark, sf), "id", "text", "title", "number")
+    details = page_lines.issue_details(_issue_pages(spark, sf), "id", "text", "title", "number", told=("credits",))
     return page_lines.page_credits(details).withColumnRenamed("ref", "id")
 
 

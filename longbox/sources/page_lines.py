@@ -30,12 +30,15 @@ ITEM_STOP_LINES = ("join dc universe infinite", "find a comic shop near you", "t
 ITEM_SKIP_LINES = ("", "sign up", "log in", "search", "comics", "characters", "movies tv", "games", "news", "video", "shop", "community", "more")
 _ISSUE = r"(?i)([A-Z0-9][^\n\r]{1,220}?)\s*\((\d{4})\)\s*#([A-Z0-9][A-Z0-9./-]*)"
 _LINE_END = r"\r\n|[\n\r\u000B\u000C\u001C-\u001E\u0085  ]"
+#: White space that ends no line.
+_H = r"\t\u00A0\u1680\u2000-\u200A\u202F\u205F\u3000"
+_WIDE = rf"[ {_H}](?:[ {_H}]+|(?<! ))"
 _DATE = r"([A-Za-z]+)\s+(\d{1,2}),\s+(\d{4})"
 
 
 def lines_of(text: Column) -> Column:
     """Array of the non-blank lines, white space squeezed."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), _LINE_END), lambda v: squeezed(v)), lambda v: v != "")
+    return F.filter(F.transform(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), _WIDE, " "), _LINE_END), lambda v: F.trim(v)), lambda v: v != "")
 
 
 def people_line(c: Column) -> Column:
@@ -57,7 +60,7 @@ def written_date(c: Column) -> Column:
 
 
 def _label(c: Column) -> Column:
-    return F.upper(F.trim(F.regexp_replace(F.trim(c), r"^:+|:+$", "")))
+    return F.upper(F.trim(F.btrim(F.trim(c), F.lit(":"))))
 
 
 def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -86,8 +89,8 @@ def _with_next(rows: Column) -> Column:
     return F.zip_with(rows, F.slice(rows, 2, F.size(rows)), lambda a, b: F.struct(a["at"].alias("at"), a["label"].alias("label"), a["value"].alias("value"), b["at"].alias("next_at"), F.when(b["label"] == "", b["line"]).alias("next_line")))
 
 
-def issue_details(pages: DataFrame, ref: str, text: str, title: str, number: str, published: str | None = None, marked: str | None = None) -> DataFrame:
-    """``ref, title_at, end_at, published_date, description, credits`` of pages that show one issue each.
+def issue_details(pages: DataFrame, ref: str, text: str, title: str, number: str, published: str | None = None, marked: str | None = None, told: tuple[str, ...] = ("title_at", "end_at", "published_date", "description", "credits")) -> DataFrame:
+    """``ref, title_at, end_at, published_date, description, credits`` of pages that show one issue each, or those of them in ``told``.
 
     Details stand between the line of the issue (``title (year) #number``; else the first that holds the title; else the
     first line) and the first stop line (else the page's end).  A label's value is what follows its colon, else the next line that
@@ -102,9 +105,11 @@ def issue_details(pages: DataFrame, ref: str, text: str, title: str, number: str
     def described(line: Column, at: Column) -> Column:
         def fields(v: Column) -> Column:
             whole, label = v["whole"], v["label"]
-            stop = whole.isin(*STOP_LINES) | whole.rlike("^(" + "|".join(STOP_LINES) + ") ")
-            skip = whole.isin(*SKIP_LINES, *STOP_LINES, *CREDIT_LABELS) | (v["number"] != "") | v["line"].rlike("^https?://")
-            known = F.when(label == "PUBLISHED", label).otherwise(F.coalesce(F.try_element_at(roles, label), F.lit("")))
+            stop = whole.isin(*STOP_LINES)
+            for words in STOP_LINES:
+                stop = stop | F.startswith(whole, F.lit(f"{words} "))
+            skip = whole.isin(*SKIP_LINES, *STOP_LINES, *CREDIT_LABELS) | (v["number"] != "") | F.startswith(v["line"], F.lit("http://")) | F.startswith(v["line"], F.lit("https://"))
+            known = F.when(label == "PUBLISHED", label).when(label.isin(*CREDIT_LABELS), F.try_element_at(roles, label)).otherwise("")
             return F.struct(v["at"].alias("at"), v["line"].alias("line"), known.alias("label"), v["value"].alias("value"), stop.alias("stop"), skip.alias("skip"), v["number"].alias("number"))
 
         colon = F.instr(line, ":")
@@ -126,29 +131,46 @@ def issue_details(pages: DataFrame, ref: str, text: str, title: str, number: str
         return {"counting": F.filter(v["inner"], lambda r: (r["label"] != "") | ~r["skip"])}
 
     def used(r: Column) -> Column:
-        day, inline, people = written_date(r["value"]), r["value"] != "", F.coalesce(people_line(r["next_line"]), F.lit(False))
-        names = F.when(inline, r["value"]).when(people, r["next_line"]).otherwise("")
-        below = F.when(r["label"] == "PUBLISHED", day.isNull()).otherwise(~inline & people)
-        last = F.when(below & r["next_line"].isNotNull(), r["next_at"]).otherwise(r["at"])
-        return F.struct(r["label"].alias("label"), F.coalesce(day, written_date(r["next_line"])).alias("day"), names.alias("names"), last.alias("last"))
+        # Dates are read of "Published" alone, people of the other labels alone, each once.
+        dated, inline = r["label"] == "PUBLISHED", r["value"] != ""
+        day = F.when(dated, written_date(r["value"]))
+        people = F.when(dated | inline, F.lit(False)).otherwise(F.coalesce(people_line(r["next_line"]), F.lit(False)))
+
+        def taken(v: Column) -> Column:
+            names = F.when(inline, r["value"]).when(v["people"], r["next_line"]).otherwise("")
+            below = F.when(dated, v["day"].isNull()).otherwise(v["people"])
+            last = F.when(below & r["next_line"].isNotNull(), r["next_at"]).otherwise(r["at"])
+            return F.struct(r["label"].alias("label"), F.coalesce(v["day"], F.when(dated, written_date(r["next_line"]))).alias("day"), names.alias("names"), last.alias("last"))
+
+        return _bound(F.struct(day.alias("day"), people.alias("people")), taken)
 
     def labels(v: Column) -> dict[str, Column]:
         return {"used": F.transform(F.filter(_with_next(v["counting"]), lambda r: r["label"] != ""), used)}
 
+    def left(v: Column) -> dict[str, Column]:
+        return {"last": F.greatest(v["title_at"], F.coalesce(F.array_max(F.transform(v["used"], lambda u: u["last"])), F.lit(0)))}
+
     def credited(v: Column) -> dict[str, Column]:
         plain = F.flatten(F.transform(F.filter(v["used"], lambda u: u["label"] != "PUBLISHED"), lambda u: F.transform(split_names(u["names"]), lambda w: F.struct(u["label"].alias("role"), w.alias("name")))))
-        last = F.greatest(v["title_at"], F.coalesce(F.array_max(F.transform(v["used"], lambda u: u["last"])), F.lit(0)))
-        return {"last": last, "plain": plain, "taken": F.transform(v["marked"], lambda m: folded(m["role"]))}
+        return {"plain": plain, "taken": F.transform(v["marked"], lambda m: folded(m["role"]))}
 
     def joined(v: Column) -> dict[str, Column]:
         return {"all": F.concat(v["marked"], F.filter(v["plain"], lambda p: ~F.array_contains(v["taken"], folded(p["role"]))))}
 
+    def description(v: Column) -> Column:
+        lines = F.transform(F.filter(v["inner"], lambda r: (r["at"] > v["last"]) & (r["label"] == "") & ~r["skip"]), lambda r: r["line"])
+        return F.trim(F.regexp_replace(F.array_join(lines, " "), r"(?i)\b(Read\s+More|See\s+Variant\s+Covers|Digital\s+Issue)\b.*$", ""))
+
+    results = {
+        "title_at": lambda v: v["title_at"],
+        "end_at": lambda v: v["end_at"],
+        "published_date": lambda v: F.coalesce(F.try_element_at(F.filter(v["used"], lambda u: u["label"] == "PUBLISHED"), F.lit(-1))["day"], v["stored"]),
+        "description": description,
+        "credits": lambda v: F.filter(v["all"], lambda m, i: F.array_position(v["keys"], key(m)) == i + 1),
+    }
+
     def result(v: Column) -> Column:
-        told = F.transform(F.filter(v["inner"], lambda r: (r["at"] > v["last"]) & (r["label"] == "") & ~r["skip"]), lambda r: r["line"])
-        description = F.trim(F.regexp_replace(F.array_join(told, " "), r"(?i)\b(Read\s+More|See\s+Variant\s+Covers|Digital\s+Issue)\b.*$", ""))
-        day = F.try_element_at(F.filter(v["used"], lambda u: u["label"] == "PUBLISHED"), F.lit(-1))["day"]
-        credits = F.filter(v["all"], lambda m, i: F.array_position(v["keys"], key(m)) == i + 1)
-        return F.struct(v["title_at"].alias("title_at"), v["end_at"].alias("end_at"), F.coalesce(day, v["stored"]).alias("published_date"), description.alias("description"), credits.alias("credits"))
+        return F.struct(*[results[f](v).alias(f) for f in told])
 
     first = {
         "t": title_key(F.col(title)),
@@ -157,7 +179,11 @@ def issue_details(pages: DataFrame, ref: str, text: str, title: str, number: str
         "marked": none if marked is None else F.coalesce(F.col(marked), none),
         "rows": F.transform(lines_of(F.col(text)), described),
     }
-    steps = [begun, ended, inside, counting, labels, credited, joined, lambda v: {"keys": F.transform(v["all"], key)}]
+    steps = [begun, ended, inside, counting, labels]
+    if "description" in told:
+        steps.append(left)
+    if "credits" in told:
+        steps += [credited, joined, lambda v: {"keys": F.transform(v["all"], key)}]
     return pages.select(F.col(ref).alias("ref"), _steps(first, steps, result).alias("d")).select("ref", "d.*")
 
 

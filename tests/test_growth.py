@@ -63,3 +63,16 @@ def test_streaks_build_no_table_of_runs(spark):
     assert {tuple(r) for r in got.collect()} == {("a", 3), ("b", 2)}
     text = executed(got)
     assert text[: text.index("Window")].count("HashAggregate") == 2  # of groups alone
+
+
+def plan_size(df) -> int:
+    return len(df._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_only_what_is_asked_of_a_page_is_read(spark):
+    text = "Saga (2020) #7\nPublished: May 1, 2020\nWriter: Ann, Bob\nInker:\nCy\nLast  \twords."
+    rows = spark.createDataFrame([(1, text)], "id long, t string").withColumns({"title": F.lit("Saga"), "n": F.lit("7")})
+    whole = page_lines.issue_details(rows, "id", "t", "title", "n")
+    told = page_lines.issue_details(rows, "id", "t", "title", "n", told=("title_at", "description"))
+    assert told.columns == ["ref", "title_at", "description"] and plan_size(told) < plan_size(whole)
+    assert told.collect() == whole.select("ref", "title_at", "description").collect() and told.first().description == "Last words."
