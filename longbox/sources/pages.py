@@ -12,6 +12,9 @@ KINDS = ("issue", "series", "collection")
 ROLE_ALIASES = {"writers": "Writer", "written by": "Writer", "artists": "Artist", "art by": "Artist", "pencilers": "Penciller", "penciler": "Penciller", "pencillers": "Penciller", "inkers": "Inker", "colorists": "Colorist", "colourist": "Colorist", "colourists": "Colorist", "letterers": "Letterer", "cover by": "Cover Artist", "cover": "Cover Artist", "cover artists": "Cover Artist", "editors": "Editor"}
 ROLE_ORDER = ("Writer", "Artist", "Penciller", "Inker", "Colorist", "Letterer", "Cover Artist", "Editor")
 
+#: White space within a line.
+_WIDE = r"(?U)[\s&&[^\n]]+"
+
 
 def link_fields(href: Column) -> Column:
     """Struct ``kind, id, slug, title, year, number`` of a link to an issue, series or collection; null for any other."""
@@ -57,18 +60,25 @@ def role_order(c: Column) -> Column:
 
 def labelled_lines(pages: DataFrame, ref: str, text: str) -> DataFrame:
     """``ref, position, label, value``: lines of the form ``Label: value``; a line that ends in a colon takes the next one."""
-    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), lambda x: squeezed(x)), lambda x: x != "")
-    rows = pages.select(F.col(ref).alias("ref"), lines.alias("lines")).select("ref", "lines", F.posexplode("lines").alias("position", "line"))
-    label = F.regexp_extract("line", r"^([A-Za-z][A-Za-z /-]{1,30}):\s*(.*)$", 1)
-    value = F.regexp_extract("line", r"^([A-Za-z][A-Za-z /-]{1,30}):\s*(.*)$", 2)
-    value = F.when(value == "", F.coalesce(F.get("lines", F.col("position") + 1), F.lit(""))).otherwise(value)
-    return rows.select("ref", "position", label.alias("label"), value.alias("value")).where("label <> '' and value <> ''")
+    lines = F.filter(F.transform(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), _WIDE, " "), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    # Each line goes with the next one, and what has no label is left out before lines become rows: a condition on rows would read labels again.
+    pairs = F.transform(F.arrays_zip(lines.alias("line"), F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))).alias("next")), lambda x, i: F.struct(i.alias("position"), x["line"].alias("line"), x["next"].alias("next")))
+
+    def read(x: Column) -> Column:
+        own = F.ltrim(F.substr(x["line"], F.instr(x["line"], ":") + 1))
+        return F.struct(x["position"].alias("position"), F.substring_index(x["line"], ":", 1).alias("label"), F.when(own == "", F.coalesce(x["next"], F.lit(""))).otherwise(own).alias("value"))
+
+    known = F.transform(F.filter(pairs, lambda x: F.contains(x["line"], F.lit(":")) & F.rlike(x["line"], F.lit(r"^[A-Za-z][A-Za-z /-]{1,30}:"))), read)
+    rows = pages.select(F.col(ref).alias("ref"), F.explode(F.filter(known, lambda x: x["value"] != "")).alias("x"))
+    return rows.select("ref", "x.position", "x.label", "x.value")
 
 
 def credits_of(lines: DataFrame) -> DataFrame:
     """``ref, role, name, nth``: names of the lines whose label is a known role; a person once in a role, case aside."""
-    known = [*ROLE_ALIASES, *(r.lower() for r in ROLE_ORDER)]
-    rows = lines.where(F.lower("label").isin(known)).select("ref", "position", role_name(F.col("label")).alias("role"), F.posexplode(split_names(F.col("value"))).alias("nth", "name"))
+    # Labels in the map are those that ``role_name`` leaves as they are, case aside.
+    known = {**{r.lower(): r for r in ROLE_ORDER}, **ROLE_ALIASES}
+    roles = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    rows = lines.where(F.lower("label").isin(list(known))).select("ref", "position", F.try_element_at(roles, F.lower("label")).alias("role"), F.posexplode(split_names(F.col("value"))).alias("nth", "name"))
     first = rows.groupBy("ref", "role", folded(F.col("name")).alias("_k")).agg(F.min(F.struct("position", "nth", "name")).alias("f"))
     order = Window.partitionBy("ref", "role").orderBy("f.position", "f.nth")
     return first.select("ref", "role", F.col("f.name").alias("name"), F.row_number().over(order).alias("nth"))

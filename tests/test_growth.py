@@ -76,3 +76,12 @@ def test_only_what_is_asked_of_a_page_is_read(spark):
     told = page_lines.issue_details(rows, "id", "t", "title", "n", told=("title_at", "description"))
     assert told.columns == ["ref", "title_at", "description"] and plan_size(told) < plan_size(whole)
     assert told.collect() == whole.select("ref", "title_at", "description").collect() and told.first().description == "Last words."
+
+
+def test_labels_are_read_once(spark):
+    rows = spark.createDataFrame([(1, "Written by: Ann & ann\r\nCover: \n  Bob \tLee\nInker:\n\nx\nno label:  Cy"), (2, None)], "id long, t string")
+    lines = pages.labelled_lines(rows, "id", "t")
+    assert lines._jdf.queryExecution().optimizedPlan().toString().count("A-Za-z /-") == 1
+    assert [tuple(r)[1:] for r in lines.orderBy("position").collect()] == [(0, "Written by", "Ann & ann"), (1, "Cover", "Bob Lee"), (3, "Inker", "x"), (5, "no label", "Cy")]
+    got = {tuple(r) for r in pages.credits_of(lines).select("role", "name").collect()}
+    assert got == {("Writer", "Ann"), ("Cover Artist", "Bob Lee"), ("Inker", "x")}
