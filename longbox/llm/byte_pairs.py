@@ -1,29 +1,35 @@
 """Token ids of whole texts by the tokenizers library, with ids kept by chunk.
 
 The byte-level pattern never joins a space, or a line's end, and the non-space after it to what stands before, nor a
-letter or digit to a full stop or comma after it.  A text may be cut there without changing an id.  The library
-encodes a chunk once, then it is looked up; the store is emptied when it outgrows its bytes, so that a worker's memory
-stays bounded.  Texts with white space of any other shape, or with the string of an added token, go to the library whole.
+letter or digit to a full stop or comma after it.  A text may be cut there without changing an id.  Texts of a batch are
+cut, and their chunks numbered, as whole arrays.  The library encodes chunks that are new many at a time, with line's
+ends between, then they are looked up; the store is emptied when it outgrows its bytes, so that a worker's memory stays
+bounded.  Texts with white space of any other shape, or with the string of an added token, go to the library whole.
 """
 
 from __future__ import annotations
 
-import re
 import struct
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import Split
 
 from longbox.llm.shared import STORE_BYTES, Store
 
+#: Rows of a slice of texts, whose bytes are bounded as well: the store is indexed once a slice.
+ENCODE_ROWS = 1500
+#: New chunks that the library is given at a time.
+LEARN_CHUNKS = 256
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: White space other than single spaces and line ends between non-spaces; U+0001 marks cuts.
 _ODD_SPACE = r"[ \n][ \n]|^[ \n]|[ \n]$|[\x{01}\t\r\x{0b}\x{0c}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: A stop or comma that does not follow a letter or digit: such a text is cut at spaces and line ends alone.
 _ODD_STOP = rf"(^|[^{_LETTER}0-9])[.,]"
-_WORD = re.compile(rf"[{_LETTER}]+")
+_WORD = rf"^\n?[{_LETTER}]+$"
 
 
 def _bytes(ids: list[int]) -> bytes:
@@ -41,52 +47,94 @@ def _byte_letters() -> list[str]:
 class ChunkEncoder:
     """Encodes texts as ``Tokenizer.encode(text, add_special_tokens=False)`` does; ids are little-endian uint32 bytes."""
 
-    def __init__(self, path: str, most_bytes: int = STORE_BYTES):
+    def __init__(self, path: str, most_bytes: int = STORE_BYTES // 2):
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        letters = _byte_letters()
+        # The pattern leaves a word of letters, with its space if any, whole: the model may see it at once.
+        self.words = Tokenizer(self.tokenizer.model)
+        self.words.pre_tokenizer = Split(letters[ord("\n")], "isolated")
+        self.letters = dict(enumerate(letters))
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.line_end = _bytes(self.tokenizer.encode("\n", add_special_tokens=False).ids)
+        (self.line_end,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.store = Store(most_bytes)
 
     def _library(self, text: str) -> bytes:
         return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _word(self, word: str) -> bytes:
-        """Ids of one word of letters, with its space if any: the pattern leaves it whole, so the model sees it at once."""
-        letters = _byte_letters()
-        return _bytes([t.id for t in self.model.tokenize("".join([letters[b] for b in word.encode()]))])
-
-    def _learn(self, chunk: str) -> bytes:
-        """Ids of a chunk: one that starts with U+0001 stands without a space, one with a line's end as it is."""
-        if chunk[:1] == "\x01":
-            return self._library(chunk[1:])
-        if chunk[:1] == "\n":
-            return self.line_end + (self._word(chunk[1:]) if _WORD.fullmatch(chunk, 1) else self._library(chunk[1:]))
-        return self._word(" " + chunk) if _WORD.fullmatch(chunk) else self._library(" " + chunk)
+    def _learn(self, chunks: pa.Array, words: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks, one chunk after another, and the number of each chunk's.
+
+        A chunk that starts with U+0001 stands without a space, one with a line's end as it is.
+        """
+        ids, coder = [], self.words if words else self.tokenizer
+        for start in range(0, len(chunks), LEARN_CHUNKS):
+            some = chunks.slice(start, LEARN_CHUNKS).to_pylist()
+            text = ("\n " + "\n ".join(some)).replace("\n \x01", "\n").replace("\n \n", "\n")
+            if words:
+                text = text.encode().decode("latin-1").translate(self.letters)
+            ids += coder.encode(text, add_special_tokens=False).ids
+        found = np.array(ids, np.uint32)
+        is_end = found == self.line_end
+        ends = np.flatnonzero(is_end)
+        if len(ends) != len(chunks):
+            raise ValueError("the vocabulary's pattern does not leave line's ends alone")
+        line = pc.starts_with(chunks, "\n").to_numpy(zero_copy_only=False)
+        is_end[ends[line]] = False  # their own line's end is theirs
+        return found[~is_end], np.diff(ends, append=len(found)) - 1 + line
+
+    def _known(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the store, and where those of each chunk start in them, and their number; new chunks are learned."""
+        none = pa.array([], chunks.type), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        stored, ids, counts = self.store.open().get("chunks", none)
+        place = pc.index_in(chunks, value_set=stored)
+        is_new = place.is_null().to_numpy(zero_copy_only=False)
+        place = place.fill_null(0).to_numpy().astype(np.int64)
+        if is_new.any():
+            is_word = is_new & pc.match_substring_regex(chunks, _WORD).to_numpy(zero_copy_only=False)
+            for words, rows in ((True, np.flatnonzero(is_word)), (False, np.flatnonzero(is_new & ~is_word))):
+                if len(rows):
+                    part = chunks.take(pa.array(rows))
+                    place[rows] = np.arange(len(stored), len(stored) + len(rows))
+                    more_ids, more_counts = self._learn(part, words)
+                    stored, ids, counts = pa.concat_arrays([stored, part]), np.concatenate([ids, more_ids]), np.concatenate([counts, more_counts])
+            self.store.clear()
+            self.store.keep("chunks", (stored, ids, counts), stored.nbytes + ids.nbytes + counts.nbytes)
+        return ids, (np.cumsum(counts) - counts)[place], counts[place]
+
+    def _encode_cut(self, texts: pa.Array) -> list[bytes]:
+        """Ids of texts that may be cut."""
+        # A line's end before the text lets its first chunk count as a line's first; that token is left out again.
+        start, between = pa.scalar("\n", texts.type), pa.scalar("", texts.type)
+        cut = pc.binary_join_element_wise(start, pc.replace_substring(texts, "\n", " \n"), between)
+        stops = pc.replace_substring(pc.replace_substring(cut, ".", " \x01."), ",", " \x01,")
+        chunks = pc.split_pattern(pc.if_else(pc.match_substring_regex(texts, _ODD_STOP), cut, stops), " ")
+        edges = chunks.offsets.to_numpy()
+        coded = chunks.flatten().dictionary_encode()
+        ids, starts, counts = self._known(coded.dictionary)
+        nth = coded.indices.to_numpy()
+        starts, counts = starts[nth], counts[nth]
+        starts[edges[:-1]] += 1
+        counts[edges[:-1]] -= 1
+        ends = np.cumsum(counts)
+        at = np.repeat(starts - ends + counts, counts)
+        at += np.arange(len(at))
+        found, stops = memoryview(ids[at].astype("<u4", copy=False)).cast("B"), ends[edges[1:] - 1] * 4
+        return [bytes(found[a:b]) for a, b in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)]
 
     def encode_bytes(self, column: pa.Array) -> list[bytes]:
         """Ids of each text, as bytes of little-endian uint32.  Null and empty texts give none."""
-        odd_space = pc.match_substring_regex(column, _ODD_SPACE).to_pylist()
-        odd_stop = pc.match_substring_regex(column, _ODD_STOP).to_pylist()
-        out, known, skip = [], self.store.open(), len(self.line_end)
-        for text, whole, spaced in zip(column.to_pylist(), odd_space, odd_stop, strict=True):
-            if not text:
-                out.append(b"")
-                continue
-            if whole or any(s in text for s in self.specials):
-                out.append(self._library(text))
-                continue
-            # A line's end before the text lets its first chunk count as a line's first; that token is left out again.
-            cut = "\n" + text.replace("\n", " \n")
-            chunks = (cut if spaced else cut.replace(".", " \x01.").replace(",", " \x01,")).split(" ")
-            found = list(map(known.get, chunks))
-            if None in found:
-                for k, x in enumerate(chunks):
-                    if found[k] is None:
-                        ids = known.get(x) or self._learn(x)
-                        found[k] = self.store.keep(x, ids, len(x) + len(ids))
-                self.store.open()
-            out.append(b"".join(found)[skip:])
+        texts = pc.fill_null(column.cast(pa.large_string()), "")
+        whole = pc.match_substring_regex(texts, _ODD_SPACE)
+        for special in self.specials:
+            whole = pc.or_(whole, pc.match_substring(texts, special))
+        cut = pc.and_not(pc.not_equal(texts, ""), whole)
+        out = [b""] * len(texts)
+        for k in np.flatnonzero(whole).tolist():
+            out[k] = self._library(texts[k].as_py())
+        rows = np.flatnonzero(cut).tolist()
+        if rows:
+            for k, ids in zip(rows, self._encode_cut(texts.filter(cut)), strict=True):
+                out[k] = ids
         return out
 
 

@@ -85,9 +85,9 @@ class Store:
         self.bytes = 0
 
 
-def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of at most ``TEXT_BATCH_ROWS`` rows, and of fewer where rows are long."""
-    per = max(1, min(TEXT_BATCH_ROWS, batch.num_rows * BATCH_BYTES // max(1, batch.nbytes)))
+def slices(batch: pa.RecordBatch, rows: int = TEXT_BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most ``rows`` rows, and of fewer where rows are long."""
+    per = max(1, min(rows, batch.num_rows * BATCH_BYTES // max(1, batch.nbytes)))
     for start in range(0, batch.num_rows, per):
         yield batch.slice(start, per)
 
@@ -103,12 +103,12 @@ def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(bounded, schema)
 
 
-def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: Any) -> DataFrame:
+def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: Any, rows: int = TEXT_BATCH_ROWS) -> DataFrame:
     """Apply ``function`` to each slice of the Arrow batches; a batch stays on the machine where Spark put its rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, rows):
                 if (out := function(part)) is not None:
                     yield out
 

@@ -119,6 +119,41 @@ def test_chunks_equal_the_library():
         assert np.frombuffer(got, "<u4").tolist() == (library.encode(text, add_special_tokens=False).ids if text else [])
 
 
+class Counted:
+    """Passes on what is asked of a tokenizer, or of its model, and counts the calls."""
+
+    def __init__(self, real, calls):
+        self.real, self.calls = real, calls
+
+    def __getattr__(self, name):
+        self.calls.append(name)
+        return getattr(self.real, name)
+
+
+def test_new_words_go_to_the_library_many_at_a_time():
+    coder, library = ChunkEncoder(tokenizer_path(BYTES)), Tokenizer.from_file(tokenizer_path(BYTES))
+    rnd = random.Random(6)
+    words = ["".join(rnd.choice("abcdeéñ") for _ in range(rnd.randint(3, 9))) + rnd.choice(["", "", "", "7", "!?", ".", ",", "'s"]) for _ in range(6000)]
+    texts = [" ".join(words[k : k + 60]).replace(" ", "\n", k % 7) for k in range(0, 6000, 60)]
+    calls: list[str] = []
+    for name, value in list(vars(coder).items()):
+        if type(value).__module__.startswith("tokenizers"):
+            setattr(coder, name, Counted(value, calls))
+    for _ in range(2):  # from the library, then from the store
+        got = coder.encode_bytes(pa.array(texts))
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(calls) < 200  # a call a word: some 6000
+
+
+def test_any_shape_of_column():
+    coder, library = ChunkEncoder(tokenizer_path(BYTES), most_bytes=2000), Tokenizer.from_file(tokenizer_path(BYTES))
+    texts = [None, "", "a b.", "\x01", "..", "x\ny", "\n", " a", "b <|endoftext|>", "c,d .e", "a\n.b 's", "ab\u0300c 日本 😀.", "x" * 3000, "1,2.3\n4"]
+    whole = pa.array(texts * 3, pa.large_string())
+    for column in (whole, whole.slice(3, 20), pa.array(texts, pa.string()).slice(2, 5), pa.array([], pa.string()), pa.array([None, ""], pa.string()), pa.array(["\t", " "])):
+        expected = [library.encode(t, add_special_tokens=False).ids if t else [] for t in column.to_pylist()]
+        assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode_bytes(column)] == expected
+
+
 def test_words_round_trip_and_escape():
     rnd = random.Random(4)
     for _ in range(200):
