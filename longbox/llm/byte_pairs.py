@@ -16,12 +16,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
-from tokenizers.pre_tokenizers import Split
+from tokenizers.pre_tokenizers import CharDelimiterSplit
 
 from longbox.llm.shared import STORE_BYTES, Store
 
 #: Rows of a slice of texts, whose bytes are bounded as well: the store is indexed once a slice.
-ENCODE_ROWS = 1500
+ENCODE_ROWS = 2500
 #: New chunks that the library is given at a time.
 LEARN_CHUNKS = 256
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
@@ -44,6 +44,15 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in kept else chr(next(rest)) for b in range(256)]
 
 
+def _runs(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """``values[s : s + c]`` for each start and count, one run after another."""
+    ends = np.cumsum(counts)
+    kind = np.int32 if len(values) + int(counts.sum()) < 1 << 31 else np.int64
+    at = np.repeat((starts - ends + counts).astype(kind), counts)
+    at += np.arange(len(at), dtype=kind)
+    return values[at]
+
+
 class ChunkEncoder:
     """Encodes texts as ``Tokenizer.encode(text, add_special_tokens=False)`` does; ids are little-endian uint32 bytes."""
 
@@ -52,7 +61,7 @@ class ChunkEncoder:
         letters = _byte_letters()
         # The pattern leaves a word of letters, with its space if any, whole: the model may see it at once.
         self.words = Tokenizer(self.tokenizer.model)
-        self.words.pre_tokenizer = Split(letters[ord("\n")], "isolated")
+        self.words.pre_tokenizer = CharDelimiterSplit(letters[ord("\n")])
         self.letters = dict(enumerate(letters))
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         (self.line_end,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
@@ -66,35 +75,49 @@ class ChunkEncoder:
 
         A chunk that starts with U+0001 stands without a space, one with a line's end as it is.
         """
-        ids, coder = [], self.words if words else self.tokenizer
+        ids, sizes = [], []
         for start in range(0, len(chunks), LEARN_CHUNKS):
             some = chunks.slice(start, LEARN_CHUNKS).to_pylist()
             text = ("\n " + "\n ".join(some)).replace("\n \x01", "\n").replace("\n \n", "\n")
             if words:
-                text = text.encode().decode("latin-1").translate(self.letters)
-            ids += coder.encode(text, add_special_tokens=False).ids
+                coded = self.words.encode(text[1:].encode().decode("latin-1").translate(self.letters), add_special_tokens=False)
+                sizes.append(np.bincount(coded.word_ids, minlength=len(some)))
+            else:
+                coded = self.tokenizer.encode(text, add_special_tokens=False)
+            ids += coded.ids
         found = np.array(ids, np.uint32)
-        is_end = found == self.line_end
-        ends = np.flatnonzero(is_end)
-        if len(ends) != len(chunks):
+        if words:
+            counts = np.concatenate(sizes)
+        else:
+            is_end = found == self.line_end
+            counts = np.diff(np.flatnonzero(is_end), append=len(found)) - 1
+            found = found[~is_end]
+        if len(counts) != len(chunks):
             raise ValueError("the vocabulary's pattern does not leave line's ends alone")
         line = pc.starts_with(chunks, "\n").to_numpy(zero_copy_only=False)
-        is_end[ends[line]] = False  # their own line's end is theirs
-        return found[~is_end], np.diff(ends, append=len(found)) - 1 + line
+        return np.insert(found, (np.cumsum(counts) - counts)[line], self.line_end), counts + line
 
     def _known(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of the store, and where those of each chunk start in them, and their number; new chunks are learned."""
+        """Ids of the store, and where those of each chunk start in them, and their number; new chunks are learned.
+
+        Of a store that outgrew its bytes, what was met again in these chunks stays.
+        """
         none = pa.array([], chunks.type), np.zeros(0, np.uint32), np.zeros(0, np.int64)
         stored, ids, counts = self.store.open().get("chunks", none)
         place = pc.index_in(chunks, value_set=stored)
-        is_new = place.is_null().to_numpy(zero_copy_only=False)
+        rows = np.flatnonzero(place.is_null().to_numpy(zero_copy_only=False))
         place = place.fill_null(0).to_numpy().astype(np.int64)
-        if is_new.any():
-            is_word = is_new & pc.match_substring_regex(chunks, _WORD).to_numpy(zero_copy_only=False)
-            for words, rows in ((True, np.flatnonzero(is_word)), (False, np.flatnonzero(is_new & ~is_word))):
-                if len(rows):
-                    part = chunks.take(pa.array(rows))
-                    place[rows] = np.arange(len(stored), len(stored) + len(rows))
+        if len(rows):
+            if self.store.bytes > self.store.most_bytes // 2:
+                kept = np.delete(place, rows)
+                starts, counts = (np.cumsum(counts) - counts)[kept], counts[kept]
+                stored, ids = stored.take(pa.array(kept)), _runs(ids, starts, counts)
+                place[np.delete(np.arange(len(place)), rows)] = np.arange(len(kept))
+            is_word = pc.match_substring_regex(chunks.take(pa.array(rows)), _WORD).to_numpy(zero_copy_only=False)
+            for some, words in ((rows[is_word], True), (rows[~is_word], False)):
+                if len(some):
+                    part = chunks.take(pa.array(some))
+                    place[some] = np.arange(len(stored), len(stored) + len(some))
                     more_ids, more_counts = self._learn(part, words)
                     stored, ids, counts = pa.concat_arrays([stored, part]), np.concatenate([ids, more_ids]), np.concatenate([counts, more_counts])
             self.store.clear()
@@ -115,10 +138,7 @@ class ChunkEncoder:
         starts, counts = starts[nth], counts[nth]
         starts[edges[:-1]] += 1
         counts[edges[:-1]] -= 1
-        ends = np.cumsum(counts)
-        at = np.repeat(starts - ends + counts, counts)
-        at += np.arange(len(at))
-        found, stops = memoryview(ids[at].astype("<u4", copy=False)).cast("B"), ends[edges[1:] - 1] * 4
+        found, stops = memoryview(_runs(ids, starts, counts).astype("<u4", copy=False)).cast("B"), np.cumsum(counts)[edges[1:] - 1] * 4
         return [bytes(found[a:b]) for a, b in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)]
 
     def encode_bytes(self, column: pa.Array) -> list[bytes]:

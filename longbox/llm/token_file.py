@@ -28,6 +28,7 @@ from longbox.llm.shared import in_arrow, map_batches, new_path, slices
 #: Ids in a word, bits of each; the place in the list is the selector.
 LAYOUTS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20))
 ESCAPE = (1 << 20) - 1
+JUMPS = 6
 #: Ids after which a block is closed.
 BLOCK_IDS = 1 << 16
 BLOCKS = "part int, seq int, start long, doc_ids array<long>, counts array<int>, n_ids long, words binary, escape_at array<int>, escape_ids array<long>"
@@ -45,7 +46,8 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words (uint64), and places and values of escaped ids.
 
     The next word's selector is the one that holds most ids.  For every place the longest run of ids that fit a
-    width is found at once, so the loop that is left takes one step a word.
+    width is found at once, and so is the place ``1 << JUMPS`` words on; the loop that is left takes such steps, and
+    the words between are filled in.
     """
     ids = np.asarray(ids, np.uint64)
     escape_at = np.flatnonzero(ids >= ESCAPE)
@@ -64,12 +66,18 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     selector = np.full(n, len(LAYOUTS) - 1, np.uint8)
     for s in range(len(LAYOUTS) - 2, -1, -1):
         np.putmask(selector, most[LAYOUTS[s][0]][:n] <= s, np.uint8(s))
-    step = np.array([c for c, _ in LAYOUTS], np.int64)[selector].tolist()
-    starts, i = [], 0
+    step = np.minimum(np.arange(n) + np.array([c for c, _ in LAYOUTS], np.int64)[selector], n)
+    jumps = [np.append(step, n)]
+    for _ in range(JUMPS):
+        jumps.append(jumps[-1][jumps[-1]])
+    far, starts, i = jumps.pop(), [], 0
     while i < n:
         starts.append(i)
-        i += step[i]
+        i = int(far[i])
     at = np.array(starts, np.int64)
+    for jump in reversed(jumps):
+        at = np.stack([at, jump[at]], axis=1).ravel()
+    at = at[at < n]
     chosen = selector[at]
     words = chosen.astype(np.uint64) << np.uint64(60)
     padded = np.concatenate([ids, np.zeros(60, np.uint64)])
