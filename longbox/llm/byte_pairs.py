@@ -20,8 +20,9 @@ from tokenizers.pre_tokenizers import CharDelimiterSplit
 
 from longbox.llm.shared import STORE_BYTES, Store
 
-#: Rows of a slice of texts, whose bytes are bounded as well: the store is indexed once a slice.
+#: Rows and bytes of a slice of texts.  The store is indexed once a slice; arrays and lists take many times a slice's bytes.
 ENCODE_ROWS = 2500
+ENCODE_BYTES = 2 << 20
 #: New chunks that the library is given at a time.
 LEARN_CHUNKS = 256
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
@@ -56,7 +57,7 @@ def _runs(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndar
 class ChunkEncoder:
     """Encodes texts as ``Tokenizer.encode(text, add_special_tokens=False)`` does; ids are little-endian uint32 bytes."""
 
-    def __init__(self, path: str, most_bytes: int = STORE_BYTES // 2):
+    def __init__(self, path: str, most_bytes: int = STORE_BYTES // 4):
         self.tokenizer = Tokenizer.from_file(path)
         letters = _byte_letters()
         # The pattern leaves a word of letters, with its space if any, whole: the model may see it at once.
@@ -84,8 +85,8 @@ class ChunkEncoder:
                 sizes.append(np.bincount(coded.word_ids, minlength=len(some)))
             else:
                 coded = self.tokenizer.encode(text, add_special_tokens=False)
-            ids += coded.ids
-        found = np.array(ids, np.uint32)
+            ids.append(np.array(coded.ids, np.uint32))
+        found = np.concatenate(ids)
         if words:
             counts = np.concatenate(sizes)
         else:
@@ -100,19 +101,23 @@ class ChunkEncoder:
     def _known(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of the store, and where those of each chunk start in them, and their number; new chunks are learned.
 
-        Of a store that outgrew its bytes, what was met again in these chunks stays.
+        Of a store that outgrew its bytes, what was met again since it last did stays.
         """
-        none = pa.array([], chunks.type), np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        stored, ids, counts = self.store.open().get("chunks", none)
+        none = pa.array([], chunks.type), np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, bool)
+        stored, ids, counts, met = self.store.open().get("chunks", none)
         place = pc.index_in(chunks, value_set=stored)
-        rows = np.flatnonzero(place.is_null().to_numpy(zero_copy_only=False))
+        is_new = place.is_null().to_numpy(zero_copy_only=False)
+        rows = np.flatnonzero(is_new)
         place = place.fill_null(0).to_numpy().astype(np.int64)
+        met[place[~is_new]] = True
         if len(rows):
             if self.store.bytes > self.store.most_bytes // 2:
-                kept = np.delete(place, rows)
+                kept = np.flatnonzero(met)
                 starts, counts = (np.cumsum(counts) - counts)[kept], counts[kept]
                 stored, ids = stored.take(pa.array(kept)), _runs(ids, starts, counts)
-                place[np.delete(np.arange(len(place)), rows)] = np.arange(len(kept))
+                if len(kept):
+                    place = (np.cumsum(met) - 1)[place]
+                met = np.zeros(len(kept), bool)
             is_word = pc.match_substring_regex(chunks.take(pa.array(rows)), _WORD).to_numpy(zero_copy_only=False)
             for some, words in ((rows[is_word], True), (rows[~is_word], False)):
                 if len(some):
@@ -120,8 +125,9 @@ class ChunkEncoder:
                     place[some] = np.arange(len(stored), len(stored) + len(some))
                     more_ids, more_counts = self._learn(part, words)
                     stored, ids, counts = pa.concat_arrays([stored, part]), np.concatenate([ids, more_ids]), np.concatenate([counts, more_counts])
+            met = np.concatenate([met, np.zeros(len(rows), bool)])
             self.store.clear()
-            self.store.keep("chunks", (stored, ids, counts), stored.nbytes + ids.nbytes + counts.nbytes)
+            self.store.keep("chunks", (stored, ids, counts, met), stored.nbytes + ids.nbytes + counts.nbytes + met.nbytes)
         return ids, (np.cumsum(counts) - counts)[place], counts[place]
 
     def _encode_cut(self, texts: pa.Array) -> list[bytes]:

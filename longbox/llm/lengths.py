@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from longbox.llm.byte_pairs import ENCODE_ROWS, encoder
+from longbox.llm.byte_pairs import ENCODE_BYTES, ENCODE_ROWS, encoder
 from longbox.llm.shared import map_batches
 
 
@@ -22,7 +22,7 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         sizes = [len(x) // 4 for x in encoder(tokenizer).encode_bytes(batch.column(1))]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], ["doc_id", "n_tokens"])
 
-    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, n_tokens long", ENCODE_ROWS)
+    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, n_tokens long", ENCODE_ROWS, ENCODE_BYTES)
 
 
 def histogram(counts: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from longbox.llm.byte_pairs import ENCODE_ROWS, encoder
+from longbox.llm.byte_pairs import ENCODE_BYTES, ENCODE_ROWS, encoder
 from longbox.llm.shared import map_batches, stored
 
 #: Rows that one task packs together.
@@ -47,7 +47,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, limit: int = 2048, end_id: int
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, PIECES, ENCODE_ROWS)
+    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, PIECES, ENCODE_ROWS, ENCODE_BYTES)
 
 
 def best_fit(lengths: list[int], limit: int) -> list[list[int]]:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of an Arrow batch that Spark builds, and rows and bytes of the slices that functions see.  A single text may
 #: be longer than that; it then is a batch of its own.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 TEXT_BATCH_ROWS = 500
 #: Bytes that a Python worker keeps of what it looked up before.
 STORE_BYTES = 72 << 20
@@ -85,30 +85,35 @@ class Store:
         self.bytes = 0
 
 
-def slices(batch: pa.RecordBatch, rows: int = TEXT_BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, rows: int = TEXT_BATCH_ROWS, most_bytes: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of at most ``rows`` rows, and of fewer where rows are long."""
-    per = max(1, min(rows, batch.num_rows * BATCH_BYTES // max(1, batch.nbytes)))
+    per = max(1, min(rows, batch.num_rows * most_bytes // max(1, batch.nbytes)))
     for start in range(0, batch.num_rows, per):
         yield batch.slice(start, per)
 
 
 def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: Any) -> DataFrame:
-    """``df.mapInArrow(run)`` with batches that Spark bounds by bytes as well as rows; a task gives its Arrow memory back."""
+    """``df.mapInArrow(run)`` with batches that Spark bounds by bytes as well as rows; a task gives Arrow memory back as it goes on."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
+    def given(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch
+            pa.default_memory_pool().release_unused()
+
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batches)
+        yield from run(given(batches))
         pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(bounded, schema)
 
 
-def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: Any, rows: int = TEXT_BATCH_ROWS) -> DataFrame:
+def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: Any, rows: int = TEXT_BATCH_ROWS, most_bytes: int = BATCH_BYTES) -> DataFrame:
     """Apply ``function`` to each slice of the Arrow batches; a batch stays on the machine where Spark put its rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, rows):
+            for part in slices(batch, rows, most_bytes):
                 if (out := function(part)) is not None:
                     yield out
 

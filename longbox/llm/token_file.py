@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from longbox.llm.byte_pairs import ENCODE_ROWS, encoder
+from longbox.llm.byte_pairs import ENCODE_BYTES, ENCODE_ROWS, encoder
 from longbox.llm.shared import in_arrow, map_batches, new_path, slices
 
 #: Ids in a word, bits of each; the place in the list is the selector.
@@ -131,7 +131,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, parts
         part, seq, before, ids, pieces, size = TaskContext.get().partitionId(), 0, 0, [], [], 0
         tok = encoder(tokenizer)
         for whole in batches:
-            for batch in slices(whole, ENCODE_ROWS):
+            for batch in slices(whole, ENCODE_ROWS, ENCODE_BYTES):
                 found = tok.encode_bytes(batch.column(1))
                 for doc_id, piece in zip(batch.column(0).to_pylist(), found, strict=True):
                     ids.append(doc_id)

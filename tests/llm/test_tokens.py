@@ -17,6 +17,7 @@ from tokenizers import Tokenizer
 from longbox.llm import lengths, packing, piece, token_file
 from longbox.llm.byte_pairs import ChunkEncoder
 from longbox.llm.queries import tokenizer_path
+from longbox.llm.shared import slices
 
 PIECES, BYTES = "piece_bpe_32k.model", "byte_bpe_50k.json"
 ALPHABETS = ["ab  é▁\n\t😀\x00<s>日本'.,1   ", "ab é.,s't\ńñ 12 -\x01", "xyz .\n", "a\u00a0\u3000 b\r\n"]
@@ -304,3 +305,30 @@ def test_no_step_is_left_at_the_end():
         sizes = [rnd.randint(20, 70) for _ in range(rnd.randint(2, 40))]
         done = packing.local_search(packing.best_fit(sizes, 100), sizes, 100)
         assert len(done) == -(-sum(sizes) // 100) or not _raising_step(done, sizes, 100)
+
+
+@pytest.mark.parametrize("operator, query", [(packing, packing.token_pieces), (lengths, lengths.token_counts)])
+def test_texts_are_encoded_in_slices_of_few_bytes(spark, monkeypatch, operator, query):
+    """Not in slices as large as Spark's batches: a worker holds many times a slice's bytes."""
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(2000)), "text": ["word " * 800] * 2000})
+    seen = []
+    monkeypatch.setattr(operator, "map_batches", lambda _, run, schema, *bounds: seen.extend(part.nbytes for part in slices(batch, *bounds)))
+    query(spark.createDataFrame([(1, "a")], "doc_id long, text string"), tokenizer_path(BYTES))
+    assert seen and max(seen) <= 2 << 20
+
+
+def test_chunks_met_again_outlive_a_full_store():
+    """Those met in any slice since the store was last full, not in the last slice alone; ids stay the library's."""
+    tok, library = ChunkEncoder(tokenizer_path(BYTES), 20_000), Tokenizer.from_file(tokenizer_path(BYTES))
+    rnd = random.Random(3)
+    often = ["alpha beta, gamma.", "delta 17 x"]
+    texts = [often, often, *([" ".join("".join(rnd.choices("abcdefgh", k=7)) for _ in range(60))] for _ in range(20))]
+    before = 0
+    for some in texts:
+        found = tok.encode_bytes(pa.array(some))
+        assert [np.frombuffer(x, "<u4").tolist() for x in found] == [library.encode(x, add_special_tokens=False).ids for x in some]
+        stored = tok.store.known["chunks"][0].to_pylist()
+        if len(stored) < before:
+            break
+        before = len(stored)
+    assert len(stored) < before and any("alpha" in x for x in stored) and any("delta" in x for x in stored)
