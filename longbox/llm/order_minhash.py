@@ -14,9 +14,9 @@ least similarity linked, 63 (measured on the generated documents; ``tests/llm``
 
 Equal texts are one node from the start.  In a bucket of candidates, all are aligned with one leader, and links make
 components.  Buckets that then hold several components are taken together where they overlap: nodes outside the
-largest component meet all nodes in blocks of bounded words and rows.  A block counts shared words and pairs of
-neighbours for all its pairs of texts by matrix products, which bound the alignment from above, and aligns only those that can pass and are not connected yet;
-links alone leave it.  Every pair of a bucket is thus ruled out, aligned or connected, without caps, and no table of
+largest component meet all nodes in blocks of bounded words and rows.  A block finds texts that may share enough words
+by an index of rare ones, counts shared words and pairs of neighbours of those, which bound the alignment from above, and
+aligns only those that can pass and are not connected yet, many side by side; links alone leave it.  Every pair of a bucket is thus ruled out, aligned or connected, without caps, and no table of
 pairs is made.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` as they stand.  A text of fewer words than a window has is one window; null texts and texts
@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from longbox.llm.shared import Store, in_arrow, map_batches, stored
+from longbox.llm.shared import in_arrow, map_batches, stored
 
 WORDS, SIMILARITY = 5, 0.8
 #: Bands, tuples in a band, windows in a tuple.
@@ -49,15 +49,19 @@ BLOCK_WORDS = 400_000
 BLOCK_ROWS = 4_000
 #: Places of a text that stand in one number, in an alignment.
 PART = 8192
-#: Cells of a block's matrices that are held at once.
+#: Cells of a block's arrays that are held at once.
 MATRIX_CELLS = 8_000_000
+#: Words of a text that is aligned with many at once; its bits for each of its words are held.
+LONGEST_LANE = 4_096
+#: Rare words that two texts of a block must share before all their words are counted.
+TOGETHER = 4
 #: Ids that may be broadcast to pick rows; more are joined by a shuffle.
 MOST_BROADCAST = 2_000_000
 #: Links that a task contracts at a time.
 CHUNK_LINKS = 200_000
 #: Edges above which a node is joined by a broadcast of such nodes, and the most of them that are.
 HUB_EDGES, MOST_HUBS = 1_000, 1_000_000
-_words = Store()
+_MIX = [np.uint64(x) for x in (30, 0xBF58476D1CE4E5B9, 27, 0x94D049BB133111EB, 31)]
 
 
 @cache
@@ -71,26 +75,23 @@ def _powers() -> np.ndarray:
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> _MIX[0])
+    x *= _MIX[1]
+    x ^= x >> _MIX[2]
+    x *= _MIX[3]
+    x ^= x >> _MIX[4]
+    return x
 
 
 def words_of(text: str | None) -> list[str]:
     for space in "\t\n\v\f\r":
         text = text and text.replace(space, " ")
-    return [w for w in text.split(" ") if w] if text else []
+    return list(filter(None, text.split(" "))) if text else []
 
 
 def hashed(words: list[str]) -> np.ndarray:
     """64-bit hashes of a text's words in text order."""
-    known = _words.open()
-    found = list(map(known.get, words))
-    if None in found:
-        for i, w in enumerate(words):
-            if found[i] is None:
-                found[i] = _words.keep(w, xxhash.xxh64_digest(w), 2 * len(w))
-    return np.frombuffer(b"".join(found), np.uint64)
+    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), np.uint64)
 
 
 def windows(h: np.ndarray, width: int = WORDS) -> np.ndarray:
@@ -316,40 +317,114 @@ def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
     return told.where("hub is not null").select(F.col("hub").alias("x"), F.col("b").alias("y")).unionByName(rest.select(F.col("m").alias("x"), F.col("b").alias("y")))
 
 
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Places of several ranges, one after another."""
+    ends = np.cumsum(counts)
+    return np.repeat(starts - ends + counts, counts) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 class _Shared:
-    """How many symbols two texts of a block share, for many pairs of texts at once."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-        _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        kept = count[column] > 1  # a symbol of one text is shared by none
-        self.owner, self.column = owner[kept], np.searchsorted(np.flatnonzero(count > 1), column[kept])
-        self.width, self.step = int((count > 1).sum()), max(1, MATRIX_CELLS // max(1, len(sets)))
-        self.place = np.full(len(sets), -1)
-
-    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        shared = np.zeros((len(left), len(right)), np.float32)
-        rows = np.concatenate([left, right])
-        self.place[:] = -1
-        self.place[rows] = np.arange(len(rows))
-        for start in range(0, self.width, self.step):
-            inside = (self.column >= start) & (self.column < start + self.step) & (self.place[self.owner] >= 0)
-            m = np.zeros((len(rows), min(self.step, self.width - start)), np.float32)
-            m[self.place[self.owner[inside]], self.column[inside] - start] = 1
-            shared += m[: len(left)] @ m[len(left) :].T
-        return shared
+    """How many symbols texts of a block share with one of them; a text's symbols are distinct, those rarest on the right come first."""
+
+    def __init__(self, sets: list[np.ndarray], right: np.ndarray):
+        self.sizes = np.array([len(x) for x in sets])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        found, symbols = np.unique(np.concatenate(sets), return_inverse=True)
+        often = np.bincount(symbols[_ranges(self.starts[right], self.sizes[right])], minlength=len(found))
+        rank = np.empty(len(found), np.int64)
+        rank[np.argsort(often, kind="stable")] = np.arange(len(found))
+        keys = np.repeat(np.arange(len(sets)), self.sizes) * len(found) + rank[symbols]
+        keys.sort()
+        self.symbols, self.mark = (keys % max(1, len(found))).astype(np.int32), np.zeros(len(found), np.int8)
+
+    def of(self, text: int) -> np.ndarray:
+        return self.symbols[self.starts[text] : self.starts[text] + self.sizes[text]]
+
+    def __call__(self, text: int, others: np.ndarray) -> np.ndarray:
+        self.mark[self.of(text)] = 1
+        first, sizes = self.starts[others], self.sizes[others]
+        low, high = int(first.min()), int((first + sizes).max())
+        if high - low > 3 * sizes.sum():  # few of those between: only theirs are read
+            held, first = self.mark[self.symbols[_ranges(first, sizes)]], np.cumsum(sizes) - sizes
+        else:
+            held, first = self.mark[self.symbols[low:high]], first - low
+        held = np.concatenate([[0], np.cumsum(held, dtype=np.int32)])
+        self.mark[self.of(text)] = 0
+        return held[first + sizes] - held[first]
+
+
+class _Index:
+    """Which texts on the right may share enough words with a text.
+
+    Texts of n and m words that are linked share 0.8 n words and 0.8 m words at least.  So whatever order words are put
+    in, the same for all texts, they share one among the first n - 0.8 n + 1 and m - 0.8 m + 1 of it, and with k - 1 more on
+    each side they share k.  Rare words come first, so few texts meet.
+    """
+
+    def __init__(self, words: _Shared, right: np.ndarray):
+        self.words, self.right = words, right
+        taken = self.taken(words.sizes[right])
+        symbols = words.symbols[_ranges(words.starts[right], taken)]
+        order = np.argsort(symbols, kind="stable")
+        self.rows = np.repeat(np.arange(len(right), dtype=np.int32), taken)[order]
+        self.starts = np.searchsorted(symbols[order], np.arange(len(words.mark) + 1))
+
+    @staticmethod
+    def taken(sizes: np.ndarray) -> np.ndarray:
+        return np.minimum(sizes, sizes - np.ceil(SIMILARITY * sizes - 1e-9).astype(np.int64) + TOGETHER)
+
+    def __call__(self, text: int) -> np.ndarray:
+        mine = self.words.of(text)
+        mine = mine[: self.taken(np.array([len(mine)]))[0]]
+        counts = self.starts[mine + 1] - self.starts[mine]
+        met = np.bincount(self.rows[_ranges(self.starts[mine], counts)], minlength=len(self.right))
+        # A text of which all words are taken may have fewer than that.
+        return np.flatnonzero(met >= np.minimum(TOGETHER, np.maximum(1, np.ceil(SIMILARITY * len(self.words.of(text)) - 1e-9))))
+
+
+def aligned_with(a: np.ndarray, others: list[np.ndarray], similarity: float = SIMILARITY) -> np.ndarray:
+    """Whether each of ``others`` aligns with ``a``: what ``aligned`` says of each, worked out side by side in one number.
+
+    Each text has its bits of ``a`` in bytes of its own, with a bit to spare that takes what an addition carries over.
+    """
+    n, many = len(a), len(others)
+    if not n or n > LONGEST_LANE or many < 3:
+        return np.array([aligned(a, b, similarity) for b in others], bool)
+    known, code = np.unique(a, return_inverse=True)
+    lane, places = n // 8 + 1, np.arange(n)
+    masks = np.zeros((len(known) + 1, lane), np.uint8)
+    np.bitwise_or.at(masks, (code, places // 8), (1 << places % 8).astype(np.uint8))
+    # Words by place; a text that has ended goes on with a word that ``a`` has not.
+    sizes, words = np.array([len(b) for b in others]), np.concatenate(others)
+    at = np.minimum(np.searchsorted(known, words), len(known) - 1)
+    rows = np.full((many, int(sizes.max())), len(known), np.int32)
+    rows[np.arange(rows.shape[1])[None, :] < sizes[:, None]] = np.where(known[at] == words, at, len(known))
+    v = every = int.from_bytes(((1 << n) - 1).to_bytes(lane, "little") * many, "little")
+    for column in rows.T:
+        u = v & int.from_bytes(masks[column].tobytes(), "little")
+        v = ((v + u) | (v ^ u)) & every
+    matches = n - np.bitwise_count(np.frombuffer(v.to_bytes(lane * many, "little"), np.uint8)).reshape(many, lane).sum(1, dtype=np.int64)
+    return (matches >= np.ceil(similarity * (n + sizes) / (1 + similarity) - 1e-9)) & (sizes > 0)
 
 
 def block_links(nodes: np.ndarray, roots: np.ndarray, sides: np.ndarray, sequences: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links between nodes of side 0 and nodes of side 1 that join components not joined in this block before.
+    """Links between nodes of side 0 and nodes of side 1 or 2 that join components not joined in this block before.
+
+    Nodes of side 2 are on side 0 of some block as well, where they meet these: one of both blocks compares them.
 
     Texts of n and m words with an alignment of L share L words at least.  A word that it leaves out of one text breaks two
     of its pairs of neighbours, and one left out of the other breaks one more, so they share 3 L - n - m - 1 pairs at least.
+    Texts that may share enough words are found by rare ones; their words are counted, then their pairs of neighbours, and
+    what is left is aligned, more and more texts at a time.
     """
+    order = np.argsort(sides, kind="stable")
+    nodes, roots, sides, sequences = nodes[order], roots[order], sides[order], [sequences[i] for i in order]
     lengths = np.array([len(x) for x in sequences])
-    words, twos = _Shared([labelled(x) for x in sequences]), _Shared([labelled(windows(x, 2)) for x in sequences])
-    left, right = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
-    high = max(1, MATRIX_CELLS // (2 * max(1, len(right))))  # left texts whose pairs are held at once
+    left, right = np.flatnonzero(sides == 0), np.flatnonzero(sides > 0)
+    if not len(left) or not len(right):
+        return []
+    words, twos = _Shared([labelled(x) for x in sequences], right), None
+    index = _Index(words, right)
     group = {r: r for r in roots.tolist()}
 
     def find(x: int) -> int:
@@ -359,17 +434,27 @@ def block_links(nodes: np.ndarray, roots: np.ndarray, sides: np.ndarray, sequenc
         return x
 
     out = []
-    for strip in (left[i : i + high] for i in range(0, len(left), high)):
-        least = SIMILARITY / (1 + SIMILARITY) * (lengths[strip][:, None] + lengths[right][None, :])
-        able = (words(strip, right) >= least - 1e-3) & (roots[strip][:, None] != roots[right][None, :])
-        if able.any():
-            able &= twos(strip, right) >= 3 * least - lengths[strip][:, None] - lengths[right][None, :] - 1 - 1e-3
-        for i, j in zip(*np.nonzero(able), strict=True):
-            a, b = strip[i], right[j]
-            x, y = find(int(roots[a])), find(int(roots[b]))
-            if x != y and aligned(sequences[a], sequences[b]):
-                group[max(x, y)] = min(x, y)
-                out.append((int(nodes[a]), int(nodes[b])))
+    for a in left.tolist():
+        others = right[index(a)]
+        least = SIMILARITY / (1 + SIMILARITY) * (lengths[a] + lengths[others])
+        able = (roots[others] != roots[a]) & (least <= np.minimum(lengths[a], lengths[others]) + 1e-3) & ((sides[others] == 1) | (nodes[others] > nodes[a]))
+        others, least = others[able], least[able]
+        if len(others):
+            able = words(a, others) >= least - 1e-3
+            others, least = others[able], least[able]
+        if len(others):
+            twos = twos or _Shared([labelled(windows(x, 2)) for x in sequences], right)
+            others = others[twos(a, others) >= 3 * least - lengths[a] - lengths[others] - 1 - 1e-3]
+        step = 1
+        while len(others):
+            mine = find(int(roots[a]))
+            others = others[[find(r) != mine for r in roots[others].tolist()]]
+            tried, others, step = others[:step], others[step:], min(4 * step, max(1, MATRIX_CELLS // (4 * int(lengths[a]))))
+            for b in tried[aligned_with(sequences[a], [sequences[b] for b in tried])].tolist() if len(tried) else ():
+                x, y = find(int(roots[a])), find(int(roots[b]))
+                if x != y:
+                    group[max(x, y)] = min(x, y)
+                    out.append((int(nodes[a]), int(nodes[b])))
     return out
 
 
