@@ -85,3 +85,34 @@ def test_labels_are_read_once(spark):
     assert [tuple(r)[1:] for r in lines.orderBy("position").collect()] == [(0, "Written by", "Ann & ann"), (1, "Cover", "Bob Lee"), (3, "Inker", "x"), (5, "no label", "Cy")]
     got = {tuple(r) for r in pages.credits_of(lines).select("role", "name").collect()}
     assert got == {("Writer", "Ann"), ("Cover Artist", "Bob Lee"), ("Inker", "x")}
+
+
+def test_pairs_of_readers_and_volumes_of_one_run_are_not_compared(spark, sf_dir, monkeypatch):
+    c = star_catalog(spark, sf_dir)
+    with settings(spark, autoBroadcastJoinThreshold="-1"):
+        rows = tracking.tracked_volumes(c)
+        first = executed(rows).split("Generate explode(volumes", 2)[1]
+        assert "BroadcastHashJoin" in first and "HashAggregate(keys=[user_id" not in first and "HashAggregate(keys=[run_id" in first
+        assert executed(rows).count("FileScan parquet [l_") <= 2  # what runs reach is worked out once
+        want = sorted(map(tuple, rows.collect()))
+        for name, value in (("MOST_BROADCAST", 0), ("PART", 1), ("MEMBERS", 2)):
+            monkeypatch.setattr(tracking, name, value)
+            assert sorted(map(tuple, tracking.tracked_volumes(c).collect())) == want and len(want) == len(set(want)) > 0, name
+
+
+def test_tracked_volumes_of_runs_that_overlap(spark, sf_dir, monkeypatch):
+    from dataclasses import replace
+
+    c = star_catalog(spark, sf_dir)
+    at = "timestamp '2024-01-01 00:00:00' as updated_at"
+    progress = spark.sql(f"select cast(u as bigint) user_id, kind, cast(o as bigint) object_id, 'read' status, {at} from values (1,'run',1),(1,'run',2),(1,'run',1),(2,'run',2),(3,'volume',11),(3,'issue',7),(4,'volume',99),(1,'volume',10),(5,'run',77) t(u, kind, o)")
+    volumes = spark.sql("select * from values (10L, 1L, 1L), (11L, 1L, 2L), (12L, 1L, cast(null as bigint)) t(id, publisher_id, run_id)")
+    volume_runs = spark.sql("select * from values (10L, 2L, 1), (10L, 1L, 2), (11L, 5L, 1) t(volume_id, run_id, item_order)")
+    volume_issues = spark.sql("select * from values (12L, 7L, 1), (10L, 7L, 1) t(volume_id, issue_id, issue_order)")
+    issues = spark.sql("select * from values (7L, 2L), (8L, 1L) t(id, run_id)")
+    small = replace(c, progress=progress, volumes=volumes, volume_runs=volume_runs, volume_issues=volume_issues, issues=issues)
+    want = [(1, 10), (1, 11), (1, 12), (2, 10), (2, 11), (2, 12), (3, 10), (3, 11), (3, 12), (4, 99)]
+    for most in (0, 10):
+        monkeypatch.setattr(tracking, "MOST_BROADCAST", most)
+        assert sorted(map(tuple, tracking.tracked_volumes(small).collect())) == want
+    assert tracking.tracked_volumes(replace(small, progress=progress.limit(0))).count() == 0
